@@ -93,7 +93,6 @@ def piece_metrics(summaries: DataFrame) -> DataFrame:
                     F.when(F.col("peak_before") > 0, (F.col("peak_before") - F.col("low")) / F.col("peak_before")),
                 )
             ).alias("h_drawdown"),
-            F.max(F.struct("from", "low")).alias("h_last"),
             F.max("last_close").alias("last_close"),
         )
     )

@@ -79,16 +79,19 @@ def place(packed: DataFrame, jobs: DataFrame, strategies: list[str]) -> DataFram
     hits = (
         packed.join(ranges, "symbol")
         .filter((last >= F.col("start_date")) & (first <= F.col("end_date")))
-        .select("symbol", "start_date", "end_date", low.alias("low"), high.alias("high"))
+        .select("symbol", "start_date", "end_date", low.alias("low"), high.alias("high"), "first_idx", "dates")
         .filter("low <= high")
+        .withColumn("date", F.get("dates", (F.col("high") - F.col("first_idx")).cast("int")))
         .groupBy("symbol", "start_date", "end_date")
-        .agg(F.min("low").alias("i0"), F.max("high").alias("i1"))
+        .agg(F.min("low").alias("i0"), F.max("high").alias("i1"), F.max("date").alias("last_date"))
     )
     load = jobs.groupBy("symbol").agg(
         F.ceil(F.count(F.lit(1)) / JOBS_PER_CELL).cast("int").alias("salts")
     )
+    stored = packed.filter("iblock = 0").select("symbol", F.lit(True).alias("has_bars"))
     return (
         jobs.join(hits, ["symbol", "start_date", "end_date"], "left")
+        .join(stored, "symbol", "left")
         .join(load, "symbol", "left")
         .withColumn("salt", F.pmod(F.col("job_id"), F.col("salts")).cast("int"))
         .withColumn("invalid", invalid_reason(strategies))

@@ -24,7 +24,9 @@ TRADES = (
     "array<struct<idx:bigint,date:date,signal:int,price:bigint,shares:bigint,"
     "value:bigint,cash_after:bigint,shares_after:bigint>>"
 )
-PORTFOLIO = ["cash", "shares", "last_buy_value", "num_trades", "winning", "losing", "fault"]
+PORTFOLIO = [
+    "cash", "shares", "last_buy_value", "last_trade_idx", "num_trades", "winning", "losing", "fault",
+]
 
 
 def opening_portfolio(spans: DataFrame) -> DataFrame:
@@ -36,6 +38,7 @@ def opening_portfolio(spans: DataFrame) -> DataFrame:
             "cash": F.col("capital"),
             "shares": F.lit(0).cast("bigint"),
             "last_buy_value": F.lit(None).cast("bigint"),
+            "last_trade_idx": F.lit(None).cast("bigint"),
             "num_trades": F.lit(0).cast("bigint"),
             "winning": F.lit(0).cast("bigint"),
             "losing": F.lit(0).cast("bigint"),
@@ -69,6 +72,7 @@ def _step(acc: Column, act: Column) -> Column:
         cash_after.alias("cash"),
         shares_after.alias("shares"),
         F.when(buys, bought * close).otherwise(acc["last_buy_value"]).alias("last_buy_value"),
+        F.when(buys | sells, act["idx"]).otherwise(acc["last_trade_idx"]).alias("last_trade_idx"),
         F.when(buys | sells, acc["num_trades"] + one).otherwise(acc["num_trades"]).alias("num_trades"),
         F.when(sells & (profit > 0), acc["winning"] + one).otherwise(acc["winning"]).alias("winning"),
         F.when(sells & ~F.coalesce(profit > 0, F.lit(False)), acc["losing"] + one)

@@ -82,3 +82,19 @@ def range_block(df: DataFrame, keys: list[str], order: list[str], parts: int) ->
         .drop("__copy"),
         "range-blocks",
     )
+
+
+def previous(df: DataFrame, keys: list[str], block: str, order: str, value: str, name: str) -> DataFrame:
+    """Add `name`: `value` of the row before in the series, across block borders; NULL at its start."""
+    within = Window.partitionBy(*keys, block).orderBy(order)
+    last = df.groupBy(*keys, block).agg(F.max_by(value, order).alias("__last"))
+    carried = last.select(
+        *keys, block, F.lag("__last").over(Window.partitionBy(*keys).orderBy(block)).alias("__carried")
+    )
+    return (
+        df.withColumn("__here", F.lag(value).over(within))
+        .withColumn("__rank", F.row_number().over(within))
+        .join(carried, [*keys, block])
+        .withColumn(name, F.when(F.col("__rank") == 1, F.col("__carried")).otherwise(F.col("__here")))
+        .drop("__here", "__rank", "__carried")
+    )

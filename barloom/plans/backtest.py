@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.metrics import sharpe_ratio, total_return_percent
-from barloom.operators import blocks, crossover, equity, jobs as joblist, portfolio
+from barloom.operators import blocks, crossover, equity, jobs as joblist, portfolio, state as saved
 from barloom.storage import written
-from barloom.schemas import MINOR_UNITS, RESULT_COLUMNS
+from barloom.schemas import BUY, MINOR_UNITS, SELL
 
 STRATEGIES = ["SMA"]
 
@@ -32,9 +32,11 @@ class Run:
     placed: DataFrame
     spans: DataFrame
     spread: DataFrame
+    changes: DataFrame | None
     actions: DataFrame
     portfolio: DataFrame
     trades: DataFrame
+    resumed: bool = False
 
     def equity(self) -> DataFrame:
         stretches = equity.intervals(self.trades, portfolio.opening_portfolio(self.spans))
@@ -43,75 +45,178 @@ class Run:
     def drawdowns(self) -> DataFrame:
         return equity.drawdown_rows(self.equity())
 
-    def metrics(self) -> DataFrame:
-        holds = portfolio.holdings(self.trades)
-        return equity.piece_metrics(equity.pieces(holds, self.spread))
+    def outcome(self) -> DataFrame:
+        holds = portfolio.holdings(self.trades, self.spans if self.resumed else None)
+        metrics = equity.piece_metrics(equity.pieces(holds, self.spread))
+        return outcome(self.placed, self.portfolio, metrics)
 
     def results(self) -> DataFrame:
-        return assemble(self.placed, self.portfolio, self.metrics())
+        return result_rows(self.outcome())
 
+    def state(self) -> DataFrame:
+        """The saved state after the last bar of every job, to be handed to the next run."""
+        return state_rows(self.outcome(), self.changes, self.spans)
 
-def locate(packed: DataFrame, jobs: DataFrame, strategies: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all jobs with their place, the runnable ones, the blocks dealt to cells)."""
+
+def locate(
+    packed: DataFrame, jobs: DataFrame, state: DataFrame | None = None, strategies: list[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all jobs with their place, the runnable ones, the blocks dealt to cells).
+
+    With a saved state the runnable jobs start behind the bars it has seen, with its portfolio.
+    """
     placed = written(joblist.place(packed, jobs, strategies or STRATEGIES), "placed")
-    spans = joblist.runnable(placed).withColumn("r0", F.col("i0"))
+    spans = joblist.runnable(placed)
+    if state is None:
+        spans = spans.withColumn("r0", F.col("i0"))
+    else:
+        spans = spans.join(saved.usable(state), "job_id", "left").withColumn(
+            "r0", F.col("i0") + F.coalesce("bars_processed", F.lit(0))
+        )
+        fresh = portfolio.opening_portfolio(
+            spans.drop(*portfolio.PORTFOLIO)
+        ).select("job_id", *[F.col(c).alias(f"__{c}") for c in portfolio.PORTFOLIO])
+        spans = spans.join(fresh, "job_id").select(
+            *[c for c in spans.columns if c not in portfolio.PORTFOLIO],
+            *[F.when(F.col("bars_processed").isNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+              for c in portfolio.PORTFOLIO],
+        )
+        spans = written(spans, "spans")
     return placed, spans, joblist.spread(packed, spans)
 
 
 def longest(spans: DataFrame) -> int:
-    return spans.agg(F.max(F.col("i1") - F.col("i0") + 1)).first()[0] or 0
+    return spans.agg(F.max(F.col("i1") - F.col("r0") + 1)).first()[0] or 0
 
 
-def run(packed: DataFrame, jobs: DataFrame) -> Run:
-    placed, spans, dealt = locate(packed, jobs)
-    actions = crossover.crossings(crossover.changes(crossover.on_blocks(dealt, spans)))
+def run(packed: DataFrame, jobs: DataFrame, state: DataFrame | None = None) -> Run:
+    placed, spans, dealt = locate(packed, jobs, state)
+    changes = crossover.changes(crossover.on_blocks(dealt, spans))
+    actions = crossover.crossings(changes, None if state is None else spans)
     after, trades = portfolio.fold(actions, spans, longest(spans))
-    return Run(placed, spans, dealt, actions, after, trades)
-
-
-def assemble(placed: DataFrame, folded: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Result rows for every job of `placed`; failures are rows with zero metrics."""
-    joined = (
-        placed.join(
-            folded.select("job_id", "cash", "shares", "num_trades", "winning", "losing", "fault"),
-            "job_id",
-            "left",
-        )
-        .join(metrics, "job_id", "left")
+    return Run(placed, spans, dealt, changes, actions, after, trades, state is not None)
+
+
+def outcome(placed: DataFrame, folded: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Per job of `placed`: portfolio, final value, moments of the returns, drawdown, error."""
+    known = [c for c in folded.columns if c.startswith("saved_")]
+    joined = placed.join(
+        folded.select("job_id", "r0", *portfolio.PORTFOLIO, *known), "job_id", "left"
+    ).join(metrics, "job_id", "left")
+    for name, empty in saved.EMPTY_MOMENTS.items():
+        value = F.col(f"saved_{name}") if f"saved_{name}" in known else F.lit(None)
+        joined = joined.withColumn(f"saved_{name}", F.coalesce(value, F.lit(empty)))
+    saved_value = F.col("saved_value") if "saved_value" in known else F.lit(None).cast("bigint")
+
+    # a position bought at the very last bar has no later close; its value is what was paid
+    open_value = F.when(F.col("last_close").isNotNull(), F.try_multiply("shares", "last_close")).otherwise(
+        F.col("last_buy_value")
+    )
+    final = (
+        F.when(F.col("r0") > F.col("i1"), saved_value)
+        .when(F.col("shares") == 0, F.col("cash"))
+        .otherwise(F.try_add("cash", open_value))
     )
-    final = F.try_add(F.col("cash"), F.try_multiply(F.col("shares"), F.coalesce("last_close", F.lit(0))))
     joined = joined.withColumn("final", final)
-    n = (F.col("i1") - F.col("i0")).cast("double") - F.coalesce("h_skipped", F.lit(0.0))
-    held = F.coalesce("h_n", F.lit(0.0))
-    mean = F.when(n > 0, held * F.coalesce("h_mean", F.lit(0.0)) / n).otherwise(0.0)
-    # flat bars contribute returns of zero
-    m2 = (
-        F.coalesce("h_m2", F.lit(0.0))
-        + held * F.pow(F.coalesce("h_mean", F.lit(0.0)) - mean, 2)
-        + (n - held) * F.pow(mean, 2)
+
+    steps = F.greatest(F.lit(0), F.col("i1") - F.greatest(F.col("r0"), F.col("i0") + 1) + 1)
+    ruined = F.when(
+        (F.col("shares") == 0) & (F.col("cash") <= 0),
+        F.col("i1") - F.greatest(F.col("last_trade_idx"), F.col("r0") - 1),
+    )
+    skipped = F.coalesce("h_skipped", F.lit(0.0)) + F.coalesce(ruined, F.lit(0))
+    held, held_mean = F.coalesce("h_n", F.lit(0.0)), F.coalesce("h_mean", F.lit(0.0))
+    flat = steps - skipped - held
+    n = F.col("saved_n") + held + flat
+    mean = F.when(n > 0, (F.col("saved_n") * F.col("saved_mean") + held * held_mean) / n).otherwise(0.0)
+    # pooled moments: saved returns, returns while holding, zero returns while flat
+    joined = joined.withColumn("ret_n", n).withColumn("ret_mean", mean).withColumn(
+        "ret_m2",
+        F.col("saved_m2")
+        + F.coalesce("h_m2", F.lit(0.0))
+        + F.col("saved_n") * F.pow(F.col("saved_mean") - F.col("ret_mean"), 2)
+        + held * F.pow(held_mean - F.col("ret_mean"), 2)
+        + flat * F.pow(F.col("ret_mean"), 2),
     )
+    peak_before = F.greatest(F.col("saved_peak"), F.col("capital").cast("double"))
+    dip = F.when(F.col("h_low").isNotNull(), (peak_before - F.col("h_low")) / peak_before)
     error = F.coalesce(
         "invalid",
         F.when(F.col("i0").isNull(), F.lit("No data in date range")),
         "fault",
+        F.when(F.col("h_low") < 0, F.lit("Invalid job: negative equity")),
         F.when(F.col("final").isNull(), F.lit("Invalid job: numeric overflow")),
     )
-    joined = joined.withColumn("error_message", error)
+    return (
+        joined.withColumn("peak", F.greatest(peak_before, "h_peak"))
+        .withColumn("drawdown", F.greatest("saved_drawdown", F.coalesce("h_drawdown", F.lit(0.0)), _saved_dip(known, dip)))
+        .withColumn("error_message", error)
+    )
+
+
+def _saved_dip(known: list[str], dip):
+    """A resumed job can fall below the peak of its saved part."""
+    return F.coalesce(dip, F.lit(0.0)) if known else F.lit(0.0)
+
+
+def result_rows(outcomes: DataFrame) -> DataFrame:
+    """Result rows; failures are rows with zero metrics and a message."""
     ok = F.col("error_message").isNull()
+    deviation = F.sqrt(F.when(F.col("ret_n") > 0, F.col("ret_m2") / F.col("ret_n")).otherwise(0.0))
 
     def when_ok(value, otherwise=0.0):
         return F.when(ok, value).otherwise(F.lit(otherwise))
 
-    return joined.select(
+    return outcomes.select(
         "job_id",
         "symbol",
         F.round(when_ok(total_return_percent(F.col("final"), F.col("capital"))), 6).alias("total_return"),
-        F.round(when_ok(sharpe_ratio(n, mean, F.sqrt(F.when(n > 0, m2 / n).otherwise(0.0)))), 6).alias("sharpe_ratio"),
-        F.round(when_ok(F.coalesce("h_drawdown", F.lit(0.0)) * 100.0), 6).alias("max_drawdown"),
+        F.round(when_ok(sharpe_ratio(F.col("ret_n"), F.col("ret_mean"), deviation)), 6).alias("sharpe_ratio"),
+        F.round(when_ok(F.col("drawdown") * 100.0), 6).alias("max_drawdown"),
         when_ok(F.col("final") / float(MINOR_UNITS)).alias("final_value"),
         when_ok(F.col("num_trades"), 0).cast("int").alias("num_trades"),
         when_ok(F.col("winning"), 0).cast("int").alias("winning"),
         when_ok(F.col("losing"), 0).cast("int").alias("losing"),
         ok.alias("success"),
         "error_message",
-    ).select(*RESULT_COLUMNS)
+    )
+
+
+def state_rows(outcomes: DataFrame, changes: DataFrame, spans: DataFrame) -> DataFrame:
+    last_dir = changes.groupBy("job_id").agg(F.max_by("dir", "idx").alias("new_dir"))
+    before = spans.select("job_id", F.col("saved_dir") if "saved_dir" in spans.columns
+                          else F.lit(None).cast("int").alias("saved_dir"))
+    ok = outcomes.filter(F.col("error_message").isNull()).drop("saved_dir")
+    return ok.join(last_dir, "job_id", "left").join(before, "job_id", "left").select(
+        "job_id",
+        "symbol",
+        (F.col("i1") - F.col("i0") + 1).alias("bars_processed"),
+        F.col("last_date"),
+        *portfolio.PORTFOLIO,
+        F.col("final").alias("saved_value"),
+        F.col("ret_n").alias("saved_n"),
+        F.col("ret_mean").alias("saved_mean"),
+        F.col("ret_m2").alias("saved_m2"),
+        F.col("peak").alias("saved_peak"),
+        F.col("drawdown").alias("saved_drawdown"),
+        F.coalesce("new_dir", "saved_dir").alias("saved_dir"),
+        F.lit(True).alias("valid"),
+    )
+
+
+def round_trips(trades: DataFrame) -> DataFrame:
+    """SELL directly after BUY: one row per closed position; a profit of zero is not a win."""
+    by_job = Window.partitionBy("job_id").orderBy("idx")
+    before = F.lag(F.struct("signal", "value", "date")).over(by_job)
+    return (
+        trades.withColumn("before", before)
+        .filter((F.col("signal") == SELL) & (F.col("before.signal") == BUY))
+        .select(
+            "job_id",
+            "symbol",
+            F.col("before.date").alias("buy_date"),
+            F.col("date").alias("sell_date"),
+            (F.col("value") - F.col("before.value")).alias("profit"),
+            (F.col("value") > F.col("before.value")).alias("win"),
+        )
+    )
