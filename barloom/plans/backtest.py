@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.metrics import sharpe_ratio, total_return_percent
-from barloom.operators import blocks, crossover, equity, jobs as joblist, portfolio, state as saved
+from barloom.operators import blocks, crossover, equity, jobs as joblist, portfolio, state as saved, status
 from barloom.storage import written
 from barloom.schemas import BUY, MINOR_UNITS, SELL
 
@@ -59,13 +59,22 @@ class Run:
 
 
 def locate(
-    packed: DataFrame, jobs: DataFrame, state: DataFrame | None = None, strategies: list[str] | None = None
+    packed: DataFrame,
+    jobs: DataFrame,
+    state: DataFrame | None = None,
+    files: DataFrame | None = None,
+    folder: str = "",
+    strategies: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all jobs with their place, the runnable ones, the blocks dealt to cells).
 
     With a saved state the runnable jobs start behind the bars it has seen, with its portfolio.
+    With a listing of symbol `files` a job without data says whether its file is missing or empty.
     """
-    placed = written(joblist.place(packed, jobs, strategies or STRATEGIES), "placed")
+    placed = joblist.place(packed, jobs, strategies or STRATEGIES)
+    if files is not None:
+        placed = status.with_load_errors(placed, files, folder)
+    placed = written(placed, "placed")
     spans = joblist.runnable(placed)
     if state is None:
         spans = spans.withColumn("r0", F.col("i0"))
@@ -89,8 +98,19 @@ def longest(spans: DataFrame) -> int:
     return spans.agg(F.max(F.col("i1") - F.col("r0") + 1)).first()[0] or 0
 
 
-def run(packed: DataFrame, jobs: DataFrame, state: DataFrame | None = None) -> Run:
-    placed, spans, dealt = locate(packed, jobs, state)
+def until(jobs: DataFrame, date: str) -> DataFrame:
+    """The same jobs, processed no further than `date`."""
+    return jobs.withColumn("end_date", F.least("end_date", F.lit(date).cast("date")))
+
+
+def run(
+    packed: DataFrame,
+    jobs: DataFrame,
+    state: DataFrame | None = None,
+    files: DataFrame | None = None,
+    folder: str = "",
+) -> Run:
+    placed, spans, dealt = locate(packed, jobs, state, files, folder)
     changes = crossover.changes(crossover.on_blocks(dealt, spans))
     actions = crossover.crossings(changes, None if state is None else spans)
     after, trades = portfolio.fold(actions, spans, longest(spans))

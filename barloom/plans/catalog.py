@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions.metrics import simple_return
 from barloom.operators import bars as barops
-from barloom.operators import blocks, crossover, jobs as joblist, signals as sig
+from barloom.operators import blocks, crossover, jobs as joblist, liveness, reports, signals as sig, state, status
+from barloom.operators.scan import period_block
 from barloom.plans import backtest
-from barloom.sources import driver_tables as tables
+from barloom.sources import calendar, driver_tables as tables
+from barloom.storage import written
 
 FULL = ("1990-01-01", "2010-12-31")
 PAIR = (20, 50)
@@ -157,11 +159,157 @@ def backtest_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.run(_packed(spark, folder, 200), jobs).results().drop("error_message")
 
 
+AS_OF = "2024-01-31 00:00:00"
+SILENCE = 6 * 3600
+FAULTS = [
+    dict(strategy="SMA", **_param(20, 50, *FULL), _unknown=False),
+    dict(strategy="SMA", **_param(20, 50, "2030-01-01", "2030-12-31"), _unknown=False),
+    dict(strategy="SMA", **_param(20, 50, "1996-01-01", "1996-01-31"), _unknown=False),
+    dict(strategy="RSI", **_param(20, 50, *FULL), _unknown=False),
+    dict(strategy="SMA", **_param(0, 50, *FULL), _unknown=False),
+    dict(strategy="SMA", **_param(20, 50, *FULL, 0.0), _unknown=False),
+    dict(strategy="SMA", **_param(21, 50, *FULL), _unknown=True),
+]
+EMPTY_FILE = "Brand#13"
+
+
+def _faulty_run(spark: SparkSession, folder: str) -> backtest.Run:
+    """A sweep in which every status rule occurs: EMPTY_FILE has a file without valid rows, and one
+    parameter set names symbols that have no file."""
+    symbols = tables.symbols(spark, folder)
+    listed = joblist.grid(symbols, FAULTS).withColumn(
+        "symbol", F.when(F.col("_unknown"), F.concat(F.lit("X-"), "symbol")).otherwise(F.col("symbol"))
+    ).drop("_unknown")
+    jobs = joblist.number(
+        listed,
+        ["symbol", "strategy", "short_window", "start_date", "initial_capital"],
+        "symbol",
+    )
+    bars = tables.bars(spark, folder).filter(F.col("symbol") != EMPTY_FILE)
+    packed = backtest.prepare(bars, 50, unique_dates=True)
+    return backtest.run(packed, jobs, files=symbols, folder="data")
+
+
+def job_status(spark: SparkSession, folder: str) -> DataFrame:
+    return _faulty_run(spark, folder).results().select(
+        "job_id", "symbol", "num_trades", "final_value", "success", "error_message"
+    )
+
+
+def run_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return status.run_summary(_faulty_run(spark, folder).results())
+
+
+def job_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    run = _faulty_run(spark, folder)
+    answers = run.results().filter("success").select("job_id", "symbol", "final_value")
+    return status.lookup(run.placed.select("job_id", "symbol", "start_date"), answers)
+
+
+def job_missing(spark: SparkSession, folder: str) -> DataFrame:
+    run = _faulty_run(spark, folder)
+    return status.unanswered(run.placed, run.results().filter("success")).select("job_id", "symbol", "strategy")
+
+
+def scalability_report(spark: SparkSession, folder: str) -> DataFrame:
+    report = reports.scalability(tables.runs(spark, folder))
+    return report.select(
+        *[F.col(c).cast("double").alias(c) if kind.startswith("decimal") else c for c, kind in report.dtypes]
+    )
+
+
+def trading_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekdays between each order priority's first and last order."""
+    ends = tables.table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("symbol")).agg(
+        F.min(F.col("o_orderdate").cast("date")).alias("start"),
+        F.max(F.col("o_orderdate").cast("date")).alias("end"),
+    )
+    return calendar.trading_days(ends, F.col("start"), F.col("end"))
+
+
+def price_path(spark: SparkSession, folder: str) -> DataFrame:
+    """One path per order priority; returns of up to 2 % from the order totals."""
+    cents = F.floor(F.col("o_totalprice") * 100).cast("bigint")
+    returns = tables.table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("symbol"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_orderkey").alias("step"),
+        ((F.pmod(cents, F.lit(401)) - 200) / 10000.0).alias("r"),
+    ).withColumn("block", period_block(F.col("date"), 64))
+    path = calendar.price_path(returns, "symbol", "block", ["date", "step"], 100.0)
+    return path.select("symbol", "date", "step", F.round("price", 6).alias("price"))
+
+
+def liveness_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return liveness.gaps(tables.heartbeats(spark, folder), SILENCE)
+
+
+def _dead(spark: SparkSession, folder: str) -> DataFrame:
+    return liveness.dead_entities(
+        tables.heartbeats(spark, folder), F.lit(AS_OF).cast("timestamp_ntz"), SILENCE
+    )
+
+
+def dead_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return _dead(spark, folder)
+
+
+def latest_status(spark: SparkSession, folder: str) -> DataFrame:
+    return liveness.latest_status(tables.heartbeats(spark, folder), ["active_jobs", "completed_jobs"])
+
+
+def orphaned_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return liveness.orphaned(
+        tables.ledger(spark, folder), _dead(spark, folder), tables.answered(spark, folder)
+    )
+
+
+def ledger_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return liveness.ledger_counts(
+        liveness.ledger_status(
+            tables.ledger(spark, folder), _dead(spark, folder), tables.answered(spark, folder)
+        )
+    )
+
+
+def _split_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(packed, jobs, states after 1997, states after 1999 continued from those)."""
+    packed = _packed(spark, folder, max(PAIR))
+    jobs = _jobs(spark, folder, [_param(*PAIR, *FULL)])
+    first = written(backtest.run(packed, backtest.until(jobs, "1997-06-30")).state(), "state")
+    second = written(backtest.run(packed, backtest.until(jobs, "1999-12-31"), first).state(), "state")
+    return packed, jobs, first, second
+
+
+STATE_COLUMNS = ["job_id", "symbol", "bars_processed", "last_date", "cash", "shares", "saved_value"]
+
+
+def state_latest(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, first, second = _split_runs(spark, folder)
+    return state.latest(first.unionByName(second)).select(*STATE_COLUMNS)
+
+
+def state_open_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved jobs that still hold shares; the flat ones are taken as finished and deleted."""
+    _, _, first, second = _split_runs(spark, folder)
+    finished = second.filter("shares = 0")
+    return state.open_jobs(state.without(first.unionByName(second), finished))
+
+
+def resume_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    """Three runs in sequence, each continuing the saved states of the one before."""
+    packed, jobs, first, second = _split_runs(spark, folder)
+    return backtest.run(packed, jobs, first.unionByName(second)).results().drop("error_message")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bars_valid, bars_range, bars_lookup, bars_position, bars_date_index, bars_last_per_date,
         bar_count, mean_close, volatility, sma, crossover_signals, signal_counts, trades,
         round_trips, equity_curve, equity_returns, drawdown_curve, backtest_result, backtest_sweep,
+        job_status, run_summary, job_lookup, job_missing, scalability_report, trading_calendar,
+        price_path, liveness_gaps, dead_entities, latest_status, orphaned_jobs, ledger_counts,
+        state_latest, state_open_jobs, resume_equivalence,
     )
 }

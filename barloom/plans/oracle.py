@@ -127,6 +127,67 @@ results AS (
   FROM jobs j JOIN metrics m ON m.job_id = j.job_id)"""
 
 
+FAULTY = """
+named AS (
+  SELECT DISTINCT p_brand AS symbol FROM part),
+listed AS (
+  SELECT CASE WHEN u THEN 'X-' || symbol ELSE symbol END AS symbol, strategy, start_date, end_date,
+         short_window, long_window, initial_capital
+  FROM named CROSS JOIN (VALUES {rows})
+    AS v(strategy, start_date, end_date, short_window, long_window, initial_capital, u)),
+all_jobs AS (
+  SELECT CAST(row_number() OVER (ORDER BY symbol, strategy, short_window, start_date, initial_capital) AS BIGINT) AS job_id, *
+  FROM listed),
+judged AS (
+  SELECT *, CASE
+    WHEN strategy <> 'SMA' THEN 'Invalid job: unknown strategy ' || strategy
+    WHEN short_window <= 0 THEN 'Invalid job: window must be positive'
+    WHEN initial_capital <= 0 THEN 'Invalid job: capital must be positive'
+    WHEN symbol NOT IN (SELECT symbol FROM named) THEN 'Exception: Failed to open file: data/' || symbol || '.csv'
+    WHEN symbol = '{empty}' THEN 'Exception: No valid data loaded from data/' || symbol || '.csv'
+    WHEN NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = j.symbol AND b.date BETWEEN j.start_date AND j.end_date)
+      THEN 'No data in date range' END AS error_message
+  FROM all_jobs j),
+jobs AS (SELECT * FROM judged WHERE error_message IS NULL)"""
+
+BEATS = """
+beats AS (
+  SELECT user_id AS entity, ts, CAST(event_id % 5 AS INTEGER) AS active_jobs,
+         CAST(floor(value) AS INTEGER) AS completed_jobs FROM events),
+dead AS (
+  SELECT entity, max(ts) AS last_ts,
+         CAST(floor(date_diff('microsecond', max(ts), TIMESTAMP '{as_of}') / 1000000.0) AS BIGINT) AS elapsed
+  FROM beats GROUP BY entity
+  HAVING floor(date_diff('microsecond', max(ts), TIMESTAMP '{as_of}') / 1000000.0) > {silence}),
+ledger AS (
+  SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS entity FROM orders),
+answered AS (
+  SELECT o_orderkey AS job_id, o_orderpriority <> '5-LOW' AS success FROM orders WHERE o_orderstatus = 'F')"""
+
+
+def faulty_sql(tail: str) -> str:
+    from barloom.plans.catalog import EMPTY_FILE, FAULTS
+
+    rows = ", ".join(
+        f"('{p['strategy']}', DATE '{p['start_date']}', DATE '{p['end_date']}', {p['short_window']}, "
+        f"{p['long_window']}, CAST({p['initial_capital']} AS DOUBLE), {str(p['_unknown']).lower()})"
+        for p in FAULTS
+    )
+    faulty = FAULTY.format(rows=rows, empty=EMPTY_FILE)
+    return f"WITH RECURSIVE {BARS},{faulty},{SIGNALS},{FOLD}\n{tail}"
+
+
+def state_sql(params: list[dict], ends: list[str], tail: str) -> str:
+    """The curve of the whole run, read at the last bar up to each of the dates `ends`."""
+    cuts = ", ".join(f"(DATE '{end}')" for end in ends)
+    reached = f""",
+reached AS (
+  SELECT c.job_id, c.symbol, v.until, max(c.pos) + 1 AS bars_processed, max(c.date) AS last_date,
+         max_by(c.cash, c.pos) AS cash, max_by(c.shares, c.pos) AS shares, max_by(c.equity, c.pos) AS saved_value
+  FROM equity c JOIN (VALUES {cuts}) AS v(until) ON c.date <= v.until GROUP BY ALL)"""
+    return run_sql(params, "").rstrip() + reached + "\n" + tail
+
+
 def run_sql(params: list[dict], tail: str) -> str:
     return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{SIGNALS},{FOLD}\n{tail}"
 
@@ -136,9 +197,10 @@ def signal_sql(params: list[dict], tail: str) -> str:
 
 
 def oracle() -> dict[str, str]:
-    from barloom.plans.catalog import FULL, PAIR, SWEEP, _param
+    from barloom.plans.catalog import AS_OF, FULL, PAIR, SILENCE, SWEEP, _param
 
     single = [_param(*PAIR, *FULL)]
+    beats = BEATS.format(as_of=AS_OF, silence=SILENCE)
     day = "date_diff('day', DATE '1995-01-01', date)"
     return {
         "bars_valid": f"""WITH {BARS}, dirty AS (
@@ -182,4 +244,47 @@ def oracle() -> dict[str, str]:
             round((peak - equity) * 100.0 / peak, 6) AS drawdown_pct FROM drawdowns"""),
         "backtest_result": run_sql(single, "SELECT * FROM results"),
         "backtest_sweep": run_sql(SWEEP, "SELECT * FROM results"),
+        "job_status": faulty_sql("""SELECT j.job_id, j.symbol, coalesce(r.num_trades, 0) AS num_trades,
+            coalesce(r.final_value, 0.0) AS final_value, j.error_message IS NULL AS success, j.error_message
+            FROM judged j LEFT JOIN results r ON r.job_id = j.job_id"""),
+        "run_summary": faulty_sql("""SELECT count(*) AS submitted, count(*) FILTER (error_message IS NULL) AS successful,
+            count(*) FILTER (error_message IS NOT NULL) AS failed FROM judged"""),
+        "job_lookup": faulty_sql("""SELECT j.job_id, j.symbol, j.start_date, r.final_value
+            FROM judged j JOIN results r ON r.job_id = j.job_id"""),
+        "job_missing": faulty_sql("SELECT job_id, symbol, strategy FROM judged WHERE error_message IS NOT NULL"),
+        "scalability_report": """WITH runs AS (
+            SELECT event_type AS run, 1 << CAST(event_id % 4 AS INTEGER) AS num_workers, count(*) AS jobs_completed,
+              CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2),
+            based AS (SELECT *, max(CASE WHEN num_workers = 1 THEN cents END) OVER (PARTITION BY run) AS base FROM runs),
+            sped AS (SELECT *, base * 100 // cents AS speed FROM based)
+            SELECT run, CAST(num_workers AS INTEGER) AS num_workers, jobs_completed, cents / 100.0 AS total_time_sec,
+              jobs_completed * 1000000 // cents / 10000.0 AS throughput, cents * 100 // jobs_completed / 10000.0 AS avg_job_time,
+              speed / 100.0 AS speedup, CAST(speed // num_workers AS DOUBLE) AS efficiency FROM sped""",
+        "trading_calendar": """WITH ends AS (
+            SELECT o_orderpriority AS symbol, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b
+            FROM orders GROUP BY 1),
+            days AS (SELECT symbol, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM ends)
+            SELECT symbol, date FROM days WHERE isodow(date) < 6""",
+        "price_path": """SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, o_orderkey AS step,
+            round(100.0 * exp(sum(ln(1 + (CAST(floor(o_totalprice * 100) AS BIGINT) % 401 - 200) / 10000.0)) OVER (
+              PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE), o_orderkey ROWS UNBOUNDED PRECEDING)), 6) AS price
+            FROM orders""",
+        "liveness_gaps": f"""WITH {beats}, g AS (
+            SELECT entity, ts, lag(ts) OVER (PARTITION BY entity ORDER BY ts) AS prev_ts FROM beats)
+            SELECT entity, prev_ts, ts, date_diff('microsecond', prev_ts, ts) // 1000000 AS elapsed FROM g
+            WHERE date_diff('microsecond', prev_ts, ts) // 1000000 > {SILENCE}""",
+        "dead_entities": f"WITH {beats} SELECT * FROM dead",
+        "latest_status": f"""WITH {beats} SELECT entity, max(ts) AS last_ts, max_by(active_jobs, ts) AS active_jobs,
+            max_by(completed_jobs, ts) AS completed_jobs FROM beats GROUP BY entity""",
+        "orphaned_jobs": f"""WITH {beats} SELECT * FROM ledger WHERE entity IN (SELECT entity FROM dead)
+            AND job_id NOT IN (SELECT job_id FROM answered)""",
+        "ledger_counts": f"""WITH {beats}, s AS (
+            SELECT l.*, a.success, l.entity IN (SELECT entity FROM dead) AS is_dead
+            FROM ledger l LEFT JOIN answered a USING (job_id))
+            SELECT count(*) FILTER (success IS NULL AND (entity IS NULL OR is_dead)) AS pending,
+              count(*) FILTER (success IS NULL AND entity IS NOT NULL AND NOT is_dead) AS active,
+              count(*) FILTER (success) AS completed, count(*) FILTER (NOT success) AS failed FROM s""",
+        "state_latest": state_sql(single, ["1999-12-31"], "SELECT * EXCLUDE (until) FROM reached"),
+        "state_open_jobs": state_sql(single, ["1999-12-31"], "SELECT job_id FROM reached WHERE shares > 0"),
+        "resume_equivalence": run_sql(single, "SELECT * FROM results"),
     }

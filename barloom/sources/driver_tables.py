@@ -57,3 +57,43 @@ def split_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.col("p_brand").alias("symbol")).distinct()
+
+
+def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as heartbeats: entity = user, with two payload numbers."""
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("entity"),
+        "ts",
+        F.pmod("event_id", F.lit(5)).cast("int").alias("active_jobs"),
+        F.floor("value").cast("int").alias("completed_jobs"),
+    )
+
+
+def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as jobs, assigned to the user their customer key names; status P is unassigned."""
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("job_id"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("entity"),
+    )
+
+
+def answered(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with status F have an answer; it is a success unless the priority is 5-LOW."""
+    return (
+        table(spark, folder, "orders")
+        .filter(F.col("o_orderstatus") == "F")
+        .select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderpriority") != "5-LOW").alias("success"))
+    )
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as measured runs: one per event type and worker count 1, 2, 4, 8."""
+    events = table(spark, folder, "events")
+    cents = F.sum(F.floor(F.col("value") * 100).cast("bigint"))
+    return events.groupBy(
+        F.col("event_type").alias("run"),
+        F.pow(F.lit(2), F.pmod("event_id", F.lit(4))).cast("int").alias("num_workers"),
+    ).agg(
+        F.count(F.lit(1)).alias("jobs_completed"),
+        (cents.cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("total_time_sec"),
+    )
