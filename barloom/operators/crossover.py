@@ -56,6 +56,21 @@ def job_bars(placed_blocks: DataFrame) -> DataFrame:
     )
 
 
+def series_rows(placed_blocks: DataFrame) -> DataFrame:
+    """Rows (job, bar) with the close of the bar before (NULL at the start of the slice)."""
+    at = F.col("at")
+    return placed_blocks.withColumn("at", F.explode(F.sequence("low_at", "high_at"))).select(
+        "job_id",
+        "symbol",
+        "iblock",
+        (F.col("first_idx") + at).alias("idx"),
+        (at + F.col("first_idx") - F.col("i0")).alias("pos"),
+        F.get("dates", at).alias("date"),
+        F.get("closes", at).alias("close"),
+        F.when(at + F.col("first_idx") > F.col("i0"), F.get("closes", at - 1)).alias("prev_close"),
+    )
+
+
 def on_blocks(spread_blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Jobs beside the packed blocks they cover.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.metrics import sharpe_ratio, total_return_percent
 from barloom.operators import blocks, crossover, equity, jobs as joblist, portfolio, state as saved, status
+from barloom.operators.strategies import Strategy
 from barloom.storage import written
 from barloom.schemas import BUY, MINOR_UNITS, SELL
 
@@ -109,11 +110,27 @@ def run(
     state: DataFrame | None = None,
     files: DataFrame | None = None,
     folder: str = "",
+    strategies: dict[str, Strategy] | None = None,
 ) -> Run:
-    placed, spans, dealt = locate(packed, jobs, state, files, folder)
-    changes = crossover.changes(crossover.on_blocks(dealt, spans))
+    """Evaluate every job. `strategies` adds user strategies by the name jobs give in `strategy`."""
+    custom = strategies or {}
+    placed, spans, dealt = locate(packed, jobs, state, files, folder, [*STRATEGIES, *custom])
+    blocks_of_jobs = crossover.on_blocks(dealt, spans)
+    changes = crossover.changes(blocks_of_jobs.filter(F.col("strategy").isin(*STRATEGIES)))
     actions = crossover.crossings(changes, None if state is None else spans)
+    errors = None
+    for name, strategy in custom.items():
+        mine = F.col("strategy") == name
+        found, failed = strategy.actions(
+            crossover.series_rows(blocks_of_jobs.filter(mine)), spans.filter(mine)
+        )
+        actions = actions.unionByName(found)
+        errors = failed if errors is None else errors.unionByName(failed)
     after, trades = portfolio.fold(actions, spans, longest(spans))
+    if errors is not None:
+        after = after.join(errors, "job_id", "left").withColumn(
+            "fault", F.coalesce("error", "fault")
+        ).drop("error")
     return Run(placed, spans, dealt, changes, actions, after, trades, state is not None)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +13,11 @@ from barloom.functions.metrics import simple_return
 from barloom.operators import bars as barops
 from barloom.operators import blocks, crossover, jobs as joblist, liveness, reports, signals as sig, state, status
 from barloom.operators.scan import period_block
+from barloom.operators.strategies import FrameStrategy, PandasStrategy, Strategy
 from barloom.plans import backtest
-from barloom.sources import calendar, driver_tables as tables
-from barloom.storage import written
+from barloom.sources import calendar, csv_bars, driver_tables as tables, jobs_csv
+from barloom.storage import shared_folder, written
+from barloom.streaming import backtest as stream_results, feed, liveness as stream_live
 
 FULL = ("1990-01-01", "2010-12-31")
 PAIR = (20, 50)
@@ -302,6 +308,110 @@ def resume_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.run(packed, jobs, first.unionByName(second)).results().drop("error_message")
 
 
+def momentum_frame(bars: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Example strategy: BUY after a rise, SELL after a fall, HOLD otherwise."""
+    rise = F.coalesce(F.signum((F.col("close") - F.col("prev_close")).cast("double")), F.lit(0.0))
+    return bars.select("job_id", "idx", rise.cast("int").alias("signal"))
+
+
+def momentum_pandas(job_id: int):
+    """The same strategy in Python."""
+
+    def signals(bars: pd.DataFrame):
+        return np.sign(bars["close"] - bars["prev_close"].fillna(bars["close"])).astype("int32")
+
+    return signals
+
+
+def _custom(spark: SparkSession, folder: str, strategy: Strategy) -> DataFrame:
+    jobs = _jobs(spark, folder, [dict(strategy="MOMENTUM", **_param(*PAIR, *FULL))])
+    run = backtest.run(_packed(spark, folder, 1), jobs, strategies={"MOMENTUM": strategy})
+    return run.results().drop("error_message")
+
+
+def custom_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    return _custom(spark, folder, FrameStrategy(momentum_frame))
+
+
+def custom_pandas_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    return _custom(spark, folder, PandasStrategy(momentum_pandas))
+
+
+def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """All bars written as text per symbol and read back."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    csv_bars.save(tables.bars(spark, folder), path)
+    return csv_bars.load_saved(spark, path)
+
+
+def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars as lines of which every 11th date lacks a field, every 13th holds a word and every 17th
+    has high below low; the rejects with their reason."""
+    day = F.datediff("date", F.lit("1995-01-01").cast("date"))
+    money = {c: F.format_string("%.2f", F.col(c) / 100.0) for c in csv_bars.PRICES}
+    swapped = F.pmod(day, F.lit(17)) == 0
+    low = F.when(swapped, F.format_string("%.2f", F.col("high") / 100.0 + 1)).otherwise(money["low"])
+    full = F.concat_ws(
+        ",", F.date_format("date", "yyyy-MM-dd"), money["open"], money["high"], low,
+        F.when(F.pmod(day, F.lit(13)) == 0, F.lit("n/a")).otherwise(money["close"]), "volume", F.lit("extra"),
+    )
+    short = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), money["open"], money["high"])
+    raw = tables.bars(spark, folder).select(
+        "symbol", F.when(F.pmod(day, F.lit(11)) == 0, short).otherwise(full).alias("line")
+    )
+    path = f"{shared_folder(spark)}/dirty-{uuid.uuid4().hex}"
+    raw.select("symbol", F.col("line").alias("value")).write.partitionBy("symbol").text(path)
+    lines = spark.read.text(path).select("symbol", F.col("value").alias("line"))
+    return csv_bars.quarantine(csv_bars.parsed(lines))
+
+
+def job_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The sweep's job list written as text and read back, numbered in line order."""
+    listed = _jobs(spark, folder, SWEEP)
+    text = listed.withColumn(
+        "value",
+        F.concat_ws(",", "symbol", "strategy", "start_date", "end_date", "short_window", "long_window", "initial_capital"),
+    )
+    header = spark.range(1).select(F.lit(0).cast("bigint").alias("job_id"), F.lit("symbol,strategy,…").alias("value"))
+    path = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    (
+        header.unionByName(text.select("job_id", "value"))
+        .repartitionByRange(1, "job_id").sortWithinPartitions("job_id").select("value").write.text(path)
+    )
+    return jobs_csv.load(spark, path)
+
+
+def stream_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """The single-pair backtest over bars that arrive in four steps."""
+    bars = tables.bars(spark, folder).select("symbol", "date", "close")
+    path = feed.write_in_steps(bars, "date", ["1996-07-01", "1998-01-01", "2000-03-01"])
+    jobs = written(_jobs(spark, folder, [_param(*PAIR, *FULL)]), "jobs")
+    rows = feed.drain(spark, path, bars.schema, lambda s: stream_results.results(s, jobs), "update")
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), "batch").alias("r"))
+    return last.select("job_id", "r.*").select(
+        "job_id", "symbol", "bars",
+        *[F.round(c, 6).alias(c) for c in ("total_return", "sharpe_ratio", "max_drawdown")],
+        "final_value", "num_trades", "winning", "losing", "late_bars",
+    )
+
+
+def stream_liveness(spark: SparkSession, folder: str) -> DataFrame:
+    """Alive periods of all users from a stream of events; a closing beat ends the open ones."""
+    beats = tables.heartbeats(spark, folder).select("entity", F.col("ts").cast("timestamp").alias("ts"))
+    closing = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("entity"), F.lit("2024-03-01 00:00:00").cast("timestamp").alias("ts")
+    )
+    feedable = beats.unionByName(closing).withColumn("day", F.to_date("ts"))
+    path = feed.write_in_steps(feedable, "day", ["2024-01-10", "2024-01-20", "2024-02-15"])
+    rows = feed.drain(
+        spark, path, feedable.schema, lambda s: stream_live.sessions(s, SILENCE), "append"
+    )
+    return rows.filter("entity >= 0").select(
+        "entity", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
+        F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "beats",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -310,6 +420,7 @@ QUERIES = {
         round_trips, equity_curve, equity_returns, drawdown_curve, backtest_result, backtest_sweep,
         job_status, run_summary, job_lookup, job_missing, scalability_report, trading_calendar,
         price_path, liveness_gaps, dead_entities, latest_status, orphaned_jobs, ledger_counts,
-        state_latest, state_open_jobs, resume_equivalence,
+        state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
+        csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness,
     )
 }

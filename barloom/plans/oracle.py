@@ -192,6 +192,15 @@ def run_sql(params: list[dict], tail: str) -> str:
     return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{SIGNALS},{FOLD}\n{tail}"
 
 
+def momentum_sql(params: list[dict]) -> str:
+    """The example strategy: the sign of the change of the close."""
+    signals = SIGNALS[: SIGNALS.index("summed AS")] + """
+signals AS (
+  SELECT *, CAST(coalesce(sign(close - lag(close) OVER (PARTITION BY job_id ORDER BY pos)), 0) AS INTEGER) AS signal
+  FROM sliced)"""
+    return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{signals},{FOLD}\nSELECT * FROM results"
+
+
 def signal_sql(params: list[dict], tail: str) -> str:
     return f"WITH {BARS},{jobs_cte(params)},{SIGNALS}\n{tail}"
 
@@ -287,4 +296,28 @@ def oracle() -> dict[str, str]:
         "state_latest": state_sql(single, ["1999-12-31"], "SELECT * EXCLUDE (until) FROM reached"),
         "state_open_jobs": state_sql(single, ["1999-12-31"], "SELECT job_id FROM reached WHERE shares > 0"),
         "resume_equivalence": run_sql(single, "SELECT * FROM results"),
+        "custom_strategy": momentum_sql(single),
+        "custom_pandas_strategy": momentum_sql(single),
+        "csv_scan": f"WITH {BARS} SELECT * FROM bars",
+        "csv_quarantine": f"""WITH {BARS}, t AS (
+            SELECT *, {day} AS day, printf('%.2f', open / 100.0) AS o, printf('%.2f', high / 100.0) AS h,
+              CASE WHEN {day} % 17 = 0 THEN printf('%.2f', high / 100.0 + 1) ELSE printf('%.2f', low / 100.0) END AS l,
+              CASE WHEN {day} % 13 = 0 THEN 'n/a' ELSE printf('%.2f', close / 100.0) END AS c FROM bars)
+            SELECT symbol,
+              CASE WHEN day % 11 = 0 THEN concat_ws(',', strftime(date, '%Y-%m-%d'), o, h)
+                   ELSE concat_ws(',', strftime(date, '%Y-%m-%d'), o, h, l, c, CAST(volume AS VARCHAR), 'extra') END AS line,
+              CASE WHEN day % 11 = 0 THEN 'insufficient columns' WHEN day % 13 = 0 THEN 'unparseable value'
+                   ELSE 'invalid bar' END AS reason
+            FROM t WHERE day % 11 = 0 OR day % 13 = 0 OR day % 17 = 0""",
+        "job_list": f"""WITH {jobs_cte(SWEEP)} SELECT job_id, symbol, 'SMA' AS strategy, start_date, end_date,
+            CAST(short_window AS INTEGER) AS short_window, CAST(long_window AS INTEGER) AS long_window,
+            CAST(initial_capital AS DOUBLE) AS initial_capital FROM jobs""",
+        "stream_backtest": run_sql(single, """SELECT r.job_id, r.symbol, r.total_return, r.sharpe_ratio, r.max_drawdown,
+            r.final_value, r.num_trades, r.winning, r.losing, 0 AS late_bars,
+            (SELECT count(*) FROM sliced s WHERE s.job_id = r.job_id) AS bars FROM results r"""),
+        "stream_liveness": f"""WITH {beats}, m AS (
+            SELECT entity, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) // 1000000 <= {SILENCE} THEN 0 ELSE 1 END AS fresh
+            FROM beats WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+            n AS (SELECT *, sum(fresh) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+            SELECT entity, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS beats FROM n GROUP BY entity, k""",
     }
