@@ -28,21 +28,27 @@ def with_blocks(bars: DataFrame, layout: str = "auto", unique_dates: bool = Fals
     """Choose the blocks of the ranking scan.
 
     With at most one bar per date a calendar block holds at most BLOCK_DAYS rows. Otherwise the
-    largest calendar block is measured, and range blocks are used where it is too large.
+    largest calendar block is measured, and range blocks are used where it is too large or where
+    dates are kept as text.
     """
+    if dict(bars.dtypes)["date"] == "string":
+        layout = "range"
+        unique_dates = False
+    if layout == "range":
+        return _range_blocks(bars, bars.count())
     by_period = bars.withColumn("block", period_block(F.col("date"), BLOCK_DAYS))
-    if layout == "period" or (layout == "auto" and unique_dates):
+    if layout == "period" or unique_dates:
         return by_period
-    total, largest = 0, 0
-    if layout == "auto":
-        sizes = by_period.groupBy("symbol", "block").count()
-        total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-        if (largest or 0) <= MAX_ROWS_PER_BLOCK:
-            return by_period
-    else:
-        total = bars.count()
+    sizes = by_period.groupBy("symbol", "block").count()
+    total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+    if (largest or 0) <= MAX_ROWS_PER_BLOCK:
+        return by_period
+    return _range_blocks(bars, total)
+
+
+def _range_blocks(bars: DataFrame, rows: int) -> DataFrame:
     order = [c for c in BAR_ORDER if c in bars.columns]
-    parts = max(1, -(-(total or 0) // (MAX_ROWS_PER_BLOCK // 4)))
+    parts = max(1, -(-rows * 4 // MAX_ROWS_PER_BLOCK))
     return range_block(bars, ["symbol"], order, parts)
 
 

@@ -95,50 +95,55 @@ def changes(placed_blocks: DataFrame) -> DataFrame:
     ago, and the same one bar earlier), so the loop over the bars only subtracts and compares. Its
     rows are generated and filtered inside one stage and never shuffled.
     """
-    start = F.greatest("low_at", "first_at")
-    bars = placed_blocks.withColumn("start", start.cast("int")).withColumn(
-        "n", F.col("high_at") - F.col("start") + 1
-    ).filter("n > 0")
 
-    def from_bar_before(begin: Column) -> Column:
+    def from_bar_before(begin: str) -> str:
         """n + 1 prefix sums from array index `begin`; index -1 stands for "no bar"."""
-        return F.when(begin >= 0, F.slice("sums", begin + 1, F.col("n") + 1)).otherwise(
-            F.concat(F.array(F.lit(None).cast("double")), F.slice("sums", F.lit(1), F.col("n")))
+        return (
+            f"if({begin} >= 0, slice(sums, {begin} + 1, n + 1), "
+            "concat(array(CAST(NULL AS DOUBLE)), slice(sums, 1, n)))"
         )
 
-    bars = bars.select(
-        "job_id", "symbol", "iblock", "short_window", "long_window", "dates", "closes", "start", "n",
-        (F.col("first_idx") + F.col("start")).alias("start_idx"),
-        (F.col("i0") + F.col("long_window")).alias("seed_idx"),
-        F.when(F.col("start") > F.col("first_at"), 0).otherwise(1).alias("first_known"),
-        from_bar_before(F.col("start")).alias("prev_now"),
-        from_bar_before(F.col("start") - F.col("short_window")).alias("prev_short"),
-        from_bar_before(F.col("start") - F.col("long_window")).alias("prev_long"),
-    )
-    for name in ("now", "short", "long"):
-        bars = bars.withColumn(name, F.slice(f"prev_{name}", F.lit(2), F.col("n")))
-
-    k = F.col("k")
-
-    def state(prefix: str) -> Column:
-        now = F.get(f"{prefix}now", k)
-        return _above(now - F.get(f"{prefix}short", k), now - F.get(f"{prefix}long", k))
+    def state(now: str, short: str, long: str) -> str:
+        short_sum, long_sum = f"(get({now}, k) - get({short}, k))", f"(get({now}, k) - get({long}, k))"
+        return (
+            f"CASE WHEN {short_sum} > 0 AND {long_sum} > 0 THEN "
+            f"if({short_sum} * long_window > {long_sum} * short_window, 1, -1) END"
+        )
 
     return (
-        bars.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("dir", state(""))
-        .withColumn("prev_dir", F.when(k >= F.col("first_known"), state("prev_")))
-        .filter(F.col("dir").isNotNull() & ~F.col("dir").eqNullSafe(F.col("prev_dir")))
-        .select(
-            "job_id",
-            "symbol",
-            "iblock",
-            (F.col("start_idx") + k).alias("idx"),
-            F.get("dates", F.col("start") + k).alias("date"),
-            F.get("closes", F.col("start") + k).alias("close"),
-            "dir",
-            "prev_dir",
-            (F.col("start_idx") + k == F.col("seed_idx")).alias("seed"),
+        placed_blocks.selectExpr("*", "CAST(greatest(low_at, first_at) AS INT) AS start")
+        .selectExpr("*", "high_at - start + 1 AS n")
+        .filter("n > 0")
+        .selectExpr(
+            "job_id", "symbol", "iblock", "short_window", "long_window", "dates", "closes", "start", "n",
+            "first_idx + start AS start_idx",
+            "i0 + long_window AS seed_idx",
+            "if(start > first_at, 0, 1) AS first_known",
+            f"{from_bar_before('start')} AS prev_now",
+            f"{from_bar_before('(start - short_window)')} AS prev_short",
+            f"{from_bar_before('(start - long_window)')} AS prev_long",
+        )
+        .selectExpr(
+            "*",
+            "slice(prev_now, 2, n) AS now",
+            "slice(prev_short, 2, n) AS short",
+            "slice(prev_long, 2, n) AS long",
+            "sequence(0, n - 1) AS ks",
+        )
+        .selectExpr("*", "explode(ks) AS k")
+        .selectExpr(
+            "*",
+            f"{state('now', 'short', 'long')} AS dir",
+            f"if(k >= first_known, {state('prev_now', 'prev_short', 'prev_long')}, NULL) AS prev_dir",
+        )
+        .filter("dir IS NOT NULL AND NOT (dir <=> prev_dir)")
+        .selectExpr(
+            "job_id", "symbol", "iblock",
+            "start_idx + k AS idx",
+            "get(dates, start + k) AS date",
+            "get(closes, start + k) AS close",
+            "dir", "prev_dir",
+            "start_idx + k = seed_idx AS seed",
         )
     )
 

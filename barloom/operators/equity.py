@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.metrics import drawdown_percent
@@ -10,90 +10,66 @@ from barloom.operators.jobs import cells
 from barloom.operators.scan import running
 
 
-def _walk(equity: Column) -> Column:
-    """Fold consecutive equity values of a block: Welford moments of the returns, peak, low, drawdown.
-
-    The first element is the bar before the piece; it seeds `prev` and the local peak.
-    """
-    first = F.get(equity, F.lit(0))
-    zero = F.lit(0.0)
-    start = F.struct(
-        first.alias("prev"), zero.alias("n"), zero.alias("mean"), zero.alias("m2"),
-        first.alias("peak"), first.alias("low"), zero.alias("drawdown"),
-    )
-
-    def step(acc: Column, value: Column) -> Column:
-        counts = acc["prev"] > 0
-        n = acc["n"] + 1.0
-        delta = (value - acc["prev"]) / acc["prev"] - acc["mean"]
-        peak = F.greatest(acc["peak"], value)
-        return F.struct(
-            value.alias("prev"),
-            F.when(counts, n).otherwise(acc["n"]).alias("n"),
-            F.when(counts, acc["mean"] + delta / n).otherwise(acc["mean"]).alias("mean"),
-            F.when(counts, acc["m2"] + delta * delta * acc["n"] / n).otherwise(acc["m2"]).alias("m2"),
-            peak.alias("peak"),
-            F.least(acc["low"], value).alias("low"),
-            F.greatest(acc["drawdown"], F.when(peak > 0, (peak - value) / peak).otherwise(zero)).alias("drawdown"),
-        )
-
-    return F.aggregate(F.slice(equity, 2, F.size(equity)), start, step)
+# Fold consecutive equity values of a piece: Welford moments of the returns, peak, low, drawdown.
+# The first element is the bar before the piece; it seeds `prev` and the local peak.
+_CHANGE = "((v - a.prev) / a.prev - a.mean)"
+_WALK = f"""aggregate(slice(equity, 2, size(equity)),
+  named_struct('prev', equity[0], 'n', 0D, 'mean', 0D, 'm2', 0D,
+               'peak', equity[0], 'low', equity[0], 'drawdown', 0D),
+  (a, v) -> named_struct(
+    'prev', v,
+    'n', if(a.prev > 0, a.n + 1, a.n),
+    'mean', if(a.prev > 0, a.mean + {_CHANGE} / (a.n + 1), a.mean),
+    'm2', if(a.prev > 0, a.m2 + {_CHANGE} * {_CHANGE} * a.n / (a.n + 1), a.m2),
+    'peak', greatest(a.peak, v),
+    'low', least(a.low, v),
+    'drawdown', if(v < a.peak, greatest(a.drawdown, (a.peak - v) / a.peak), a.drawdown)))"""
 
 
 def pieces(holds: DataFrame, spread_blocks: DataFrame) -> DataFrame:
     """Each holding cut at block borders, reduced to one summary row per piece."""
-    start, stop = F.greatest("own_from", "from"), F.least("own_to", "until")
-    prices = F.slice(
-        "closes",
-        (start - F.col("first_idx")).cast("int"),  # 1-based, so this is the bar before `start`
-        (stop - start + 2).cast("int"),
-    )
-    equity = F.transform(
-        prices,
-        lambda c: F.col("cash_after").cast("double") + F.col("shares_after").cast("double") * c.cast("double"),
-    )
     return (
         cells(holds, "from", "until")
         .join(spread_blocks, ["symbol", "iblock", "salt"])
-        .filter(start <= stop)
-        .select(
+        .selectExpr(
+            "*",
+            "greatest(own_from, `from`) - first_idx AS low_at",
+            "least(own_to, until) - first_idx AS high_at",
+        )
+        .filter("low_at <= high_at")
+        .selectExpr(
             "job_id", "i0", "i1",
-            start.alias("from"),
-            (stop - start + 1).alias("bars"),
-            equity.alias("equity"),
-            F.when(
-                F.col("closed_at").isNull() & (stop == F.col("i1")),
-                F.get("closes", (stop - F.col("first_idx")).cast("int")),
-            ).alias("last_close"),
+            "first_idx + low_at AS `from`",
+            "high_at - low_at + 1 AS bars",
+            # slices count from 1, so this one starts at the bar before the piece
+            """transform(slice(closes, CAST(low_at AS INT), CAST(high_at - low_at + 2 AS INT)),
+                 c -> CAST(cash_after AS DOUBLE) + CAST(shares_after AS DOUBLE) * CAST(c AS DOUBLE)) AS equity""",
+            "if(closed_at IS NULL AND first_idx + high_at = i1, closes[CAST(high_at AS INT)], NULL) AS last_close",
         )
-        .withColumn("walk", _walk(F.col("equity")))
+        .selectExpr("job_id", "i0", "i1", "`from`", "bars", "last_close", f"{_WALK} AS walk")
         .select("job_id", "i0", "i1", "from", "bars", "last_close", "walk.*")
     )
 
 
 def piece_metrics(summaries: DataFrame) -> DataFrame:
     """Per job: moments of the holding returns, peak, max drawdown inside and across pieces."""
-    by_job = Window.partitionBy("job_id")
-    earlier = by_job.orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(by_job)
     return (
-        summaries.withColumn("peak_before", F.max("peak").over(earlier))
-        .withColumn("mean_all", F.when(total > 0, F.sum(F.col("n") * F.col("mean")).over(by_job) / total))
+        summaries.selectExpr(
+            "*",
+            """max(peak) OVER (PARTITION BY job_id ORDER BY `from`
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak_before""",
+            "sum(n * mean) OVER (PARTITION BY job_id) / nullif(sum(n) OVER (PARTITION BY job_id), 0) AS mean_all",
+        )
         .groupBy("job_id")
         .agg(
-            F.sum("n").alias("h_n"),
-            F.max("mean_all").alias("h_mean"),
-            F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("mean_all"), 2)).alias("h_m2"),
-            F.sum(F.col("bars") - F.col("n")).alias("h_skipped"),
-            F.max("peak").alias("h_peak"),
-            F.min("low").alias("h_low"),
-            F.max(
-                F.greatest(
-                    "drawdown",
-                    F.when(F.col("peak_before") > 0, (F.col("peak_before") - F.col("low")) / F.col("peak_before")),
-                )
-            ).alias("h_drawdown"),
-            F.max("last_close").alias("last_close"),
+            F.expr("sum(n) AS h_n"),
+            F.expr("max(mean_all) AS h_mean"),
+            F.expr("sum(m2 + n * pow(mean - mean_all, 2)) AS h_m2"),
+            F.expr("sum(bars - n) AS h_skipped"),
+            F.expr("max(peak) AS h_peak"),
+            F.expr("min(low) AS h_low"),
+            F.expr("max(greatest(drawdown, (peak_before - low) / nullif(peak_before, 0))) AS h_drawdown"),
+            F.expr("max(last_close) AS last_close"),
         )
     )
 

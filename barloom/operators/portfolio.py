@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.blocks import BLOCK_BITS
@@ -20,10 +20,6 @@ ROUND_BITS = 6  # blocks of a job per round: 2^6 * 4096 = 262,144 bars
 BARS_PER_ROUND = 1 << (ROUND_BITS + BLOCK_BITS)
 CHUNK = 128
 
-TRADES = (
-    "array<struct<idx:bigint,date:date,signal:int,price:bigint,shares:bigint,"
-    "value:bigint,cash_after:bigint,shares_after:bigint>>"
-)
 PORTFOLIO = [
     "cash", "shares", "last_buy_value", "last_trade_idx", "num_trades", "winning", "losing", "fault",
 ]
@@ -33,59 +29,65 @@ def opening_portfolio(spans: DataFrame) -> DataFrame:
     """Spans with the portfolio they start from: the capital, or a saved state where one is given."""
     if "cash" in spans.columns:
         return spans
-    return spans.withColumns(
-        {
-            "cash": F.col("capital"),
-            "shares": F.lit(0).cast("bigint"),
-            "last_buy_value": F.lit(None).cast("bigint"),
-            "last_trade_idx": F.lit(None).cast("bigint"),
-            "num_trades": F.lit(0).cast("bigint"),
-            "winning": F.lit(0).cast("bigint"),
-            "losing": F.lit(0).cast("bigint"),
-            "fault": F.lit(None).cast("string"),
-        }
+    return spans.selectExpr(
+        "*",
+        "capital AS cash",
+        "0L AS shares",
+        "CAST(NULL AS BIGINT) AS last_buy_value",
+        "CAST(NULL AS BIGINT) AS last_trade_idx",
+        "0L AS num_trades",
+        "0L AS winning",
+        "0L AS losing",
+        "CAST(NULL AS STRING) AS fault",
     )
 
 
-def _step(acc: Column, act: Column) -> Column:
-    cash, shares, close = acc["cash"], acc["shares"], act["close"]
-    wants_buy = (act["signal"] == BUY) & (shares == 0)
-    bought = F.when(wants_buy & (close > 0), F.call_function("div", cash, close)).otherwise(F.lit(0))
-    buys = F.coalesce(bought > 0, F.lit(False))
-    sells = (act["signal"] == SELL) & (shares > 0)
-    proceeds = F.try_multiply(shares, close)
-    profit = proceeds - acc["last_buy_value"]
-    cash_after = F.when(buys, cash - bought * close).when(sells, F.try_add(cash, proceeds)).otherwise(cash)
-    shares_after = F.when(buys, bought).when(sells, F.lit(0)).otherwise(shares).cast("bigint")
-    trade = F.struct(
-        act["idx"].alias("idx"),
-        act["date"].alias("date"),
-        act["signal"].alias("signal"),
-        close.alias("price"),
-        F.when(buys, bought).otherwise(shares).cast("bigint").alias("shares"),
-        F.when(buys, bought * close).otherwise(proceeds).alias("value"),
-        cash_after.alias("cash_after"),
-        shares_after.alias("shares_after"),
+# One actionable bar `act` on the portfolio `s`. A BUY spends all cash on whole shares, so what is
+# left is the remainder of the division. The expressions are SQL text: one call to the JVM each.
+_BUYS = f"(act.signal = {BUY} AND s.shares = 0 AND act.close > 0 AND s.cash >= act.close)"
+_SELLS = f"(act.signal = {SELL} AND s.shares > 0)"
+_PROCEEDS = "try_multiply(s.shares, act.close)"
+_CASH = f"CASE WHEN {_BUYS} THEN s.cash % act.close WHEN {_SELLS} THEN try_add(s.cash, {_PROCEEDS}) ELSE s.cash END"
+_SHARES = f"CASE WHEN {_BUYS} THEN s.cash div act.close WHEN {_SELLS} THEN 0L ELSE s.shares END"
+_PAID = "s.cash - s.cash % act.close"
+_WINS = f"coalesce({_PROCEEDS} > s.last_buy_value, false)"
+_STEP = f"""named_struct(
+  'cash', {_CASH},
+  'shares', {_SHARES},
+  'last_buy_value', if({_BUYS}, {_PAID}, s.last_buy_value),
+  'last_trade_idx', if({_BUYS} OR {_SELLS}, act.idx, s.last_trade_idx),
+  'num_trades', if({_BUYS} OR {_SELLS}, s.num_trades + 1, s.num_trades),
+  'winning', if({_SELLS} AND {_WINS}, s.winning + 1, s.winning),
+  'losing', if({_SELLS} AND NOT {_WINS}, s.losing + 1, s.losing),
+  'fault', coalesce(s.fault, CASE
+    WHEN act.signal = {BUY} AND s.shares = 0 AND act.close = 0 THEN 'Invalid job: zero price at BUY'
+    WHEN {_SELLS} AND try_add(s.cash, {_PROCEEDS}) IS NULL THEN 'Invalid job: numeric overflow' END),
+  'done', s.done,
+  'current', if({_BUYS} OR {_SELLS}, array_append(s.current, named_struct(
+    'idx', act.idx, 'date', act.date, 'signal', act.signal, 'price', act.close,
+    'shares', if({_BUYS}, s.cash div act.close, s.shares),
+    'value', if({_BUYS}, {_PAID}, {_PROCEEDS}),
+    'cash_after', {_CASH}, 'shares_after', {_SHARES})), s.current))"""
+
+def _fold_sql(date_type: str) -> str:
+    trades = (
+        f"array<struct<idx:bigint,date:{date_type},signal:int,price:bigint,shares:bigint,"
+        "value:bigint,cash_after:bigint,shares_after:bigint>>"
     )
-    one = F.lit(1).cast("bigint")
-    return F.struct(
-        cash_after.alias("cash"),
-        shares_after.alias("shares"),
-        F.when(buys, bought * close).otherwise(acc["last_buy_value"]).alias("last_buy_value"),
-        F.when(buys | sells, act["idx"]).otherwise(acc["last_trade_idx"]).alias("last_trade_idx"),
-        F.when(buys | sells, acc["num_trades"] + one).otherwise(acc["num_trades"]).alias("num_trades"),
-        F.when(sells & (profit > 0), acc["winning"] + one).otherwise(acc["winning"]).alias("winning"),
-        F.when(sells & ~F.coalesce(profit > 0, F.lit(False)), acc["losing"] + one)
-        .otherwise(acc["losing"])
-        .alias("losing"),
-        F.coalesce(
-            acc["fault"],
-            F.when(wants_buy & (close == 0), F.lit("Invalid job: zero price at BUY")),
-            F.when(sells & cash_after.isNull(), F.lit("Invalid job: numeric overflow")),
-        ).alias("fault"),
-        acc["done"].alias("done"),
-        F.when(buys | sells, F.array_append(acc["current"], trade)).otherwise(acc["current"]).alias("current"),
+    nothing = f"from_json('[]', '{trades}')"
+    start = (
+        "named_struct(" + ", ".join(f"'{name}', {name}" for name in PORTFOLIO)
+        + f", 'done', from_json('[]', 'array<{trades}>'), 'current', {nothing})"
     )
+    close_chunk = (
+        "named_struct(" + ", ".join(f"'{name}', s.{name}" for name in PORTFOLIO)
+        + f", 'done', array_append(s.done, s.current), 'current', {nothing})"
+    )
+    return f"""CASE WHEN size(acts) > 0 THEN aggregate(
+      transform(sequence(0, (size(acts) - 1) div {CHUNK}), k -> slice(acts, CAST(k * {CHUNK} + 1 AS INT), {CHUNK})),
+      {start},
+      (outer, chunk) -> aggregate(chunk, outer, (s, act) -> {_STEP}, s -> {close_chunk}))
+    ELSE {start} END"""
 
 
 def _fold_once(acts: DataFrame, opening: DataFrame) -> DataFrame:
@@ -94,40 +96,13 @@ def _fold_once(acts: DataFrame, opening: DataFrame) -> DataFrame:
     Trades are appended to short chunks, which keeps the cost of growing the list linear.
     """
     grouped = acts.groupBy("job_id").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "signal", "close", "date"))).alias("acts")
+        F.expr("sort_array(collect_list(struct(idx, signal, close, date)))").alias("acts")
     )
-    no_trades = F.from_json(F.lit("[]"), TRADES)
-    nothing_done = F.from_json(F.lit("[]"), f"array<{TRADES}>")
-    start = F.struct(*PORTFOLIO, nothing_done.alias("done"), no_trades.alias("current"))
-
-    def close_chunk(acc: Column) -> Column:
-        return F.struct(
-            *[acc[name].alias(name) for name in PORTFOLIO],
-            F.array_append(acc["done"], acc["current"]).alias("done"),
-            no_trades.alias("current"),
-        )
-
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.call_function("div", F.size("acts") - 1, F.lit(CHUNK)).cast("int")),
-        lambda k: F.slice("acts", k * CHUNK + 1, CHUNK),
-    )
-    folded = F.when(
-        F.size("acts") > 0,
-        F.aggregate(
-            chunks, start, lambda acc, chunk: F.aggregate(chunk, acc, _step, close_chunk)
-        ),
-    ).otherwise(start)
     kept = [c for c in opening.columns if c not in PORTFOLIO]
     return (
         opening.join(grouped, "job_id", "left")
-        .withColumn("acts", F.coalesce("acts", F.expr("array()").cast(
-            "array<struct<idx:bigint,signal:int,close:bigint,date:date>>")))
-        .withColumn("after", folded)
-        .select(
-            *kept,
-            *[F.col("after")[name].alias(name) for name in PORTFOLIO],
-            F.flatten(F.col("after")["done"]).alias("trades"),
-        )
+        .withColumn("after", F.expr(_fold_sql(dict(acts.dtypes)["date"])))
+        .selectExpr(*kept, *[f"after.{name} AS {name}" for name in PORTFOLIO], "flatten(after.done) AS trades")
     )
 
 

@@ -9,8 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Moments of a job without returns so far.
-EMPTY_MOMENTS = {"n": 0.0, "mean": 0.0, "m2": 0.0, "peak": 0.0, "drawdown": 0.0}
+MOMENTS = {
+    "saved_value": "BIGINT",
+    "saved_n": "DOUBLE",
+    "saved_mean": "DOUBLE",
+    "saved_m2": "DOUBLE",
+    "saved_peak": "DOUBLE",
+    "saved_drawdown": "DOUBLE",
+}
 
 
 def latest(snapshots: DataFrame) -> DataFrame:

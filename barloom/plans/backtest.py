@@ -135,87 +135,68 @@ def run(
 
 
 def outcome(placed: DataFrame, folded: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Per job of `placed`: portfolio, final value, moments of the returns, drawdown, error."""
-    known = [c for c in folded.columns if c.startswith("saved_")]
+    """Per job of `placed`: portfolio, final value, moments of the returns, drawdown, error.
+
+    The moments pool three groups: saved returns, returns while holding, zero returns while flat.
+    """
+    before = [c for c in saved.MOMENTS if c in folded.columns]
     joined = placed.join(
-        folded.select("job_id", "r0", *portfolio.PORTFOLIO, *known), "job_id", "left"
+        folded.select("job_id", "r0", *portfolio.PORTFOLIO, *before), "job_id", "left"
     ).join(metrics, "job_id", "left")
-    for name, empty in saved.EMPTY_MOMENTS.items():
-        value = F.col(f"saved_{name}") if f"saved_{name}" in known else F.lit(None)
-        joined = joined.withColumn(f"saved_{name}", F.coalesce(value, F.lit(empty)))
-    saved_value = F.col("saved_value") if "saved_value" in known else F.lit(None).cast("bigint")
-
-    # a position bought at the very last bar has no later close; its value is what was paid
-    open_value = F.when(F.col("last_close").isNotNull(), F.try_multiply("shares", "last_close")).otherwise(
-        F.col("last_buy_value")
-    )
-    final = (
-        F.when(F.col("r0") > F.col("i1"), saved_value)
-        .when(F.col("shares") == 0, F.col("cash"))
-        .otherwise(F.try_add("cash", open_value))
-    )
-    joined = joined.withColumn("final", final)
-
-    steps = F.greatest(F.lit(0), F.col("i1") - F.greatest(F.col("r0"), F.col("i0") + 1) + 1)
-    ruined = F.when(
-        (F.col("shares") == 0) & (F.col("cash") <= 0),
-        F.col("i1") - F.greatest(F.col("last_trade_idx"), F.col("r0") - 1),
-    )
-    skipped = F.coalesce("h_skipped", F.lit(0.0)) + F.coalesce(ruined, F.lit(0))
-    held, held_mean = F.coalesce("h_n", F.lit(0.0)), F.coalesce("h_mean", F.lit(0.0))
-    flat = steps - skipped - held
-    n = F.col("saved_n") + held + flat
-    mean = F.when(n > 0, (F.col("saved_n") * F.col("saved_mean") + held * held_mean) / n).otherwise(0.0)
-    # pooled moments: saved returns, returns while holding, zero returns while flat
-    joined = joined.withColumn("ret_n", n).withColumn("ret_mean", mean).withColumn(
-        "ret_m2",
-        F.col("saved_m2")
-        + F.coalesce("h_m2", F.lit(0.0))
-        + F.col("saved_n") * F.pow(F.col("saved_mean") - F.col("ret_mean"), 2)
-        + held * F.pow(held_mean - F.col("ret_mean"), 2)
-        + flat * F.pow(F.col("ret_mean"), 2),
-    )
-    peak_before = F.greatest(F.col("saved_peak"), F.col("capital").cast("double"))
-    dip = F.when(F.col("h_low").isNotNull(), (peak_before - F.col("h_low")) / peak_before)
-    error = F.coalesce(
-        "invalid",
-        F.when(F.col("i0").isNull(), F.lit("No data in date range")),
-        "fault",
-        F.when(F.col("h_low") < 0, F.lit("Invalid job: negative equity")),
-        F.when(F.col("final").isNull(), F.lit("Invalid job: numeric overflow")),
-    )
+    absent = [f"CAST(NULL AS {kind}) AS {c}" for c, kind in saved.MOMENTS.items() if c not in before]
     return (
-        joined.withColumn("peak", F.greatest(peak_before, "h_peak"))
-        .withColumn("drawdown", F.greatest("saved_drawdown", F.coalesce("h_drawdown", F.lit(0.0)), _saved_dip(known, dip)))
-        .withColumn("error_message", error)
+        joined.selectExpr("*", *absent)
+        .selectExpr(
+            "*",
+            # a position bought at the very last bar has no later close; its value is what was paid
+            """CASE WHEN r0 > i1 THEN saved_value WHEN shares = 0 THEN cash
+                 ELSE try_add(cash, if(last_close IS NULL, last_buy_value, try_multiply(shares, last_close)))
+               END AS final""",
+            "coalesce(saved_n, 0D) AS s_n",
+            "coalesce(saved_mean, 0D) AS s_mean",
+            "coalesce(h_n, 0D) AS held",
+            "coalesce(h_mean, 0D) AS held_mean",
+            # no return at the first bar of a job, nor after a value that is not positive
+            """greatest(0L, i1 - greatest(r0, i0 + 1) + 1) - coalesce(h_skipped, 0D) - coalesce(h_n, 0D)
+               - coalesce(if(shares = 0 AND cash <= 0, i1 - greatest(last_trade_idx, r0 - 1), 0L), 0L) AS flat""",
+            "greatest(saved_peak, CAST(capital AS DOUBLE)) AS peak_before",
+        )
+        .selectExpr("*", "s_n + held + flat AS ret_n", "coalesce((s_n * s_mean + held * held_mean) / nullif(s_n + held + flat, 0), 0D) AS ret_mean")
+        .selectExpr(
+            "*",
+            """coalesce(saved_m2, 0D) + coalesce(h_m2, 0D) + s_n * pow(s_mean - ret_mean, 2)
+               + held * pow(held_mean - ret_mean, 2) + flat * pow(ret_mean, 2) AS ret_m2""",
+            "greatest(peak_before, h_peak) AS peak",
+            "greatest(saved_drawdown, h_drawdown, (peak_before - h_low) / peak_before, 0D) AS drawdown",
+            """coalesce(invalid, if(i0 IS NULL, 'No data in date range', NULL), fault,
+                 if(h_low < 0, 'Invalid job: negative equity', NULL),
+                 if(final IS NULL, 'Invalid job: numeric overflow', NULL)) AS error_message""",
+        )
     )
 
 
-def _saved_dip(known: list[str], dip):
-    """A resumed job can fall below the peak of its saved part."""
-    return F.coalesce(dip, F.lit(0.0)) if known else F.lit(0.0)
-
-
 def result_rows(outcomes: DataFrame) -> DataFrame:
     """Result rows; failures are rows with zero metrics and a message."""
     ok = F.col("error_message").isNull()
-    deviation = F.sqrt(F.when(F.col("ret_n") > 0, F.col("ret_m2") / F.col("ret_n")).otherwise(0.0))
-
-    def when_ok(value, otherwise=0.0):
-        return F.when(ok, value).otherwise(F.lit(otherwise))
-
+    deviation = F.expr("sqrt(coalesce(ret_m2 / nullif(ret_n, 0), 0D))")
     return outcomes.select(
         "job_id",
         "symbol",
-        F.round(when_ok(total_return_percent(F.col("final"), F.col("capital"))), 6).alias("total_return"),
-        F.round(when_ok(sharpe_ratio(F.col("ret_n"), F.col("ret_mean"), deviation)), 6).alias("sharpe_ratio"),
-        F.round(when_ok(F.col("drawdown") * 100.0), 6).alias("max_drawdown"),
-        when_ok(F.col("final") / float(MINOR_UNITS)).alias("final_value"),
-        when_ok(F.col("num_trades"), 0).cast("int").alias("num_trades"),
-        when_ok(F.col("winning"), 0).cast("int").alias("winning"),
-        when_ok(F.col("losing"), 0).cast("int").alias("losing"),
+        total_return_percent(F.col("final"), F.col("capital")).alias("total_return"),
+        sharpe_ratio(F.col("ret_n"), F.col("ret_mean"), deviation).alias("sharpe_ratio"),
+        "drawdown", "final", "num_trades", "winning", "losing",
         ok.alias("success"),
         "error_message",
+    ).selectExpr(
+        "job_id",
+        "symbol",
+        "if(success, round(total_return, 6), 0D) AS total_return",
+        "if(success, round(sharpe_ratio, 6), 0D) AS sharpe_ratio",
+        "if(success, round(drawdown * 100D, 6), 0D) AS max_drawdown",
+        f"if(success, final / {MINOR_UNITS}D, 0D) AS final_value",
+        *[f"CAST(if(success, {c}, 0L) AS INT) AS {c}" for c in ("num_trades", "winning", "losing")],
+        "success",
+        "error_message",
     )
 
 
