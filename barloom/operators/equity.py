@@ -10,20 +10,10 @@ from barloom.operators.jobs import cells
 from barloom.operators.scan import running
 
 
-# Fold consecutive equity values of a piece: Welford moments of the returns, peak, low, drawdown.
-# The first element is the bar before the piece; it seeds `prev` and the local peak.
-_CHANGE = "((v - a.prev) / a.prev - a.mean)"
-_WALK = f"""aggregate(slice(equity, 2, size(equity)),
-  named_struct('prev', equity[0], 'n', 0D, 'mean', 0D, 'm2', 0D,
-               'peak', equity[0], 'low', equity[0], 'drawdown', 0D),
-  (a, v) -> named_struct(
-    'prev', v,
-    'n', if(a.prev > 0, a.n + 1, a.n),
-    'mean', if(a.prev > 0, a.mean + {_CHANGE} / (a.n + 1), a.mean),
-    'm2', if(a.prev > 0, a.m2 + {_CHANGE} * {_CHANGE} * a.n / (a.n + 1), a.m2),
-    'peak', greatest(a.peak, v),
-    'low', least(a.low, v),
-    'drawdown', if(v < a.peak, greatest(a.drawdown, (a.peak - v) / a.peak), a.drawdown)))"""
+# Largest relative fall below the running peak of an array of equity values.
+_DRAWDOWN = """aggregate(equity, named_struct('peak', equity[0], 'fall', 0D),
+  (a, v) -> if(v < a.peak, named_struct('peak', a.peak, 'fall', greatest(a.fall, (a.peak - v) / a.peak)),
+                           named_struct('peak', v, 'fall', a.fall)), a -> a.fall)"""
 
 
 def pieces(holds: DataFrame, spread_blocks: DataFrame) -> DataFrame:
@@ -46,8 +36,22 @@ def pieces(holds: DataFrame, spread_blocks: DataFrame) -> DataFrame:
                  c -> CAST(cash_after AS DOUBLE) + CAST(shares_after AS DOUBLE) * CAST(c AS DOUBLE)) AS equity""",
             "if(closed_at IS NULL AND first_idx + high_at = i1, closes[CAST(high_at AS INT)], NULL) AS last_close",
         )
-        .selectExpr("job_id", "i0", "i1", "`from`", "bars", "last_close", f"{_WALK} AS walk")
-        .select("job_id", "i0", "i1", "from", "bars", "last_close", "walk.*")
+        # a return needs a positive value before it
+        .selectExpr(
+            "*",
+            """filter(zip_with(slice(equity, 2, size(equity)), slice(equity, 1, size(equity) - 1),
+                 (v, p) -> if(p > 0, (v - p) / p, NULL)), r -> r IS NOT NULL) AS rets""",
+        )
+        .selectExpr("*", "aggregate(rets, 0D, (a, r) -> a + r) / nullif(size(rets), 0) AS average")
+        .selectExpr(
+            "job_id", "i0", "i1", "`from`", "bars", "last_close",
+            "CAST(size(rets) AS DOUBLE) AS n",
+            "coalesce(average, 0D) AS mean",
+            "aggregate(rets, 0D, (a, r) -> a + (r - average) * (r - average)) AS m2",
+            "array_max(equity) AS peak",
+            "array_min(equity) AS low",
+            f"{_DRAWDOWN} AS drawdown",
+        )
     )
 
 

@@ -9,7 +9,7 @@ from barloom.operators.blocks import block_of
 from barloom.operators.scan import running
 from barloom.schemas import MINOR_UNITS
 
-JOBS_PER_CELL = 256
+JOBS_PER_CELL = 16
 
 
 def grid(symbols: DataFrame, params: list[dict]) -> DataFrame:

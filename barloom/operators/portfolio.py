@@ -1,28 +1,32 @@
 """The order-dependent fold: actionable signals into an all-in, whole-share portfolio.
 
-Whole shares make the recursion non-linear, so a job's trades depend on each other in order. Only
-bars with an actionable signal enter the fold, and one fold call sees a bounded stretch of a job:
-series longer than BARS_PER_ROUND are folded in rounds that hand the portfolio on.
+Whole shares make the recursion non-linear: every trade depends on the cash the one before left, so
+the trades of one job can only be found in order. Spark does the rest: it brings the few actionable
+rows of a job together, sorted, and streams them in Arrow batches through a small loop that keeps
+three numbers per job. Nothing is collected per job, however many rows it has.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from barloom.operators.blocks import BLOCK_BITS
 from barloom.schemas import BUY, SELL
 from barloom.storage import written
 
-ROUND_BITS = 6  # blocks of a job per round: 2^6 * 4096 = 262,144 bars
-BARS_PER_ROUND = 1 << (ROUND_BITS + BLOCK_BITS)
-CHUNK = 128
-
 PORTFOLIO = [
     "cash", "shares", "last_buy_value", "last_trade_idx", "num_trades", "winning", "losing", "fault",
 ]
+_OPENING = ["open_cash", "open_shares", "open_buy_value"]
+_MADE = {
+    "shares": pa.int64(), "value": pa.int64(), "cash_after": pa.int64(), "shares_after": pa.int64(),
+    "profit": pa.int64(), "fault": pa.string(),
+}
+_LARGEST = 2**63 - 1
 
 
 def opening_portfolio(spans: DataFrame) -> DataFrame:
@@ -42,95 +46,93 @@ def opening_portfolio(spans: DataFrame) -> DataFrame:
     )
 
 
-# One actionable bar `act` on the portfolio `s`. A BUY spends all cash on whole shares, so what is
-# left is the remainder of the division. The expressions are SQL text: one call to the JVM each.
-_BUYS = f"(act.signal = {BUY} AND s.shares = 0 AND act.close > 0 AND s.cash >= act.close)"
-_SELLS = f"(act.signal = {SELL} AND s.shares > 0)"
-_PROCEEDS = "try_multiply(s.shares, act.close)"
-_CASH = f"CASE WHEN {_BUYS} THEN s.cash % act.close WHEN {_SELLS} THEN try_add(s.cash, {_PROCEEDS}) ELSE s.cash END"
-_SHARES = f"CASE WHEN {_BUYS} THEN s.cash div act.close WHEN {_SELLS} THEN 0L ELSE s.shares END"
-_PAID = "s.cash - s.cash % act.close"
-_WINS = f"coalesce({_PROCEEDS} > s.last_buy_value, false)"
-_STEP = f"""named_struct(
-  'cash', {_CASH},
-  'shares', {_SHARES},
-  'last_buy_value', if({_BUYS}, {_PAID}, s.last_buy_value),
-  'last_trade_idx', if({_BUYS} OR {_SELLS}, act.idx, s.last_trade_idx),
-  'num_trades', if({_BUYS} OR {_SELLS}, s.num_trades + 1, s.num_trades),
-  'winning', if({_SELLS} AND {_WINS}, s.winning + 1, s.winning),
-  'losing', if({_SELLS} AND NOT {_WINS}, s.losing + 1, s.losing),
-  'fault', coalesce(s.fault, CASE
-    WHEN act.signal = {BUY} AND s.shares = 0 AND act.close = 0 THEN 'Invalid job: zero price at BUY'
-    WHEN {_SELLS} AND try_add(s.cash, {_PROCEEDS}) IS NULL THEN 'Invalid job: numeric overflow' END),
-  'done', s.done,
-  'current', if({_BUYS} OR {_SELLS}, array_append(s.current, named_struct(
-    'idx', act.idx, 'date', act.date, 'signal', act.signal, 'price', act.close,
-    'shares', if({_BUYS}, s.cash div act.close, s.shares),
-    'value', if({_BUYS}, {_PAID}, {_PROCEEDS}),
-    'cash_after', {_CASH}, 'shares_after', {_SHARES})), s.current))"""
-
-def _fold_sql(date_type: str) -> str:
-    trades = (
-        f"array<struct<idx:bigint,date:{date_type},signal:int,price:bigint,shares:bigint,"
-        "value:bigint,cash_after:bigint,shares_after:bigint>>"
-    )
-    nothing = f"from_json('[]', '{trades}')"
-    start = (
-        "named_struct(" + ", ".join(f"'{name}', {name}" for name in PORTFOLIO)
-        + f", 'done', from_json('[]', 'array<{trades}>'), 'current', {nothing})"
-    )
-    close_chunk = (
-        "named_struct(" + ", ".join(f"'{name}', s.{name}" for name in PORTFOLIO)
-        + f", 'done', array_append(s.done, s.current), 'current', {nothing})"
-    )
-    return f"""CASE WHEN size(acts) > 0 THEN aggregate(
-      transform(sequence(0, (size(acts) - 1) div {CHUNK}), k -> slice(acts, CAST(k * {CHUNK} + 1 AS INT), {CHUNK})),
-      {start},
-      (outer, chunk) -> aggregate(chunk, outer, (s, act) -> {_STEP}, s -> {close_chunk}))
-    ELSE {start} END"""
-
+def execute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Actionable rows in order of (job_id, idx) -> the rows that became trades, and faults.
 
-def _fold_once(acts: DataFrame, opening: DataFrame) -> DataFrame:
-    """One row per job of `opening`: its columns, the portfolio afterwards, and the trades made.
-
-    Trades are appended to short chunks, which keeps the cost of growing the list linear.
+    BUY when flat: as many whole shares as the cash allows, at the close. SELL when invested: all
+    of them. A BUY that affords nothing and a SELL when flat are ignored.
     """
-    grouped = acts.groupBy("job_id").agg(
-        F.expr("sort_array(collect_list(struct(idx, signal, close, date)))").alias("acts")
-    )
-    kept = [c for c in opening.columns if c not in PORTFOLIO]
-    return (
-        opening.join(grouped, "job_id", "left")
-        .withColumn("after", F.expr(_fold_sql(dict(acts.dtypes)["date"])))
-        .selectExpr(*kept, *[f"after.{name} AS {name}" for name in PORTFOLIO], "flatten(after.done) AS trades")
-    )
+    job, cash, shares, paid, ruined = None, 0, 0, 0, False
+    for batch in batches:
+        rows, made = [], {name: [] for name in _MADE}
+        columns = [batch.column(c).to_pylist() for c in ("job_id", "signal", "close", *_OPENING)]
+        for i, (job_id, signal, close, open_cash, open_shares, open_paid) in enumerate(zip(*columns)):
+            if job_id != job:
+                job, cash, shares, paid, ruined = job_id, open_cash, open_shares, open_paid, False
+            if ruined:
+                continue
+            quantity, value, profit, fault = 0, 0, None, None
+            if signal == BUY and shares == 0:
+                if close == 0:
+                    ruined, fault = True, "Invalid job: zero price at BUY"
+                elif 0 < close <= cash:
+                    quantity = cash // close
+                    value = paid = quantity * close
+                    cash, shares = cash - value, quantity
+            elif signal == SELL and shares > 0:
+                quantity, value = shares, shares * close
+                profit = value - paid
+                cash, shares = cash + value, 0
+                if max(abs(value), abs(cash)) > _LARGEST:
+                    ruined, fault = True, "Invalid job: numeric overflow"
+            if fault is not None:
+                quantity, value, profit = None, None, None
+            elif quantity == 0:
+                continue
+            rows.append(i)
+            values = (quantity, value, None if fault else cash, None if fault else shares, profit, fault)
+            for name, cell in zip(_MADE, values):
+                made[name].append(cell)
+        kept = batch.drop_columns(_OPENING).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, *[pa.array(made[name], kind) for name, kind in _MADE.items()]],
+            names=[*kept.schema.names, *_MADE],
+        )
 
 
-def fold(acts: DataFrame, spans: DataFrame, max_bars: int) -> tuple[DataFrame, DataFrame]:
-    """(portfolio per job after its last bar, trades as rows), both as written tables.
+def fold(acts: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(portfolio per job after its last bar, trades as rows).
 
-    `acts`: job_id, iblock, idx, date, close, signal, actionable rows only. `max_bars` is the
-    largest number of bars of a job; above BARS_PER_ROUND the fold runs in rounds.
+    `acts`: job_id, symbol, iblock, idx, date, close, signal, actionable rows only.
     """
+    parts = int(acts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     opening = opening_portfolio(spans)
-    if max_bars <= BARS_PER_ROUND:
-        folded = written(_fold_once(acts, opening), "folded")
-        return folded.drop("trades"), trade_rows(folded)
-
-    numbered = written(acts.withColumn("round", F.shiftright("iblock", ROUND_BITS)), "actions")
-    first, last = numbered.agg(F.min("round"), F.max("round")).first()
-    portfolio, parts = opening, []
-    for number in range(first or 0, (last or 0) + 1):
-        folded = written(
-            _fold_once(numbered.filter(F.col("round") == number).drop("round"), portfolio), "folded"
-        )
-        parts.append(trade_rows(folded))
-        portfolio = folded.drop("trades")
-    return portfolio, reduce(DataFrame.union, parts)
-
-
-def trade_rows(folded: DataFrame) -> DataFrame:
-    return folded.select("job_id", "symbol", "salt", "i0", "i1", F.inline("trades"))
+    start = opening.selectExpr(
+        "job_id", "salt", "i0", "i1",
+        "cash AS open_cash", "shares AS open_shares", "coalesce(last_buy_value, 0L) AS open_buy_value",
+    )
+    ordered = (
+        acts.join(start, "job_id").repartition(parts, "job_id").sortWithinPartitions("job_id", "idx")
+    )
+    kept = [f for f in ordered.schema.fields if f.name not in _OPENING]
+    schema = StructType(
+        kept + [StructField(n, StringType() if k == pa.string() else LongType()) for n, k in _MADE.items()]
+    )
+    made = written(ordered.mapInArrow(execute, schema), "trades")
+    trades = made.filter("fault IS NULL").drop("fault", "iblock").withColumnRenamed("close", "price")
+
+    after = made.groupBy("job_id").agg(
+        F.expr("max_by(cash_after, idx) AS new_cash"),
+        F.expr("max_by(shares_after, idx) AS new_shares"),
+        F.expr(f"max_by(value, idx) FILTER (WHERE signal = {BUY}) AS new_buy_value"),
+        F.expr("max(idx) AS new_trade_idx"),
+        F.expr("count_if(fault IS NULL) AS new_trades"),
+        F.expr("count_if(profit > 0) AS new_winning"),
+        F.expr("count_if(profit <= 0) AS new_losing"),
+        F.expr("max(fault) AS new_fault"),
+    )
+    portfolio = opening.join(after, "job_id", "left").selectExpr(
+        *[c for c in opening.columns if c not in PORTFOLIO],
+        "coalesce(new_cash, cash) AS cash",
+        "coalesce(new_shares, shares) AS shares",
+        "coalesce(new_buy_value, last_buy_value) AS last_buy_value",
+        "coalesce(new_trade_idx, last_trade_idx) AS last_trade_idx",
+        "num_trades + coalesce(new_trades, 0L) AS num_trades",
+        "winning + coalesce(new_winning, 0L) AS winning",
+        "losing + coalesce(new_losing, 0L) AS losing",
+        "coalesce(fault, new_fault) AS fault",
+    )
+    return portfolio, trades
 
 
 def holdings(trades: DataFrame, resumed: DataFrame | None = None) -> DataFrame:
@@ -139,16 +141,14 @@ def holdings(trades: DataFrame, resumed: DataFrame | None = None) -> DataFrame:
     rows = trades.select(*columns)
     if resumed is not None:
         rows = rows.unionByName(
-            resumed.filter("shares > 0").select(
+            resumed.filter("shares > 0").selectExpr(
                 "job_id", "symbol", "salt", "i0", "i1",
-                (F.col("r0") - 1).alias("idx"), F.lit(BUY).alias("signal"),
-                F.col("cash").alias("cash_after"), F.col("shares").alias("shares_after"),
+                "r0 - 1 AS idx", f"{BUY} AS signal", "cash AS cash_after", "shares AS shares_after",
             )
         )
     by_job = Window.partitionBy("job_id").orderBy("idx")
     return (
         rows.withColumn("closed_at", F.lead("idx").over(by_job))
-        .filter(F.col("shares_after") > 0)
-        .withColumn("from", F.col("idx") + 1)
-        .withColumn("until", F.coalesce("closed_at", "i1"))
+        .filter("shares_after > 0")
+        .selectExpr("*", "idx + 1 AS `from`", "coalesce(closed_at, i1) AS until")
     )

@@ -95,10 +95,6 @@ def locate(
     return placed, spans, joblist.spread(packed, spans)
 
 
-def longest(spans: DataFrame) -> int:
-    return spans.agg(F.max(F.col("i1") - F.col("r0") + 1)).first()[0] or 0
-
-
 def until(jobs: DataFrame, date: str) -> DataFrame:
     """The same jobs, processed no further than `date`."""
     return jobs.withColumn("end_date", F.least("end_date", F.lit(date).cast("date")))
@@ -126,7 +122,7 @@ def run(
         )
         actions = actions.unionByName(found)
         errors = failed if errors is None else errors.unionByName(failed)
-    after, trades = portfolio.fold(actions, spans, longest(spans))
+    after, trades = portfolio.fold(actions, spans)
     if errors is not None:
         after = after.join(errors, "job_id", "left").withColumn(
             "fault", F.coalesce("error", "fault")

@@ -424,3 +424,27 @@ QUERIES = {
         csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness,
     )
 }
+
+
+def workloads(spark: SparkSession, folder: str, timed) -> dict[str, float]:
+    """Timings of steps that the queries above mix: signals of 500 generated series of 1250 bars
+    (windows 50/200), and a sweep of 2000 jobs on bars that are already packed."""
+    days = spark.range(500 * 1250).select(
+        F.format_string("S%03d", F.floor(F.col("id") / 1250).cast("int")).alias("symbol"),
+        F.date_add(F.lit("2000-01-03").cast("date"), F.pmod("id", F.lit(1250)).cast("int")).alias("date"),
+        (10000 + F.pmod(F.col("id") * 7919, F.lit(2000))).alias("close"),
+    )
+    generated = backtest.prepare(days, 200, unique_dates=True)
+    names = generated.filter("iblock = 0").select("symbol")
+    one = joblist.number(joblist.grid(names, [_param(50, 200, *FULL)]), ["symbol"], "symbol")
+    placed, spans, dealt = backtest.locate(generated, one)
+    out = {
+        "signals_500x1250": timed(
+            lambda: crossover.crossings(crossover.changes(crossover.on_blocks(dealt, spans)))
+        )
+    }
+    packed = _packed(spark, folder, 200)
+    params = [_param(short, long, *FULL) for short in range(5, 45) for long in (60, 200)]
+    jobs = written(_jobs(spark, folder, params), "jobs")
+    out["sweep_2000_jobs_packed"] = timed(lambda: backtest.run(packed, jobs).results())
+    return out

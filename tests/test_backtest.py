@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from barloom.operators import blocks, jobs as joblist, portfolio
+from barloom.operators import blocks, jobs as joblist
 from barloom.plans import backtest
 from tests import model
 from tests.helpers import bars_of, by_job, day, jobs_of
@@ -24,14 +24,14 @@ def staircase() -> list[int]:
 
 
 @pytest.fixture
-def small_blocks(monkeypatch):
-    """Blocks of 64 bars, rounds of 2 blocks, 2 jobs per cell: every border is crossed often."""
+def small_blocks(spark, monkeypatch):
+    """Blocks of 64 bars, 2 jobs per cell, Arrow batches of 7 rows: every border is crossed often."""
     monkeypatch.setattr(blocks, "BLOCK_BITS", 6)
     monkeypatch.setattr(blocks, "BLOCK_DAYS", 16)
-    monkeypatch.setattr(portfolio, "ROUND_BITS", 1)
-    monkeypatch.setattr(portfolio, "BARS_PER_ROUND", 128)
-    monkeypatch.setattr(portfolio, "CHUNK", 3)
     monkeypatch.setattr(joblist, "JOBS_PER_CELL", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def walk(seed: int, n: int, start: int = 10000, spread: int = 300, low: int = 1) -> list[int]:
