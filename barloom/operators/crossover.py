@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import kernels
 from barloom.operators.jobs import cells
 from barloom.schemas import BUY, SELL
 
@@ -88,63 +89,19 @@ def on_blocks(spread_blocks: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def changes(placed_blocks: DataFrame) -> DataFrame:
+def changes(spread_blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Bars at which the crossover state differs from the bar before, or that bar took no part.
 
-    The prefix sums are cut into aligned slices first (now, one short window ago, one long window
-    ago, and the same one bar earlier), so the loop over the bars only subtracts and compares. Its
-    rows are generated and filtered inside one stage and never shuffled.
+    The jobs of a cell (a bounded number) are brought to their block; only the changes leave it.
     """
-
-    def from_bar_before(begin: str) -> str:
-        """n + 1 prefix sums from array index `begin`; index -1 stands for "no bar"."""
-        return (
-            f"if({begin} >= 0, slice(sums, {begin} + 1, n + 1), "
-            "concat(array(CAST(NULL AS DOUBLE)), slice(sums, 1, n)))"
-        )
-
-    def state(now: str, short: str, long: str) -> str:
-        short_sum, long_sum = f"(get({now}, k) - get({short}, k))", f"(get({now}, k) - get({long}, k))"
-        return (
-            f"CASE WHEN {short_sum} > 0 AND {long_sum} > 0 THEN "
-            f"if({short_sum} * long_window > {long_sum} * short_window, 1, -1) END"
-        )
-
+    jobs = cells(spans, "r0", "i1").groupBy("symbol", "iblock", "salt").agg(
+        F.collect_list(F.struct("job_id", "r0", "i0", "i1", "short_window", "long_window")).alias("jobs")
+    )
+    date_type = dict(spread_blocks.dtypes)["dates"][len("array<"):-1]
     return (
-        placed_blocks.selectExpr("*", "CAST(greatest(low_at, first_at) AS INT) AS start")
-        .selectExpr("*", "high_at - start + 1 AS n")
-        .filter("n > 0")
-        .selectExpr(
-            "job_id", "symbol", "iblock", "short_window", "long_window", "dates", "closes", "start", "n",
-            "first_idx + start AS start_idx",
-            "i0 + long_window AS seed_idx",
-            "if(start > first_at, 0, 1) AS first_known",
-            f"{from_bar_before('start')} AS prev_now",
-            f"{from_bar_before('(start - short_window)')} AS prev_short",
-            f"{from_bar_before('(start - long_window)')} AS prev_long",
-        )
-        .selectExpr(
-            "*",
-            "slice(prev_now, 2, n) AS now",
-            "slice(prev_short, 2, n) AS short",
-            "slice(prev_long, 2, n) AS long",
-            "sequence(0, n - 1) AS ks",
-        )
-        .selectExpr("*", "explode(ks) AS k")
-        .selectExpr(
-            "*",
-            f"{state('now', 'short', 'long')} AS dir",
-            f"if(k >= first_known, {state('prev_now', 'prev_short', 'prev_long')}, NULL) AS prev_dir",
-        )
-        .filter("dir IS NOT NULL AND NOT (dir <=> prev_dir)")
-        .selectExpr(
-            "job_id", "symbol", "iblock",
-            "start_idx + k AS idx",
-            "get(dates, start + k) AS date",
-            "get(closes, start + k) AS close",
-            "dir", "prev_dir",
-            "start_idx + k = seed_idx AS seed",
-        )
+        spread_blocks.join(jobs, ["symbol", "iblock", "salt"])
+        .select("symbol", "iblock", "first_idx", "own_from", "own_to", "dates", "closes", "sums", "jobs")
+        .mapInArrow(kernels.crossover_changes, kernels.CHANGES.format(date=date_type))
     )
 
 

@@ -5,53 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import kernels
 from barloom.functions.metrics import drawdown_percent
+from barloom.operators import blocks
 from barloom.operators.jobs import cells
 from barloom.operators.scan import running
 
 
-# Largest relative fall below the running peak of an array of equity values.
-_DRAWDOWN = """aggregate(equity, named_struct('peak', equity[0], 'fall', 0D),
-  (a, v) -> if(v < a.peak, named_struct('peak', a.peak, 'fall', greatest(a.fall, (a.peak - v) / a.peak)),
-                           named_struct('peak', v, 'fall', a.fall)), a -> a.fall)"""
-
-
 def pieces(holds: DataFrame, spread_blocks: DataFrame) -> DataFrame:
-    """Each holding cut at block borders, reduced to one summary row per piece."""
-    return (
+    """Holdings cut at block borders and reduced to one summary row per job and block.
+
+    The pieces of a cell (a bounded number of jobs over one block) are brought to their block.
+    """
+    by_cell = (
         cells(holds, "from", "until")
-        .join(spread_blocks, ["symbol", "iblock", "salt"])
-        .selectExpr(
-            "*",
-            "greatest(own_from, `from`) - first_idx AS low_at",
-            "least(own_to, until) - first_idx AS high_at",
-        )
-        .filter("low_at <= high_at")
         .selectExpr(
-            "job_id", "i0", "i1",
-            "first_idx + low_at AS `from`",
-            "high_at - low_at + 1 AS bars",
-            # slices count from 1, so this one starts at the bar before the piece
-            """transform(slice(closes, CAST(low_at AS INT), CAST(high_at - low_at + 2 AS INT)),
-                 c -> CAST(cash_after AS DOUBLE) + CAST(shares_after AS DOUBLE) * CAST(c AS DOUBLE)) AS equity""",
-            "if(closed_at IS NULL AND first_idx + high_at = i1, closes[CAST(high_at AS INT)], NULL) AS last_close",
-        )
-        # a return needs a positive value before it
-        .selectExpr(
-            "*",
-            """filter(zip_with(slice(equity, 2, size(equity)), slice(equity, 1, size(equity) - 1),
-                 (v, p) -> if(p > 0, (v - p) / p, NULL)), r -> r IS NOT NULL) AS rets""",
-        )
-        .selectExpr("*", "aggregate(rets, 0D, (a, r) -> a + r) / nullif(size(rets), 0) AS average")
-        .selectExpr(
-            "job_id", "i0", "i1", "`from`", "bars", "last_close",
-            "CAST(size(rets) AS DOUBLE) AS n",
-            "coalesce(average, 0D) AS mean",
-            "aggregate(rets, 0D, (a, r) -> a + (r - average) * (r - average)) AS m2",
-            "array_max(equity) AS peak",
-            "array_min(equity) AS low",
-            f"{_DRAWDOWN} AS drawdown",
+            "symbol", "iblock", "salt", "job_id",
+            f"greatest(`from`, iblock << {blocks.BLOCK_BITS}) AS `from`",
+            f"least(until, ((iblock + 1) << {blocks.BLOCK_BITS}) - 1) AS until",
+            "cash_after AS cash",
+            "shares_after AS shares",
+            f"closed_at IS NULL AND (until >> {blocks.BLOCK_BITS}) = iblock AS open",
         )
+        .groupBy("symbol", "iblock", "salt")
+        .agg(F.sort_array(F.collect_list(F.struct("job_id", "from", "until", "cash", "shares", "open"))).alias("pieces"))
+    )
+    return (
+        spread_blocks.join(by_cell, ["symbol", "iblock", "salt"])
+        .select("first_idx", "closes", "pieces")
+        .mapInArrow(kernels.holding_summaries, kernels.SUMMARIES)
     )
 
 

@@ -93,7 +93,7 @@ def place(packed: DataFrame, jobs: DataFrame, strategies: list[str]) -> DataFram
         jobs.join(hits, ["symbol", "start_date", "end_date"], "left")
         .join(stored, "symbol", "left")
         .join(load, "symbol", "left")
-        .withColumn("salt", F.pmod(F.col("job_id"), F.col("salts")).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("job_id"), F.col("salts")).cast("int"))
         .withColumn("invalid", invalid_reason(strategies))
         .withColumn("capital", F.round(F.col("initial_capital") * MINOR_UNITS).cast("bigint"))
     )

@@ -111,14 +111,13 @@ def run(
     """Evaluate every job. `strategies` adds user strategies by the name jobs give in `strategy`."""
     custom = strategies or {}
     placed, spans, dealt = locate(packed, jobs, state, files, folder, [*STRATEGIES, *custom])
-    blocks_of_jobs = crossover.on_blocks(dealt, spans)
-    changes = crossover.changes(blocks_of_jobs.filter(F.col("strategy").isin(*STRATEGIES)))
+    changes = crossover.changes(dealt, spans.filter(F.col("strategy").isin(*STRATEGIES)))
     actions = crossover.crossings(changes, None if state is None else spans)
     errors = None
     for name, strategy in custom.items():
         mine = F.col("strategy") == name
         found, failed = strategy.actions(
-            crossover.series_rows(blocks_of_jobs.filter(mine)), spans.filter(mine)
+            crossover.series_rows(crossover.on_blocks(dealt, spans.filter(mine))), spans.filter(mine)
         )
         actions = actions.unionByName(found)
         errors = failed if errors is None else errors.unionByName(failed)

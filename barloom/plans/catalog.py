@@ -440,7 +440,7 @@ def workloads(spark: SparkSession, folder: str, timed) -> dict[str, float]:
     placed, spans, dealt = backtest.locate(generated, one)
     out = {
         "signals_500x1250": timed(
-            lambda: crossover.crossings(crossover.changes(crossover.on_blocks(dealt, spans)))
+            lambda: crossover.crossings(crossover.changes(dealt, spans))
         )
     }
     packed = _packed(spark, folder, 200)
