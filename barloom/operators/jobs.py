@@ -58,11 +58,12 @@ def invalid_reason(strategies: list[str]) -> Column:
     )
 
 
-def place(packed: DataFrame, jobs: DataFrame, strategies: list[str]) -> DataFrame:
+def place(packed: DataFrame, jobs: DataFrame, strategies: list[str], presence: bool = False) -> DataFrame:
     """Add the slice of positions `i0`..`i1` each job covers, and what is wrong with the job.
 
     Many jobs share a range, so the positions are looked up once per distinct range. A block that
     lies inside the range answers from its bounds; only border blocks look at their dates.
+    `presence` adds whether the symbol has any bars (`has_bars`, NULL if not).
     """
     ranges = jobs.select("symbol", "start_date", "end_date").distinct()
     own_dates = F.slice(
@@ -88,10 +89,11 @@ def place(packed: DataFrame, jobs: DataFrame, strategies: list[str]) -> DataFram
     load = jobs.groupBy("symbol").agg(
         F.ceil(F.count(F.lit(1)) / JOBS_PER_CELL).cast("int").alias("salts")
     )
-    stored = packed.filter("iblock = 0").select("symbol", F.lit(True).alias("has_bars"))
+    if presence:
+        stored = packed.filter("iblock = 0").select("symbol", F.lit(True).alias("has_bars"))
+        jobs = jobs.join(stored, "symbol", "left")
     return (
         jobs.join(hits, ["symbol", "start_date", "end_date"], "left")
-        .join(stored, "symbol", "left")
         .join(load, "symbol", "left")
         .withColumn("salt", F.pmod(F.xxhash64("job_id"), F.col("salts")).cast("int"))
         .withColumn("invalid", invalid_reason(strategies))

@@ -19,6 +19,24 @@ MOMENTS = {
 }
 
 
+# Fixed value: bars between two progress snapshots.
+SNAPSHOT_BARS = 100
+
+
+def progress(curve: DataFrame, every: int = SNAPSHOT_BARS) -> DataFrame:
+    """Portfolio of every job after each `every` bars, read off its equity curve."""
+    position = F.col("idx") - F.col("i0")
+    return curve.filter((position > 0) & (position % every == 0)).select(
+        "job_id",
+        "symbol",
+        position.alias("last_processed_index"),
+        F.col("date").alias("last_date"),
+        "cash",
+        "shares",
+        F.col("equity").alias("portfolio_value"),
+    )
+
+
 def latest(snapshots: DataFrame) -> DataFrame:
     """The newest valid snapshot per job (an upsert table read from its appends)."""
     columns = [c for c in snapshots.columns if c != "job_id"]

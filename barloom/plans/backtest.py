@@ -72,7 +72,7 @@ def locate(
     With a saved state the runnable jobs start behind the bars it has seen, with its portfolio.
     With a listing of symbol `files` a job without data says whether its file is missing or empty.
     """
-    placed = joblist.place(packed, jobs, strategies or STRATEGIES)
+    placed = joblist.place(packed, jobs, strategies or STRATEGIES, presence=files is not None)
     if files is not None:
         placed = status.with_load_errors(placed, files, folder)
     placed = written(placed, "placed")

@@ -290,6 +290,10 @@ def _split_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 STATE_COLUMNS = ["job_id", "symbol", "bars_processed", "last_date", "cash", "shares", "saved_value"]
 
 
+def state_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return state.progress(_single(spark, folder).equity())
+
+
 def state_latest(spark: SparkSession, folder: str) -> DataFrame:
     _, _, first, second = _split_runs(spark, folder)
     return state.latest(first.unionByName(second)).select(*STATE_COLUMNS)
@@ -420,7 +424,7 @@ QUERIES = {
         round_trips, equity_curve, equity_returns, drawdown_curve, backtest_result, backtest_sweep,
         job_status, run_summary, job_lookup, job_missing, scalability_report, trading_calendar,
         price_path, liveness_gaps, dead_entities, latest_status, orphaned_jobs, ledger_counts,
-        state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
+        state_snapshots, state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
         csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness,
     )
 }

@@ -293,6 +293,8 @@ def oracle() -> dict[str, str]:
             SELECT count(*) FILTER (success IS NULL AND (entity IS NULL OR is_dead)) AS pending,
               count(*) FILTER (success IS NULL AND entity IS NOT NULL AND NOT is_dead) AS active,
               count(*) FILTER (success) AS completed, count(*) FILTER (NOT success) AS failed FROM s""",
+        "state_snapshots": run_sql(single, """SELECT job_id, symbol, pos AS last_processed_index, date AS last_date,
+            cash, shares, equity AS portfolio_value FROM equity WHERE pos > 0 AND pos % 100 = 0"""),
         "state_latest": state_sql(single, ["1999-12-31"], "SELECT * EXCLUDE (until) FROM reached"),
         "state_open_jobs": state_sql(single, ["1999-12-31"], "SELECT job_id FROM reached WHERE shares > 0"),
         "resume_equivalence": run_sql(single, "SELECT * FROM results"),

@@ -167,3 +167,16 @@ def test_resumed_runs_equal_one_run(spark, small_blocks, first, second):
     got = by_job(backtest.run(packed, listed, state).results())
     for k, row in whole.items():
         model.assert_result(got[k], row)
+
+
+def test_plans_have_no_pairwise_joins(spark):
+    series = {"A": walk(1, 100), "B": walk(2, 100)}
+    jobs = jobs_of(spark, [(s, "SMA", 0, 999, 5, 20, 5000) for s in series])
+    run = backtest.run(backtest.prepare(bars_of(spark, series), 20), jobs)
+    for table in (run.actions, run.results(), run.equity(), run.drawdowns(), run.state()):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # the metrics read only the closes of the packed blocks
+    scans = [line for line in run.results()._jdf.queryExecution().executedPlan().toString().split("\n")
+             if "FileScan" in line and "closes" in line]
+    assert scans and all("sums" not in line for line in scans)
