@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, mixing
+from barloom.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
+    "op5_simhash": simhash.query,
     "op9_mixing": mixing.query,
 }
 
