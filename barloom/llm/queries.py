@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, mixing, simhash
+from barloom.llm import exact_dedup, mixing, quality_cnn, quality_rules, simhash
 
 QUERIES = {
+    "op1_quality_cnn": quality_cnn.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_simhash": simhash.query,
+    "op7_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
 }
 
