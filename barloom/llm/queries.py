@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, mixing, quality_cnn, quality_rules, simhash
+from barloom.llm import exact_dedup, mixing, packing, quality_cnn, quality_rules, simhash, token_file
 
 QUERIES = {
     "op1_quality_cnn": quality_cnn.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_packing": packing.query,
     "op5_simhash": simhash.query,
+    "op6_token_file": token_file.query,
     "op7_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
 }
