@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from barloom.llm import exact_dedup, mixing, packing, quality_cnn, quality_rules, simhash, token_file
+from barloom.llm import (
+    exact_dedup,
+    mixing,
+    packing,
+    pii,
+    quality_cnn,
+    quality_rules,
+    simhash,
+    token_file,
+)
 
 QUERIES = {
     "op1_quality_cnn": quality_cnn.query,
@@ -12,6 +21,7 @@ QUERIES = {
     "op6_token_file": token_file.query,
     "op7_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
+    "op10_pii": pii.query,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
