@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.llm import (
     exact_dedup,
+    html_extraction,
     mixing,
     packing,
     pii,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash": simhash.query,
     "op6_token_file": token_file.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_html_extraction": html_extraction.query,
     "op9_mixing": mixing.query,
     "op10_pii": pii.query,
 }
