@@ -11,11 +11,13 @@ from barloom.llm import (
     quality_cnn,
     quality_rules,
     simhash,
+    suffix_dedup,
     token_file,
 )
 
 QUERIES = {
     "op1_quality_cnn": quality_cnn.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,
