@@ -218,8 +218,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies (the smallest id), with the columns it came with."""
     ids = classes(docs.select("doc_id", "text"))
-    stay = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    stay = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
 
 
 def query(spark, folder: str) -> DataFrame:
