@@ -90,7 +90,7 @@ def logit(raw: bytes, model) -> float:
             part[-STEP : len(part) - STEP + len(ahead)] = np.frombuffer(ahead, np.uint8)
         halves.append(_halves(_inputs(part, model["embedding"]), model).max(axis=1))
     h = np.maximum(np.concatenate(halves) + model["bias"], 0)
-    return float(_pool(h) @ model["out"] + model["shift"])
+    return float(_pool(h) @ model["out"] + model["shift"][0])
 
 
 def train(sample: list[tuple[str, int]], share_good: float):
