@@ -139,7 +139,12 @@ class WordEncoder:
             self.forget()
         # split() also splits at four separators that are no white space to the tokenizer
         odd, split = re.compile("[\x1c-\x1f]").search, re.compile("[^ \t\n\r]+").findall
-        words = [split(t) if odd(t) else t.split() for t in lines]
+        # a full stop or comma beside no other mark is a token sequence of its own: fewer different words
+        joined = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]").search
+        words = [
+            split(t) if odd(t) else (t if joined(t) else t.replace(",", " , ").replace(".", " . ")).split()
+            for t in lines
+        ]
         line = list(chain.from_iterable(words))
         which = np.fromiter(map(self.known.get, line, repeat(-1)), np.int64, len(line))
         missing = np.flatnonzero(which < 0)
@@ -156,8 +161,16 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
-def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, as little-endian 32-bit numbers."""
+def width_of(vocabulary: str) -> int:
+    """Bytes that hold any id of a vocabulary."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(public_tokenizers.path(vocabulary)).get_vocab_size() <= 1 << 16 else 4
+
+
+def tokens(docs: DataFrame, width: int, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+    """(doc_id, ids): each text's ids and the end id, as little-endian numbers of `width` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -169,15 +182,15 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> Dat
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids, n = kept[vocabulary].batch(some.column(1).to_pylist(), end)
-                raw = ids.astype("<u4").tobytes()
-                ends = np.concatenate(([0], np.cumsum(n) * 4)).tolist()
+                raw = ids.astype(f"<u{width}").tobytes()
+                ends = np.concatenate(([0], np.cumsum(n) * width)).tolist()
                 parts = [raw[a:b] for a, b in zip(ends, ends[1:])]
                 yield pa.record_batch([some.column(0), pa.array(parts, pa.binary())], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
-def counts(raw: DataFrame) -> dict[int, int]:
+def counts(raw: DataFrame, width: int) -> dict[int, int]:
     """How often each id occurs; at most one number per vocabulary entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +198,7 @@ def counts(raw: DataFrame) -> dict[int, int]:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}")
             some = np.bincount(ids, minlength=len(total))
             some[: len(total)] += total
             total = some
@@ -287,8 +300,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
     import numpy as np
 
     spark = docs.sparkSession
-    raw = written(tokens(docs, vocabulary, end), "token-ids")
-    lengths = code_lengths(counts(raw))
+    width = width_of(vocabulary)
+    raw = written(tokens(docs, width, vocabulary, end), "token-ids")
+    lengths = code_lengths(counts(raw, width))
     spark.createDataFrame(sorted(lengths.items()), "token long, bits int").coalesce(1).write.parquet(f"{folder}/code")
     book = canonical(lengths)
     top = max(book, default=0) + 1
@@ -302,9 +316,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
         part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close():
-            ids = np.frombuffer(b"".join([r for _, r in held]), "<u4")
+            ids = np.frombuffer(b"".join([r for _, r in held]), f"<u{width}")
             payload, marks = pack(ids, codes, bits)
-            n = np.array([len(r) // 4 for _, r in held], "<i8").tobytes()
+            n = np.array([len(r) // width for _, r in held], "<i8").tobytes()
             docs_ = pa.array([[d for d, _ in held]], pa.list_(pa.int64()))
             blob = lambda x: pa.array([x], pa.binary())
             return pa.record_batch(
@@ -315,7 +329,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append((doc_id, ids))
-                size += len(ids) // 4
+                size += len(ids) // width
                 if size >= BLOCK:
                     yield close()
                     block, held, size = block + 1, [], 0
