@@ -4,9 +4,9 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts earlier (sm
 start). Equality of 100 bytes is all that counts, so most of the corpus needs no suffix sorting: four passes decide what they
 can exactly and leave the rest.
 
-1. Anchors. Of the 69 windows of 32 bytes in every 100-byte string the one with the smallest hash is an anchor, so
-   equal strings hold the same anchor at the same place. An anchor's context is all that 100-byte strings
-   around it can reach: 68 bytes before it and 100 from it. About one byte in 35 starts an anchor.
+1. Anchors. Of the 69 windows of 32 bytes in every 100-byte string the one with the smallest hash is its anchor, so
+   equal strings have the same anchor at the same place. An anchor's context is the text of all strings whose
+   anchor it is, 135 bytes on average. About one byte in 35 starts an anchor.
 2. Contexts. Anchors meet by their own hash. Every occurrence of a context but the first goes as a whole. The first stays
    where its anchor has no other context. Only first occurrences of anchors with several contexts - the
    rims of what is repeated - are left.
@@ -21,9 +21,10 @@ Sorting all suffixes this way would name two thirds of all bytes, 16 bytes of sh
 that does not fit four times the input on disk, the reason for steps 1 and 2.
 
 Skew. Copies are folded inside an Arrow batch before anything is shuffled. An anchor with many contexts in one
-batch (the rim of a passage that a third of all documents hold) is dealt by context, with one marking row to those dealt by anchor;
-its strings are compared as rows (128-bit hash, position), whose minimum is combined before the shuffle. A
-task streams its rows sorted and holds no group.
+batch (`HOT`; the rim of a passage that a third of all documents hold) is dealt by context, with one marking row to those dealt
+by anchor. The strings of such an anchor, and of one with more than `TOGETHER` contexts in all, are compared as rows (128-bit
+hash, position), whose minimum is combined before the shuffle. A task streams its rows sorted and never holds more
+than `TOGETHER` contexts of one anchor.
 
 Nulls and odd input: a null text counts as empty; texts below 100 bytes lose nothing; a null id comes before
 all others; rows that repeat an id count as one document with two texts; an empty table gives an empty result. Ids and the
@@ -39,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import table, worker_cache
-from barloom.storage import written
+from barloom.storage import release, written
 
 LENGTH = 100  # bytes of a string
 GRAM = 32  # bytes of an anchor
 BEFORE = LENGTH - GRAM  # how far a string reaches before its anchor
 WINDOW = BEFORE + 1  # anchors to choose from in a string
 SLICE = 1 << 20  # bytes hashed at a time
-HOT = 64  # contexts of one anchor in one batch, from which it is dealt by context
+HOT = 1000  # contexts of one anchor in one batch, above which it is dealt by context
+TOGETHER = 10_000  # contexts of one anchor that are sorted together
 MARK = -1
 
 
@@ -105,8 +107,17 @@ def _anchors(parts: list[tuple[int, int, int, bytes]]):
     start = at - begin[part] + base[part]
     keep = (start >= first[part]) & (start < last[part])
     at, part, start = at[keep], part[keep], start[keep]
-    before = np.minimum(at - begin[part], BEFORE)
-    behind = np.minimum(ends[part] - at, LENGTH)
+    # the strings of an anchor start in a stretch of equal minima that its reach covers
+    new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    until = np.r_[new[1:], len(low)] - 1
+    run = np.searchsorted(until, at, "right") - 1  # no later stretch ends in its reach
+    run = np.minimum(np.maximum(run, 0) + 1, len(new) - 1)  # but its own may end behind it
+    wrong = np.flatnonzero(low[new[run]] != h[at])
+    while len(wrong):
+        run[wrong] -= 1
+        wrong = wrong[low[new[run[wrong]]] != h[at[wrong]]]
+    before = at - np.maximum(new[run], at - BEFORE)
+    behind = np.minimum(until[run], at) + LENGTH - at
     context = (upto[at + behind] - upto[at - before]) * inverse[at - before]
     context ^= context >> np.uint64(31)
     context = context * np.uint64(0xBF58476D1CE4E5B9) + (before * 128 + behind).astype(np.uint64)
@@ -205,62 +216,79 @@ def _find(bits: int):
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by (gram, context, at): spans to remove (hot 2) and contexts left undecided (hot 0 or 1).
 
-    Only the first rows of the running anchor's contexts are held, and those only until there are two.
+    Of the running anchor the first rows of at most TOGETHER contexts are held; with more it is hot and its rows
+    pass on as they come.
     """
     import numpy as np
 
-    held: list[tuple] = []  # the first context of the running anchor, not yet passed on
+    held: list[tuple] = []  # arrays (gram, context, at, before, behind) of first rows of the running anchor
+    count = 0  # how many they are
     last_gram = last_context = None
-    several = hot_gram = False
+    hot_gram = False
     first_at = 0
+
+    def finished():
+        """The rows of the running anchor, if it has several contexts."""
+        if count > 1 or (count and hot_gram):
+            rows = tuple(map(np.concatenate, zip(*held)))
+            yield _rows(np.full(count, int(hot_gram)), *rows)
+
     for batch in batches:
         hot, gram, context, at, before, behind = (batch.column(k).to_numpy() for k in range(6))
-        n = len(gram)
-        new_gram = np.r_[n > 0 and gram[0] != last_gram, gram[1:] != gram[:-1]]
+        ready = hot == 2
+        if ready.any():
+            yield batch.filter(pa.array(ready))
+            hot, gram, context, at, before, behind = (x[~ready] for x in (hot, gram, context, at, before, behind))
+        if not len(gram):
+            continue
+        new_gram = np.r_[gram[0] != last_gram, gram[1:] != gram[:-1]]
+        new_context = new_gram | np.r_[context[0] != last_context, context[1:] != context[:-1]]
         real = hot != MARK
-        new_context = new_gram | np.r_[n > 0 and context[0] != last_context, context[1:] != context[:-1]]
-        firsts = new_context & real
-        # a mark sorts among the contexts of its anchor; what follows it is a first again, which only leaves more undecided
-        firsts |= real & np.r_[False, ~real[:-1]]
-        group = np.cumsum(new_gram) - (1 if n and new_gram[0] else 0)  # 0: the anchor of the batch before
-        count = int(group[-1]) + 1 if n else 0
-        contexts = np.bincount(group, firsts, count)
-        marked = np.bincount(group, ~real | (hot == 1), count) > 0
-        run_first = np.maximum.accumulate(np.where(firsts, np.arange(n), -1)) if n else np.empty(0, int)
-        lead = np.where(run_first >= 0, at[np.maximum(run_first, 0)], first_at)
-        gone = real & ~firsts & (at > lead)
-        continues = bool(n) and not new_gram[0]
-        out_hot, out = [], []
-        total = contexts.copy()
-        if continues:
-            total[0] += 2 if several else len(held)
-            marked[0] |= hot_gram
-        open_ = (total > 1) | marked
-        if held:
-            if not continues or open_[0]:
-                if continues:  # a second context has come
-                    out.append(tuple(np.array([x]) for x in held[0]))
-                    out_hot.append(np.array([int(marked[0])]))
-                held = []
-        left = firsts & open_[group] if n else firsts
-        if left.any():
-            out.append((gram[left], context[left], at[left], before[left], behind[left]))
-            out_hot.append(marked[group[left]].astype(np.int64))
+        # a mark sorts among the contexts of its anchor; what follows it counts as a first again, which only leaves more undecided
+        firsts = real & (new_context | np.r_[False, ~real[:-1]])
+        lead = np.maximum.accumulate(np.where(firsts, np.arange(len(gram)), -1))
+        gone = real & ~firsts & (at > np.where(lead >= 0, at[np.maximum(lead, 0)], first_at))
         if gone.any():
-            out.append((gram[gone], context[gone], at[gone], before[gone], behind[gone]))
-            out_hot.append(np.full(int(gone.sum()), 2))
-        if out:
-            yield _rows(np.concatenate(out_hot), *map(np.concatenate, zip(*out)))
-        if n:
-            end = count - 1
-            alone = firsts & (group == end)
-            if not open_[end] and alone.any():
-                k = int(np.flatnonzero(alone)[0])
-                held = [(gram[k], context[k], at[k], before[k], behind[k])]
-            several = bool(open_[end])
-            hot_gram = bool(marked[end])
-            last_gram, last_context = gram[-1], (context[-1] if real[-1] else None)
-            first_at = lead[-1]
+            yield _rows(np.full(int(gone.sum()), 2), gram[gone], context[gone], at[gone], before[gone], behind[gone])
+        starts = np.flatnonzero(new_gram)
+        if len(starts) and starts[0] == 0 or last_gram is None:
+            yield from finished()
+            held, count, hot_gram = [], 0, False
+        else:
+            starts = np.r_[0, starts]  # rows of the anchor of the batch before come first
+        if len(starts) > 1 and not (starts[0] == 0 and new_gram[0]):
+            # the running anchor ends in this batch
+            s, e = 0, starts[1]
+            mine = np.flatnonzero(firsts[s:e])
+            held.append(tuple(x[s:e][mine] for x in (gram, context, at, before, behind)))
+            count += len(mine)
+            hot_gram = hot_gram or bool(((hot[s:e] == 1) | ~real[s:e]).any()) or count > TOGETHER
+            yield from finished()
+            held, count, hot_gram = [], 0, False
+            starts = starts[1:]
+        tail = int(starts[-1])  # the anchor that may go on in the next batch
+        group = np.cumsum(np.r_[True, gram[1:tail] != gram[: tail - 1]]) - 1 if tail else np.empty(0, np.int64)
+        if tail:
+            begin = int(starts[0])
+            contexts = np.bincount(group, firsts[:tail])
+            marked = np.bincount(group, ~real[:tail] | (hot[:tail] == 1)) > 0
+            marked |= contexts > TOGETHER
+            left = firsts[:tail] & ((contexts > 1) | marked)[group]
+            left[:begin] = False  # of the anchor that has just ended
+            if left.any():
+                k = np.flatnonzero(left)
+                yield _rows(marked[group[k]].astype(np.int64), gram[k], context[k], at[k], before[k], behind[k])
+        mine = tail + np.flatnonzero(firsts[tail:])
+        held.append(tuple(x[mine] for x in (gram, context, at, before, behind)))
+        count += len(mine)
+        hot_gram = hot_gram or bool(((hot[tail:] == 1) | ~real[tail:]).any()) or count > TOGETHER
+        if hot_gram:
+            yield from finished()
+            held, count = [], 0
+        last_gram, last_context = gram[-1], (context[-1] if real[-1] else None)
+        if lead[-1] >= 0:
+            first_at = at[lead[-1]]
+    yield from finished()
 
 
 def _ranks(x):
@@ -382,7 +410,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hot:
                 loose.append((at, context, before))
                 continue
-            if len(held) >= 10_000 and gram != last:
+            if len(held) >= 5_000 and gram != last:
                 yield flush()
             held.append((at, context, before))
             last = gram
@@ -461,16 +489,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_spans(docs: DataFrame, bits: int) -> DataFrame:
     """(doc_id, start, end) of bytes to remove, overlapping, from rows (doc_id, text) with binary text."""
-    anchors = docs.mapInArrow(_find(bits), ANCHORS)
-    anchors = written(anchors, "suffix-anchors")
-    home = F.when(F.col("hot") == 1, F.col("context")).otherwise(F.col("gram"))
+    spark = docs.sparkSession
+    home = F.when(F.col("hot") == 1, F.col("context")).when(F.col("hot") == 2, F.col("at")).otherwise(F.col("gram"))
     decided = written(
-        anchors.where("hot < 2")
+        docs.mapInArrow(_find(bits), ANCHORS)
         .repartition(home)
         .sortWithinPartitions("gram", "context", "at")
         .mapInArrow(_decide, ANCHORS),
         "suffix-contexts",
     )
+    release(spark)
     doc = F.shiftright("at", bits).alias("doc_id")
     wanted = (
         decided.where("hot < 2")
@@ -484,12 +512,13 @@ def removed_spans(docs: DataFrame, bits: int) -> DataFrame:
     found = written(
         contexts.repartition(spread).sortWithinPartitions("gram").mapInArrow(_sort, SORTED), "suffix-sorted"
     )
+    release(spark)
     strings = found.where("kind = 2").select("a", "b", "at")
     earliest = strings.groupBy("a", "b").agg(F.min("at").alias("low"))
     late = strings.join(earliest, ["a", "b"]).where("at > low").select(
         F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")
     )
-    whole = anchors.where("hot = 2").unionByName(decided.where("hot = 2")).select(
+    whole = decided.where("hot = 2").select(
         (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("behind")).alias("end")
     )
     sorted_ = found.where("kind = 1").select(F.col("a").alias("start"), F.col("b").alias("end"))
