@@ -43,7 +43,7 @@ def _jobs(batch: pa.RecordBatch, name: str) -> Iterator[dict[str, np.ndarray]]:
 def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bars at which a job's crossover state differs from the bar before, or that one took no part.
 
-    Sums are whole numbers in doubles and their products exact up to 2^53, so ties are ties.
+    Sums are whole numbers in doubles, so ties are ties.
     """
     for batch in batches:
         symbols, blocks = batch.column("symbol").to_pylist(), batch.column("iblock").to_pylist()
@@ -65,7 +65,7 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 a, b = begin + (0 if known else 1), end + 2
                 short_sum = total[a:b] - total[a - short : b - short]
                 long_sum = total[a:b] - total[a - long : b - long]
-                state = np.where(short_sum * long > long_sum * short, 1, -1)
+                state = np.where(_larger(short_sum, long, long_sum, short), 1, -1)
                 state[~((short_sum > 0) & (long_sum > 0))] = 0
                 before = np.concatenate(([0], state[:-1]))
                 change = (state != 0) & (state != before)
@@ -98,6 +98,14 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         })
 
 
+def _larger(a: np.ndarray, times_a: int, b: np.ndarray, times_b: int) -> np.ndarray:
+    """a * times_a > b * times_b for whole numbers; in Python's integers where doubles lose digits."""
+    top = max(np.abs(a).max(initial=0) * times_a, np.abs(b).max(initial=0) * times_b)
+    if top < 2**53:
+        return a * times_a > b * times_b
+    return np.array([int(x) * times_a > int(y) * times_b for x, y in zip(a.tolist(), b.tolist())], bool)
+
+
 def holding_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Returns, peak, low and drawdown of the bars a job holds shares in a block.
 

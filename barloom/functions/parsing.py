@@ -28,7 +28,14 @@ def to_bigint(text: Column, lenient: bool = False) -> Column:
     return text.try_cast("bigint")
 
 
+def is_whole(value: Column, units: int) -> Column:
+    """Whether an amount is a whole number of minor units that a BIGINT can hold (up to the last digits of a double)."""
+    scaled = value * units
+    off = F.abs(scaled - F.round(scaled))
+    return (F.abs(scaled) < float(2**63)) & (off <= F.abs(scaled) * 1e-12 + 1e-9)
+
+
 def to_minor(value: Column, units: int = 100) -> Column:
     """Currency amount as whole minor units; NULL for NaN, infinities and overflow."""
     scaled = F.round(value * units)
-    return F.when(F.abs(scaled) < float(2**62), scaled).try_cast("bigint")
+    return F.when(F.abs(scaled) < float(2**63), scaled).try_cast("bigint")

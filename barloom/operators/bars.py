@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.metrics import simple_return
-from barloom.operators.blocks import unpack
+from barloom.operators.blocks import period
+from barloom.operators.scan import previous
 from barloom.schemas import BAR_ORDER
 
 
@@ -37,8 +38,9 @@ def valid_bars(bars: DataFrame) -> DataFrame:
 
 
 def in_range(bars: DataFrame, start: str, end: str) -> DataFrame:
-    """Closed date range; on a stored table it reaches the Parquet scan."""
-    return bars.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Closed date range (of text, where dates are text); on a stored table it reaches the Parquet scan."""
+    kind = dict(bars.dtypes)["date"]
+    return bars.filter(F.col("date").between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
 
 
 def date_index(ranked_bars: DataFrame) -> DataFrame:
@@ -48,7 +50,8 @@ def date_index(ranked_bars: DataFrame) -> DataFrame:
 
 def find_date(ranked_bars: DataFrame, date: str) -> DataFrame:
     """Position of a date per symbol, or the size of the series where it is absent."""
-    hit = F.max(F.when(F.col("date") == F.lit(date).cast("date"), F.col("idx")))
+    kind = dict(ranked_bars.dtypes)["date"]
+    hit = F.max(F.when(F.col("date") == F.lit(date).cast(kind), F.col("idx")))
     return ranked_bars.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("size"), F.coalesce(hit, F.count(F.lit(1))).alias("position")
     )
@@ -80,7 +83,11 @@ def mean_close(bars: DataFrame) -> DataFrame:
     )
 
 
-def volatility(packed: DataFrame) -> DataFrame:
-    """Population deviation of the simple returns, from blocks that carry the close before them."""
-    rows = unpack(packed).withColumn("r", simple_return(F.col("close"), F.col("prev_close")))
+def volatility(bars: DataFrame) -> DataFrame:
+    """Population deviation of the simple returns; each period carries the close before it."""
+    order = F.struct(*[c for c in BAR_ORDER if c in bars.columns])
+    blocked = bars.select("symbol", "close", period(bars).alias("block"), order.alias("at"))
+    rows = previous(blocked, ["symbol"], "block", "at", "close", "prev_close").withColumn(
+        "r", simple_return(F.col("close"), F.col("prev_close"))
+    )
     return rows.groupBy("symbol").agg(F.coalesce(F.stddev_pop("r"), F.lit(0.0)).alias("volatility"))

@@ -2,71 +2,74 @@
 
 `ranked` numbers the bars of every symbol and adds the prefix sum of the closes. `pack` then cuts
 each series at multiples of 4096 positions and stores every block as one row of arrays, preceded by
-the last `lookback` bars of the block before. Any moving sum is a difference of two prefix sums of
-the same row, so a block answers every window size without a further sort or shuffle, and its size
-is bounded whatever the distribution of symbols and dates.
+the `lookback` bars before it, from however many blocks they come. Any moving sum is a difference of two
+prefix sums of the same row, so a block answers every window up to the look-back without a further sort or
+shuffle, and its size is bounded whatever the distribution of symbols and dates. The look-back is a column,
+so that a sweep knows which windows its blocks answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.scan import period_block, range_block, running
+from barloom.operators.scan import period_block, running
 from barloom.schemas import BAR_ORDER
 
 BLOCK_BITS = 12
 BLOCK_DAYS = 1024
-MAX_ROWS_PER_BLOCK = 1_000_000
 
 
 def block_of(position):
     return F.shiftright(position, BLOCK_BITS)
 
 
-def with_blocks(bars: DataFrame, layout: str = "auto", unique_dates: bool = False) -> DataFrame:
-    """Choose the blocks of the ranking scan.
+def period(bars: DataFrame) -> Column:
+    """Consecutive stretches of dates: calendar periods, or the first characters of text dates."""
+    text = dict(bars.dtypes)["date"] == "string"
+    return F.substring("date", 1, 4) if text else period_block(F.col("date"), BLOCK_DAYS)
 
-    With at most one bar per date a calendar block holds at most BLOCK_DAYS rows. Otherwise the
-    largest calendar block is measured, and range blocks are used where it is too large or where
-    dates are kept as text.
-    """
-    if dict(bars.dtypes)["date"] == "string":
-        layout = "range"
-        unique_dates = False
-    if layout == "range":
-        return _range_blocks(bars, bars.count())
-    by_period = bars.withColumn("block", period_block(F.col("date"), BLOCK_DAYS))
-    if layout == "period" or unique_dates:
-        return by_period
-    sizes = by_period.groupBy("symbol", "block").count()
-    total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-    if (largest or 0) <= MAX_ROWS_PER_BLOCK:
-        return by_period
-    return _range_blocks(bars, total)
-
-
-def _range_blocks(bars: DataFrame, rows: int) -> DataFrame:
-    order = [c for c in BAR_ORDER if c in bars.columns]
-    parts = max(1, -(-rows * 4 // MAX_ROWS_PER_BLOCK))
-    return range_block(bars, ["symbol"], order, parts)
-
-
-def ranked(bars: DataFrame, layout: str = "auto", unique_dates: bool = False) -> DataFrame:
+
+def ranked(bars: DataFrame, unique_dates: bool = False) -> DataFrame:
     """Bars with `idx` (0-based position in the symbol's series) and `cs` (prefix sum of close).
 
-    Where dates are unique the order is the date alone and the other columns can be pruned.
+    Bars are scanned within their date, dates within their period, periods within their symbol, so
+    no task holds more than the bars of one date. Where dates are unique the first step falls away, the order
+    is the date alone, and the other columns can be pruned.
     """
-    order = ["date"] if unique_dates else [c for c in BAR_ORDER if c in bars.columns]
-    blocked = with_blocks(bars, layout, unique_dates)
-    numbered = running(
-        blocked,
+    if unique_dates:
+        blocked = bars.withColumn("block", period(bars))
+        totals = {"idx": ("count", F.lit(1)), "cs": ("sum", F.col("close"))}
+        numbered = running(blocked, ["symbol"], "block", ["date"], totals)
+        return numbered.withColumn("idx", (F.col("idx") - 1).cast("bigint")).drop("block")
+    days = bars.groupBy("symbol", "date").agg(
+        F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum("close"), F.lit(0)).alias("__sum")
+    )
+    upto = running(
+        days.withColumn("block", period(bars)),
         ["symbol"],
         "block",
-        order,
-        {"idx": ("count", F.lit(1)), "cs": ("sum", F.col("close"))},
+        ["date"],
+        {"__all_n": ("sum", F.col("__n")), "__all_sum": ("sum", F.col("__sum"))},
+    ).select(
+        "symbol",
+        "date",
+        (F.col("__all_n") - F.col("__n")).alias("__before_n"),
+        (F.col("__all_sum") - F.col("__sum")).alias("__before_sum"),
+    )
+    rest = [c for c in BAR_ORDER if c in bars.columns and c != "date"]
+    inside = Window.partitionBy("symbol", "date").orderBy(*rest)
+    here = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        bars.withColumn("__rank", F.row_number().over(inside))
+        .withColumn("__here", F.sum("close").over(here))
+        .join(upto, ["symbol", "date"])
+        .select(
+            *bars.columns,
+            (F.col("__before_n") + F.col("__rank") - 1).cast("bigint").alias("idx"),
+            (F.col("__before_sum") + F.col("__here")).alias("cs"),
+        )
     )
-    return numbered.withColumn("idx", (F.col("idx") - 1).cast("bigint")).drop("block")
 
 
 def pack(ranked_bars: DataFrame, lookback: int) -> DataFrame:
@@ -78,15 +81,11 @@ def pack(ranked_bars: DataFrame, lookback: int) -> DataFrame:
     `first_idx` is the position of the first array element, `own_from`..`own_to` the positions that
     belong to the block itself.
     """
-    size = 1 << BLOCK_BITS
-    if lookback > size:
-        raise ValueError(f"windows above {size - 1} bars need larger blocks (BLOCK_BITS)")
     own = block_of(F.col("idx"))
-    near_end = F.col("idx").bitwiseAND(F.lit(size - 1)) >= size - lookback
     blocks = (
         ranked_bars.select(
             "symbol",
-            F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))).alias("iblock"),
+            F.explode(F.sequence(own, block_of(F.col("idx") + F.lit(lookback)))).alias("iblock"),
             F.struct("idx", "date", "close", "cs").alias("bar"),
         )
         .groupBy("symbol", "iblock")
@@ -103,6 +102,9 @@ def pack(ranked_bars: DataFrame, lookback: int) -> DataFrame:
             "first_idx",
             F.shiftleft(F.col("iblock"), BLOCK_BITS).alias("own_from"),
             F.element_at("bars.idx", -1).alias("own_to"),
+            F.lit(lookback).cast("bigint").alias("lookback"),
+            F.get("bars.date", (F.shiftleft(F.col("iblock"), BLOCK_BITS) - F.col("first_idx")).cast("int")).alias("first_date"),
+            F.element_at("bars.date", -1).alias("last_date"),
             F.col("bars.date").alias("dates"),
             F.col("bars.close").alias("closes"),
             F.concat(
@@ -112,21 +114,3 @@ def pack(ranked_bars: DataFrame, lookback: int) -> DataFrame:
         )
         .filter(F.col("own_to") >= F.col("own_from"))
     )
-
-
-def unpack(packed: DataFrame) -> DataFrame:
-    """Packed blocks back as rows, with the close of the bar before."""
-    at = (F.col("idx") - F.col("first_idx")).cast("int")
-    return packed.select(
-        "symbol",
-        "first_idx",
-        "dates",
-        "closes",
-        F.explode(F.sequence("own_from", "own_to")).alias("idx"),
-    ).select(
-        "symbol",
-        "idx",
-        F.get("dates", at).alias("date"),
-        F.get("closes", at).alias("close"),
-        F.get("closes", at - 1).alias("prev_close"),
-    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import kernels
@@ -82,8 +82,15 @@ def intervals(trades: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def equity_rows(stretches: DataFrame, spread_blocks: DataFrame) -> DataFrame:
-    """One row per job and bar: equity, and that of the bar before (NULL at the first bar)."""
+def _value(cash: str, shares: str, price: Column) -> Column:
+    """NULL where it does not fit a BIGINT."""
+    return F.try_add(F.col(cash), F.try_multiply(F.col(shares), price))
+
+
+def equity_rows(stretches: DataFrame, spread_blocks: DataFrame, every: int = 1) -> DataFrame:
+    """One row per job and `every` bars: equity, and that of the bar before (NULL at the first bar)."""
+    low, high = F.greatest("own_from", "from"), F.least("own_to", "until")
+    low = low + F.pmod(F.col("i0") - low, F.lit(every))
     at = (F.col("idx") - F.col("first_idx")).cast("int")
     close, before = F.get("closes", at), F.get("closes", at - 1)
     at_trade = F.col("idx") == F.col("from")
@@ -93,10 +100,7 @@ def equity_rows(stretches: DataFrame, spread_blocks: DataFrame) -> DataFrame:
         .withColumn(
             "idx",
             F.explode(
-                F.when(
-                    F.greatest("own_from", "from") <= F.least("own_to", "until"),
-                    F.sequence(F.greatest("own_from", "from"), F.least("own_to", "until")),
-                )
+                F.when(low <= high, F.sequence(low, high, F.lit(every).cast("bigint")))
             ),
         )
         .select(
@@ -104,11 +108,11 @@ def equity_rows(stretches: DataFrame, spread_blocks: DataFrame) -> DataFrame:
             F.get("dates", at).alias("date"),
             close.alias("close"),
             "cash", "shares",
-            (F.col("cash") + F.col("shares") * close).alias("equity"),
+            _value("cash", "shares", close).alias("equity"),
             F.when(
                 F.col("idx") > F.col("i0"),
-                F.when(at_trade, F.col("cash_before") + F.col("shares_before") * before)
-                .otherwise(F.col("cash") + F.col("shares") * before),
+                F.when(at_trade, _value("cash_before", "shares_before", before))
+                .otherwise(_value("cash", "shares", before)),
             ).alias("prev_equity"),
         )
     )

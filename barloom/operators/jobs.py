@@ -27,14 +27,15 @@ def grid(symbols: DataFrame, params: list[dict]) -> DataFrame:
     )
 
 
-def number(jobs: DataFrame, order: list[str], block: str) -> DataFrame:
-    """job_id = 1, 2, 3, … along `order`; `block` is its first column or a prefix of it."""
-    return running(jobs, [], block, order, {"job_id": ("count", F.lit(1))}).withColumn(
+def number(jobs: DataFrame, order: list[str], prefix: int = 2) -> DataFrame:
+    """job_id = 1, 2, 3, … along `order`, counted in blocks of equal first `prefix` columns of it."""
+    blocked = jobs.withColumn("__block", F.struct(*order[:prefix]))
+    return running(blocked, [], "__block", order, {"job_id": ("count", F.lit(1))}).withColumn(
         "job_id", F.col("job_id").cast("bigint")
-    )
+    ).drop("__block")
 
 
-def invalid_reason(strategies: list[str]) -> Column:
+def invalid_reason(strategies: list[str], units: int = MINOR_UNITS) -> Column:
     """NULL for a job that can run, otherwise why it cannot."""
     return (
         F.when(
@@ -52,39 +53,52 @@ def invalid_reason(strategies: list[str]) -> Column:
             F.lit("Invalid job: capital must be positive"),
         )
         .when(
-            F.col("initial_capital") >= F.lit(float(2**53)) / MINOR_UNITS,
+            F.col("initial_capital") * units >= float(2**63),
             F.lit("Invalid job: capital too large"),
         )
     )
 
 
-def place(packed: DataFrame, jobs: DataFrame, strategies: list[str], presence: bool = False) -> DataFrame:
+def place(
+    packed: DataFrame, jobs: DataFrame, strategies: list[str], presence: bool = False, units: int = MINOR_UNITS
+) -> DataFrame:
     """Add the slice of positions `i0`..`i1` each job covers, and what is wrong with the job.
 
-    Many jobs share a range, so the positions are looked up once per distinct range. A block that
-    lies inside the range answers from its bounds; only border blocks look at their dates.
+    Many jobs share a range, so the positions are looked up once per distinct range, from thin rows with
+    the bounds of each block. Only blocks that a range cuts look at their dates.
     `presence` adds whether the symbol has any bars (`has_bars`, NULL if not).
     """
     ranges = jobs.select("symbol", "start_date", "end_date").distinct()
+    bounds = ["symbol", "iblock", "own_from", "own_to", "first_idx", "first_date", "last_date", "lookback"]
+    start, end = F.col("start_date"), F.col("end_date")
+    pairs = packed.select(*bounds).join(ranges, "symbol").filter(
+        (F.col("last_date") >= start) & (F.col("first_date") <= end)
+    )
+    inside = (F.col("first_date") >= start) & (F.col("last_date") <= end)
+    found = ["symbol", "start_date", "end_date", "low", "high", "date", "lookback"]
+    whole = pairs.filter(inside).selectExpr(
+        "symbol", "start_date", "end_date", "own_from AS low", "own_to AS high", "last_date AS date", "lookback"
+    )
     own_dates = F.slice(
         "dates",
         (F.col("own_from") - F.col("first_idx") + 1).cast("int"),
         (F.col("own_to") - F.col("own_from") + 1).cast("int"),
     )
-    before = F.size(F.filter(own_dates, lambda d: d < F.col("start_date")))
-    upto = F.size(F.filter(own_dates, lambda d: d <= F.col("end_date")))
-    first = F.get(own_dates, F.lit(0))
-    last = F.element_at(own_dates, -1)
-    low = F.when(first >= F.col("start_date"), F.col("own_from")).otherwise(F.col("own_from") + before)
-    high = F.when(last <= F.col("end_date"), F.col("own_to")).otherwise(F.col("own_from") + upto - 1)
-    hits = (
-        packed.join(ranges, "symbol")
-        .filter((last >= F.col("start_date")) & (first <= F.col("end_date")))
-        .select("symbol", "start_date", "end_date", low.alias("low"), high.alias("high"), "first_idx", "dates")
+    low = F.col("own_from") + F.size(F.filter(own_dates, lambda d: d < start))
+    high = F.col("own_from") + F.size(F.filter(own_dates, lambda d: d <= end)) - 1
+    border = (
+        pairs.filter(~inside)
+        .join(packed.select("symbol", "iblock", "dates"), ["symbol", "iblock"])
+        .withColumn("low", low)
+        .withColumn("high", high)
         .filter("low <= high")
         .withColumn("date", F.get("dates", (F.col("high") - F.col("first_idx")).cast("int")))
+    )
+    hits = (
+        whole.select(*found)
+        .unionByName(border.select(*found))
         .groupBy("symbol", "start_date", "end_date")
-        .agg(F.min("low").alias("i0"), F.max("high").alias("i1"), F.max("date").alias("last_date"))
+        .agg(F.min("low").alias("i0"), F.max("high").alias("i1"), F.max("date").alias("last_date"), F.max("lookback").alias("lookback"))
     )
     load = jobs.groupBy("symbol").agg(
         F.ceil(F.count(F.lit(1)) / JOBS_PER_CELL).cast("int").alias("salts")
@@ -96,8 +110,21 @@ def place(packed: DataFrame, jobs: DataFrame, strategies: list[str], presence: b
         jobs.join(hits, ["symbol", "start_date", "end_date"], "left")
         .join(load, "symbol", "left")
         .withColumn("salt", F.pmod(F.xxhash64("job_id"), F.col("salts")).cast("int"))
-        .withColumn("invalid", invalid_reason(strategies))
-        .withColumn("capital", F.round(F.col("initial_capital") * MINOR_UNITS).cast("bigint"))
+        .withColumn("invalid", invalid_reason(strategies, units))
+        .withColumn(
+            "invalid",
+            F.coalesce(
+                "invalid",
+                # windows that reach further back than the blocks were packed for, and are needed
+                F.when(
+                    (F.greatest("short_window", "long_window") + 1 > F.col("lookback"))
+                    & (F.col("strategy") == "SMA")
+                    & (F.col("i0") + F.greatest(F.col("long_window"), F.col("short_window") - 1) <= F.col("i1")),
+                    F.lit("Invalid job: window above the look-back of the packed bars"),
+                ),
+            ),
+        )
+        .withColumn("capital", F.round(F.col("initial_capital") * units).try_cast("bigint"))
     )
 
 
@@ -106,19 +133,13 @@ def runnable(placed: DataFrame) -> DataFrame:
 
 
 def spread(packed: DataFrame, spans: DataFrame) -> DataFrame:
-    """Packed blocks, copied once per JOBS_PER_CELL jobs of their symbol and dealt out evenly.
+    """The packed blocks that some job covers, once for each group of about JOBS_PER_CELL of its jobs.
 
-    A symbol named by a third of all jobs is worked on by as many tasks as it has cells. The
-    explicit partition count keeps adaptive coalescing from merging cells that are small in bytes
-    but long in work.
+    A symbol named by a third of all jobs is worked on by as many tasks as it has cells; a block that no
+    job covers goes nowhere.
     """
-    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        packed.join(spans.groupBy("symbol").agg(F.max("salts").alias("salts")), "symbol")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .drop("salts")
-        .repartition(parts, "symbol", "iblock", "salt")
-    )
+    needed = cells(spans, "r0", "i1").select("symbol", "iblock", "salt").distinct()
+    return packed.join(needed, ["symbol", "iblock"]).repartition("symbol", "iblock", "salt")
 
 
 def cells(spans: DataFrame, start: str, end: str) -> DataFrame:

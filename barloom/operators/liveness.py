@@ -67,11 +67,14 @@ def ledger_status(ledger: DataFrame, dead: DataFrame, answered: DataFrame) -> Da
     )
 
 
-def ledger_counts(statuses: DataFrame) -> DataFrame:
-    """One row with a column per status."""
-    return statuses.agg(
+def ledger_counts(statuses: DataFrame, heartbeats: DataFrame, dead: DataFrame) -> DataFrame:
+    """One row: entities that are alive, and the jobs of each status."""
+    alive = heartbeats.select("entity").distinct().join(dead, "entity", "left_anti")
+    rows = statuses.select("status").unionByName(alive.select(F.lit("alive").alias("status")))
+    return rows.agg(
+        F.count_if(F.col("status") == "alive").alias("active_entities"),
         *[
             F.count_if(F.col("status") == status).alias(status)
             for status in ("pending", "active", "completed", "failed")
-        ]
+        ],
     )

@@ -63,9 +63,9 @@ def execute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             quantity, value, profit, fault = 0, 0, None, None
             if signal == BUY and shares == 0:
-                if close == 0:
-                    ruined, fault = True, "Invalid job: zero price at BUY"
-                elif 0 < close <= cash:
+                if close <= 0:
+                    ruined, fault = True, "Invalid job: price at BUY must be positive"
+                elif close <= cash:
                     quantity = cash // close
                     value = paid = quantity * close
                     cash, shares = cash - value, quantity
@@ -95,15 +95,12 @@ def fold(acts: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     `acts`: job_id, symbol, iblock, idx, date, close, signal, actionable rows only.
     """
-    parts = int(acts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     opening = opening_portfolio(spans)
     start = opening.selectExpr(
         "job_id", "salt", "i0", "i1",
         "cash AS open_cash", "shares AS open_shares", "coalesce(last_buy_value, 0L) AS open_buy_value",
     )
-    ordered = (
-        acts.join(start, "job_id").repartition(parts, "job_id").sortWithinPartitions("job_id", "idx")
-    )
+    ordered = acts.join(start, "job_id").repartition("job_id").sortWithinPartitions("job_id", "idx")
     kept = [f for f in ordered.schema.fields if f.name not in _OPENING]
     schema = StructType(
         kept + [StructField(n, StringType() if k == pa.string() else LongType()) for n, k in _MADE.items()]

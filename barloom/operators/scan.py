@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.storage import written
-
 _COMBINE = {
     "count": lambda before, here: F.coalesce(before, F.lit(0)) + here,
     "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
@@ -70,20 +68,6 @@ def period_block(date: Column, days: int) -> Column:
     return F.coalesce(F.floor(F.unix_date(date) / F.lit(days)).cast("int"), F.lit(0))
 
 
-def range_block(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
-    """Blocks of even size from Spark's range partitioner, for series with many rows per date.
-
-    The split points come from a sample, so the outcome is written before anything reads it twice.
-    """
-    numbered = df.withColumn("__copy", F.monotonically_increasing_id())
-    return written(
-        numbered.repartitionByRange(parts, *keys, *order, "__copy")
-        .withColumn("block", F.spark_partition_id())
-        .drop("__copy"),
-        "range-blocks",
-    )
-
-
 def previous(df: DataFrame, keys: list[str], block: str, order: str, value: str, name: str) -> DataFrame:
     """Add `name`: `value` of the row before in the series, across block borders; NULL at its start."""
     within = Window.partitionBy(*keys, block).orderBy(order)

@@ -16,12 +16,17 @@ def signal_rows(bars: DataFrame, actions: DataFrame) -> DataFrame:
     ).select(*bars.columns, F.coalesce("__signal", F.lit(HOLD)).alias("signal"))
 
 
-def actionable(signals: DataFrame) -> DataFrame:
-    """Rows whose signal is not HOLD and differs from the bar before (the first bar follows HOLD)."""
-    with_previous = previous(signals, ["job_id"], "iblock", "idx", "signal", "prev_signal")
-    return with_previous.filter(
-        (F.col("signal") != HOLD) & (F.col("signal") != F.coalesce("prev_signal", F.lit(HOLD)))
-    )
+def actionable(signals: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Rows whose signal is not HOLD and differs from the bar before.
+
+    The first bar follows HOLD, or the signal a resumed job was saved with (`seen`: job_id, saved_signal).
+    """
+    rows = previous(signals, ["job_id"], "iblock", "idx", "signal", "prev_signal")
+    before = F.coalesce("prev_signal", F.lit(HOLD))
+    if seen is not None:
+        rows = rows.join(seen, "job_id", "left")
+        before = F.coalesce("prev_signal", "saved_signal", F.lit(HOLD))
+    return rows.filter((F.col("signal") != HOLD) & (F.col("signal") != before))
 
 
 def signal_counts(signals: DataFrame) -> DataFrame:

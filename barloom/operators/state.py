@@ -23,10 +23,10 @@ MOMENTS = {
 SNAPSHOT_BARS = 100
 
 
-def progress(curve: DataFrame, every: int = SNAPSHOT_BARS) -> DataFrame:
-    """Portfolio of every job after each `every` bars, read off its equity curve."""
+def progress(curve: DataFrame) -> DataFrame:
+    """Portfolio of every job at the bars of a curve made with `equity(SNAPSHOT_BARS)`, but its first."""
     position = F.col("idx") - F.col("i0")
-    return curve.filter((position > 0) & (position % every == 0)).select(
+    return curve.filter(position > 0).select(
         "job_id",
         "symbol",
         position.alias("last_processed_index"),

@@ -19,7 +19,7 @@ def load_error(folder: str) -> Column:
 
 def with_load_errors(placed: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """Fill `invalid` for jobs whose symbol could not be loaded. `files`: one row per symbol file."""
-    listed = files.select("symbol", F.lit(True).alias("listed"))
+    listed = files.select("symbol").distinct().withColumn("listed", F.lit(True))
     return placed.join(listed, "symbol", "left").withColumn(
         "invalid", F.coalesce("invalid", load_error(folder))
     ).drop("listed")

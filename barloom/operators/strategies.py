@@ -19,37 +19,53 @@ from barloom.schemas import HOLD
 from barloom.storage import written
 
 MISMATCH = "Signal count mismatch with price data"
+LAST = "job_id long, new_signal int, new_memory string"
 ACTION_COLUMNS = ["job_id", "symbol", "iblock", "idx", "date", "close", "signal"]
 _ACTION_SCHEMA = (
-    "job_id long, symbol string, iblock long, idx long, date date, close long, signal int, error string"
+    "job_id long, symbol string, iblock long, idx long, date {date}, close long, signal int, error string, memory string"
 )
 
 
+def _seen(jobs: DataFrame) -> DataFrame | None:
+    """The signals resumed jobs were saved with, where there are any."""
+    return jobs.select("job_id", "saved_signal") if "saved_signal" in jobs.columns else None
+
+
 class Strategy(Protocol):
-    def actions(self, bars: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(actionable rows: ACTION_COLUMNS, failures: job_id, error)."""
+    def actions(self, bars: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(actionable rows: ACTION_COLUMNS, failures: job_id, error, what a resumed run needs: LAST)."""
 
 
 class FrameStrategy:
     """Signals as a DataFrame function: `signals(bars, jobs)` returns job_id, idx, signal.
 
-    One signal per bar is required; jobs with another number of signals fail.
+    Exactly one signal for each bar is required; other jobs fail. A resumed job sees only its new bars.
     """
 
     def __init__(self, signals: Callable[[DataFrame, DataFrame], DataFrame]):
         self.signals = signals
 
-    def actions(self, bars: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def actions(self, bars: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         made = self.signals(bars, jobs).select("job_id", "idx", F.col("signal").cast("int").alias("signal"))
-        counts = made.groupBy("job_id").agg(F.count("signal").alias("made"))
+        counts = made.groupBy("job_id").agg(
+            F.count("signal").alias("made"),
+            F.count_distinct("idx").alias("places"),
+            F.min("idx").alias("first"),
+            F.max("idx").alias("last"),
+        )
+        expected = F.col("i1") - F.col("r0") + 1
+        fits = (F.col("made") == expected) & (F.col("places") == expected)
+        within = (F.col("first") >= F.col("r0")) & (F.col("last") <= F.col("i1"))
         failed = (
-            jobs.select("job_id", (F.col("i1") - F.col("i0") + 1).alias("expected"))
-            .join(counts, "job_id", "left")
-            .filter(F.coalesce("made", F.lit(0)) != F.col("expected"))
+            jobs.join(counts, "job_id", "left")
+            .filter((expected > 0) & ~F.coalesce(fits & within, F.lit(False)))
             .select("job_id", F.lit(MISMATCH).alias("error"))
         )
         rows = bars.join(made, ["job_id", "idx"])
-        return actionable(rows).select(*ACTION_COLUMNS), failed
+        last = made.groupBy("job_id").agg(F.max_by("signal", "idx").alias("new_signal")).withColumn(
+            "new_memory", F.lit(None).cast("string")
+        )
+        return actionable(rows, _seen(jobs)).select(*ACTION_COLUMNS), failed, last
 
 
 class PandasStrategy:
@@ -57,48 +73,71 @@ class PandasStrategy:
 
     `start(job)` returns a callable for one job; it is called with consecutive stretches of that
     job's bars in order and returns one signal per bar, keeping what it needs between calls. A job
-    is never held in memory as a whole.
+    is never held in memory as a whole. A callable with a method `save()` returning text is given
+    that text when its job is resumed: `start(job, text)`.
     """
 
     def __init__(self, start: Callable[[int], Callable[[pd.DataFrame], Any]]):
         self.start = start
 
-    def actions(self, bars: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def actions(self, bars: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         start = self.start
 
+        def ending(job_id, last: int, strategy) -> pd.DataFrame:
+            memory = strategy.save() if hasattr(strategy, "save") else None
+            return _row(job_id, signal=last, memory=memory)
+
         def run(stretches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             job, strategy, last, dead = None, None, HOLD, False
             for stretch in stretches:
                 for job_id, part in stretch.groupby("job_id", sort=False):
                     if job_id != job:
-                        job, strategy, last, dead = job_id, None, HOLD, False
+                        if strategy is not None and not dead:
+                            yield ending(job, last, strategy)
+                        saved, memory = part["saved_signal"].iloc[0], part["saved_memory"].iloc[0]
+                        job, strategy, dead = job_id, None, False
+                        last = HOLD if pd.isna(saved) else int(saved)
                     if dead:
                         continue
+                    part = part.drop(columns=["saved_signal", "saved_memory"])
                     try:
-                        strategy = strategy or start(int(job_id))
+                        if strategy is None:
+                            strategy = start(int(job_id)) if pd.isna(memory) else start(int(job_id), memory)
                         signals = pd.Series(list(strategy(part)), index=None, dtype="int32")
                     except Exception as error:  # a user's error becomes the job's status
                         dead = True
-                        yield _failure(job_id, f"Signal generation failed: {error}")
+                        yield _row(job_id, error=f"Signal generation failed: {error}")
                         continue
                     if len(signals) != len(part):
                         dead = True
-                        yield _failure(job_id, MISMATCH)
+                        yield _row(job_id, error=MISMATCH)
                         continue
                     before = signals.shift(1, fill_value=last)
                     keep = ((signals != HOLD) & (signals != before)).to_numpy()
                     last = int(signals.iloc[-1])
-                    out = part[keep].assign(signal=signals[keep].to_numpy(), error=None)
-                    yield out[[*ACTION_COLUMNS, "error"]]
-
-        ordered = bars.repartition("job_id").sortWithinPartitions("job_id", "idx")
-        made = written(ordered.mapInPandas(run, _ACTION_SCHEMA), "signals")
+                    out = part[keep].assign(signal=signals[keep].to_numpy(), error=None, memory=None)
+                    yield out[[*ACTION_COLUMNS, "error", "memory"]]
+            if strategy is not None and not dead:
+                yield ending(job, last, strategy)
+
+        none = F.lit(None)
+        before = jobs.select(
+            "job_id",
+            (F.col("saved_signal") if "saved_signal" in jobs.columns else none).cast("int").alias("saved_signal"),
+            (F.col("saved_memory") if "saved_memory" in jobs.columns else none).cast("string").alias("saved_memory"),
+        )
+        ordered = bars.join(before, "job_id").repartition("job_id").sortWithinPartitions("job_id", "idx")
+        schema = _ACTION_SCHEMA.format(date=dict(bars.dtypes)["date"])
+        made = written(ordered.mapInPandas(run, schema), "signals")
         failed = made.filter(F.col("error").isNotNull()).select("job_id", "error")
-        return made.filter(F.col("error").isNull()).select(*ACTION_COLUMNS), failed
+        fine = made.filter(F.col("error").isNull())
+        last = fine.filter("idx IS NULL").select("job_id", F.col("signal").alias("new_signal"), F.col("memory").alias("new_memory"))
+        return fine.filter("idx IS NOT NULL").select(*ACTION_COLUMNS), failed, last
 
 
-def _failure(job_id: int, message: str) -> pd.DataFrame:
-    row = dict.fromkeys([*ACTION_COLUMNS, "error"])
-    return pd.DataFrame([{**row, "job_id": job_id, "error": message}]).astype(
+def _row(job_id: int, **values) -> pd.DataFrame:
+    """A row about a job as a whole: its failure, or its last signal and memory."""
+    row = dict.fromkeys([*ACTION_COLUMNS, "error", "memory"])
+    return pd.DataFrame([{**row, "job_id": job_id, **values}]).astype(
         {"iblock": "Int64", "idx": "Int64", "close": "Int64", "signal": "Int32"}
     )

@@ -16,19 +16,20 @@ from barloom.schemas import BUY, MINOR_UNITS, SELL
 STRATEGIES = ["SMA"]
 
 
-def prepare(bars: DataFrame, max_window: int, unique_dates: bool = False, layout: str = "auto") -> DataFrame:
+def prepare(bars: DataFrame, max_window: int, unique_dates: bool = False) -> DataFrame:
     """Packed blocks that answer every window up to `max_window`, written once for many sweeps."""
-    return written(blocks.pack(blocks.ranked(bars, layout, unique_dates), max_window + 1), "packed")
+    return written(blocks.pack(blocks.ranked(bars, unique_dates), max_window + 1), "packed")
 
 
-def largest_window(jobs: DataFrame) -> int:
-    """The largest window of a job list (one aggregated row reaches the driver)."""
-    return int(jobs.agg(F.max(F.greatest("short_window", "long_window"))).first()[0] or 1)
+def largest_window(jobs: DataFrame, strategies: list[str] | None = None) -> int:
+    """The largest window of the jobs that can run (one aggregated row reaches the driver)."""
+    valid = jobs.filter(joblist.invalid_reason(strategies or STRATEGIES).isNull())
+    return int(valid.agg(F.max(F.greatest("short_window", "long_window"))).first()[0] or 1)
 
 
 @dataclass
 class Run:
-    """The tables of one sweep; each is lazy and can be used alone."""
+    """The tables of one sweep. Jobs are placed and trades folded when it is made; the rest is lazy."""
 
     placed: DataFrame
     spans: DataFrame
@@ -38,10 +39,15 @@ class Run:
     portfolio: DataFrame
     trades: DataFrame
     resumed: bool = False
+    units: int = MINOR_UNITS
+    last: DataFrame | None = None
 
-    def equity(self) -> DataFrame:
-        stretches = equity.intervals(self.trades, portfolio.opening_portfolio(self.spans))
-        return equity.equity_rows(stretches, self.spread)
+    def equity(self, every: int = 1) -> DataFrame:
+        """Equity of the jobs that succeed, at every bar or at every so many."""
+        fine = self.outcome().filter("error_message IS NULL").select("job_id")
+        spans = portfolio.opening_portfolio(self.spans).join(fine, "job_id", "left_semi")
+        trades = self.trades.join(fine, "job_id", "left_semi")
+        return equity.equity_rows(equity.intervals(trades, spans), self.spread, every)
 
     def drawdowns(self) -> DataFrame:
         return equity.drawdown_rows(self.equity())
@@ -52,11 +58,11 @@ class Run:
         return outcome(self.placed, self.portfolio, metrics)
 
     def results(self) -> DataFrame:
-        return result_rows(self.outcome())
+        return result_rows(self.outcome(), self.units)
 
     def state(self) -> DataFrame:
         """The saved state after the last bar of every job, to be handed to the next run."""
-        return state_rows(self.outcome(), self.changes, self.spans)
+        return state_rows(self.outcome(), self.changes, self.spans, self.last)
 
 
 def locate(
@@ -66,13 +72,14 @@ def locate(
     files: DataFrame | None = None,
     folder: str = "",
     strategies: list[str] | None = None,
+    units: int = MINOR_UNITS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all jobs with their place, the runnable ones, the blocks dealt to cells).
 
     With a saved state the runnable jobs start behind the bars it has seen, with its portfolio.
     With a listing of symbol `files` a job without data says whether its file is missing or empty.
     """
-    placed = joblist.place(packed, jobs, strategies or STRATEGIES, presence=files is not None)
+    placed = joblist.place(packed, jobs, strategies or STRATEGIES, files is not None, units)
     if files is not None:
         placed = status.with_load_errors(placed, files, folder)
     placed = written(placed, "placed")
@@ -96,8 +103,9 @@ def locate(
 
 
 def until(jobs: DataFrame, date: str) -> DataFrame:
-    """The same jobs, processed no further than `date`."""
-    return jobs.withColumn("end_date", F.least("end_date", F.lit(date).cast("date")))
+    """The same jobs, processed no further than `date` (a text date where jobs have text dates)."""
+    kind = dict(jobs.dtypes)["end_date"]
+    return jobs.withColumn("end_date", F.least("end_date", F.lit(date).cast(kind)))
 
 
 def run(
@@ -107,26 +115,31 @@ def run(
     files: DataFrame | None = None,
     folder: str = "",
     strategies: dict[str, Strategy] | None = None,
+    units: int = MINOR_UNITS,
 ) -> Run:
-    """Evaluate every job. `strategies` adds user strategies by the name jobs give in `strategy`."""
+    """Evaluate every job. `strategies` adds user strategies by the name jobs give in `strategy`.
+
+    `units`: minor units per currency unit of the packed prices.
+    """
     custom = strategies or {}
-    placed, spans, dealt = locate(packed, jobs, state, files, folder, [*STRATEGIES, *custom])
+    placed, spans, dealt = locate(packed, jobs, state, files, folder, [*STRATEGIES, *custom], units)
     changes = crossover.changes(dealt, spans.filter(F.col("strategy").isin(*STRATEGIES)))
     actions = crossover.crossings(changes, None if state is None else spans)
-    errors = None
+    errors = last = None
     for name, strategy in custom.items():
         mine = F.col("strategy") == name
-        found, failed = strategy.actions(
+        found, failed, ended = strategy.actions(
             crossover.series_rows(crossover.on_blocks(dealt, spans.filter(mine))), spans.filter(mine)
         )
         actions = actions.unionByName(found)
         errors = failed if errors is None else errors.unionByName(failed)
+        last = ended if last is None else last.unionByName(ended)
     after, trades = portfolio.fold(actions, spans)
     if errors is not None:
         after = after.join(errors, "job_id", "left").withColumn(
             "fault", F.coalesce("error", "fault")
         ).drop("error")
-    return Run(placed, spans, dealt, changes, actions, after, trades, state is not None)
+    return Run(placed, spans, dealt, changes, actions, after, trades, state is not None, units, last)
 
 
 def outcome(placed: DataFrame, folded: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -170,7 +183,7 @@ def outcome(placed: DataFrame, folded: DataFrame, metrics: DataFrame) -> DataFra
     )
 
 
-def result_rows(outcomes: DataFrame) -> DataFrame:
+def result_rows(outcomes: DataFrame, units: int = MINOR_UNITS) -> DataFrame:
     """Result rows; failures are rows with zero metrics and a message."""
     ok = F.col("error_message").isNull()
     deviation = F.expr("sqrt(coalesce(ret_m2 / nullif(ret_n, 0), 0D))")
@@ -188,18 +201,26 @@ def result_rows(outcomes: DataFrame) -> DataFrame:
         "if(success, round(total_return, 6), 0D) AS total_return",
         "if(success, round(sharpe_ratio, 6), 0D) AS sharpe_ratio",
         "if(success, round(drawdown * 100D, 6), 0D) AS max_drawdown",
-        f"if(success, final / {MINOR_UNITS}D, 0D) AS final_value",
+        f"if(success, final / {units}D, 0D) AS final_value",
         *[f"CAST(if(success, {c}, 0L) AS INT) AS {c}" for c in ("num_trades", "winning", "losing")],
         "success",
         "error_message",
     )
 
 
-def state_rows(outcomes: DataFrame, changes: DataFrame, spans: DataFrame) -> DataFrame:
+def state_rows(
+    outcomes: DataFrame, changes: DataFrame, spans: DataFrame, last: DataFrame | None = None
+) -> DataFrame:
     last_dir = changes.groupBy("job_id").agg(F.max_by("dir", "idx").alias("new_dir"))
-    before = spans.select("job_id", F.col("saved_dir") if "saved_dir" in spans.columns
-                          else F.lit(None).cast("int").alias("saved_dir"))
-    ok = outcomes.filter(F.col("error_message").isNull()).drop("saved_dir")
+    carried = {"saved_dir": "int", "saved_signal": "int", "saved_memory": "string"}
+    before = spans.select("job_id", *[
+        F.col(c) if c in spans.columns else F.lit(None).cast(kind).alias(c) for c, kind in carried.items()
+    ])
+    ok = outcomes.filter(F.col("error_message").isNull()).drop(*carried)
+    if last is None:
+        ok = ok.withColumns({"new_signal": F.lit(None).cast("int"), "new_memory": F.lit(None).cast("string")})
+    else:
+        ok = ok.join(last, "job_id", "left")
     return ok.join(last_dir, "job_id", "left").join(before, "job_id", "left").select(
         "job_id",
         "symbol",
@@ -213,6 +234,8 @@ def state_rows(outcomes: DataFrame, changes: DataFrame, spans: DataFrame) -> Dat
         F.col("peak").alias("saved_peak"),
         F.col("drawdown").alias("saved_drawdown"),
         F.coalesce("new_dir", "saved_dir").alias("saved_dir"),
+        F.coalesce("new_signal", "saved_signal").alias("saved_signal"),
+        F.coalesce("new_memory", "saved_memory").alias("saved_memory"),
         F.lit(True).alias("valid"),
     )
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from barloom.functions.metrics import simple_return
 from barloom.operators import bars as barops
 from barloom.operators import blocks, crossover, jobs as joblist, liveness, reports, signals as sig, state, status
-from barloom.operators.scan import period_block
+from barloom.operators.scan import period_block, running
 from barloom.operators.strategies import FrameStrategy, PandasStrategy, Strategy
 from barloom.plans import backtest
-from barloom.sources import calendar, csv_bars, driver_tables as tables, jobs_csv
+from barloom.sources import calendar, csv_bars, driver_tables as tables, jobs_csv, sinks
 from barloom.storage import shared_folder, written
 from barloom.streaming import backtest as stream_results, feed, liveness as stream_live
 
@@ -35,7 +35,7 @@ def _param(short: int, long: int, start: str, end: str, capital: float = 10000.0
 def _jobs(spark: SparkSession, folder: str, params: list[dict]) -> DataFrame:
     listed = joblist.grid(tables.symbols(spark, folder), params)
     return joblist.number(
-        listed, ["symbol", "short_window", "long_window", "start_date"], "symbol"
+        listed, ["symbol", "short_window", "long_window", "start_date"]
     )
 
 
@@ -69,7 +69,7 @@ def bars_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bars_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = blocks.ranked(tables.bars(spark, folder), unique_dates=True)
+    ranked = written(blocks.ranked(tables.bars(spark, folder), unique_dates=True), "ranked")
     found = barops.find_date(ranked, "1996-06-03")
     absent = barops.find_date(ranked, "1980-01-01").select("symbol", F.col("position").alias("absent_position"))
     hundredth = barops.bar_at(ranked, 100).select("symbol", F.col("date").alias("date_at_100"))
@@ -97,7 +97,7 @@ def mean_close(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def volatility(spark: SparkSession, folder: str) -> DataFrame:
-    return barops.volatility(_packed(spark, folder, 1)).withColumn("volatility", F.round("volatility", 8))
+    return barops.volatility(tables.bars(spark, folder)).withColumn("volatility", F.round("volatility", 8))
 
 
 def _single_bars(run: backtest.Run) -> DataFrame:
@@ -168,32 +168,29 @@ def backtest_sweep(spark: SparkSession, folder: str) -> DataFrame:
 AS_OF = "2024-01-31 00:00:00"
 SILENCE = 6 * 3600
 FAULTS = [
-    dict(strategy="SMA", **_param(20, 50, *FULL), _unknown=False),
-    dict(strategy="SMA", **_param(20, 50, "2030-01-01", "2030-12-31"), _unknown=False),
-    dict(strategy="SMA", **_param(20, 50, "1996-01-01", "1996-01-31"), _unknown=False),
-    dict(strategy="RSI", **_param(20, 50, *FULL), _unknown=False),
-    dict(strategy="SMA", **_param(0, 50, *FULL), _unknown=False),
-    dict(strategy="SMA", **_param(20, 50, *FULL, 0.0), _unknown=False),
-    dict(strategy="SMA", **_param(21, 50, *FULL), _unknown=True),
+    dict(strategy="SMA", **_param(20, 50, *FULL), _prefix=""),
+    dict(strategy="SMA", **_param(20, 50, "2030-01-01", "2030-12-31"), _prefix=""),
+    dict(strategy="SMA", **_param(20, 50, "1996-01-01", "1996-01-31"), _prefix=""),
+    dict(strategy="RSI", **_param(20, 50, *FULL), _prefix=""),
+    dict(strategy="SMA", **_param(0, 50, *FULL), _prefix=""),
+    dict(strategy="SMA", **_param(20, 50, *FULL, 0.0), _prefix=""),
+    dict(strategy="SMA", **_param(21, 50, *FULL), _prefix="X-"),
+    dict(strategy="SMA", **_param(22, 50, *FULL), _prefix="E-"),
 ]
-EMPTY_FILE = "Brand#13"
 
 
 def _faulty_run(spark: SparkSession, folder: str) -> backtest.Run:
-    """A sweep in which every status rule occurs: EMPTY_FILE has a file without valid rows, and one
-    parameter set names symbols that have no file."""
+    """A sweep over text files in which every status rule occurs: symbols with the prefix X- have no
+    file, those with E- a file without a valid row."""
     symbols = tables.symbols(spark, folder)
-    listed = joblist.grid(symbols, FAULTS).withColumn(
-        "symbol", F.when(F.col("_unknown"), F.concat(F.lit("X-"), "symbol")).otherwise(F.col("symbol"))
-    ).drop("_unknown")
-    jobs = joblist.number(
-        listed,
-        ["symbol", "strategy", "short_window", "start_date", "initial_capital"],
-        "symbol",
-    )
-    bars = tables.bars(spark, folder).filter(F.col("symbol") != EMPTY_FILE)
-    packed = backtest.prepare(bars, 50, unique_dates=True)
-    return backtest.run(packed, jobs, files=symbols, folder="data")
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    csv_bars.save(tables.bars(spark, folder), path)
+    rubbish = symbols.select(F.concat(F.lit("E-"), "symbol").alias("symbol"), F.lit("no bar at all").alias("line"))
+    rubbish.write.mode("append").partitionBy("symbol").csv(path)
+    listed = joblist.grid(symbols, FAULTS).withColumn("symbol", F.concat("_prefix", "symbol")).drop("_prefix")
+    jobs = joblist.number(listed, ["symbol", "strategy", "short_window", "start_date", "initial_capital"])
+    packed = backtest.prepare(csv_bars.load(spark, path), 50)
+    return backtest.run(packed, jobs, files=csv_bars.files(spark, path), folder="data")
 
 
 def job_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,6 +203,46 @@ def run_summary(spark: SparkSession, folder: str) -> DataFrame:
     return status.run_summary(_faulty_run(spark, folder).results())
 
 
+def _sunk(spark: SparkSession, folder: str) -> str:
+    """The faulty sweep's results and summary, written by the sinks."""
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    results = written(_faulty_run(spark, folder).results(), "results")
+    sinks.write_results(results, path, 2.5)
+    return path
+
+
+def result_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Result rows read back from text, with their place in the files."""
+    raw = (
+        spark.read.option("header", True).csv(f"{_sunk(spark, folder)}/results")
+        .select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("part"))
+        .withColumn("place", F.monotonically_increasing_id())
+    )
+    placed = running(raw, [], "part", ["place"], {"line": ("count", F.lit(1))})
+    return placed.select(
+        F.col("line").cast("bigint").alias("line"),
+        F.col("job_id").cast("bigint").alias("job_id"),
+        "symbol",
+        *[F.col(c).cast("double").alias(c) for c in ("total_return", "max_drawdown", "final_value")],
+        F.col("num_trades").cast("int").alias("num_trades"),
+        F.col("success").cast("boolean").alias("success"),
+        "error_message",
+    )
+
+
+def summary_sink(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(
+        "submitted long, successful long, failed long, total_seconds double, jobs_per_second double"
+    ).json(f"{_sunk(spark, folder)}/summary")
+
+
+def report_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report = scalability_report(spark, folder)
+    sinks.write_report(report, path)
+    return spark.read.option("header", True).schema(report.schema).csv(path)
+
+
 def job_lookup(spark: SparkSession, folder: str) -> DataFrame:
     run = _faulty_run(spark, folder)
     answers = run.results().filter("success").select("job_id", "symbol", "final_value")
@@ -241,7 +278,7 @@ def price_path(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("date"),
         F.col("o_orderkey").alias("step"),
         ((F.pmod(cents, F.lit(401)) - 200) / 10000.0).alias("r"),
-    ).withColumn("block", period_block(F.col("date"), 64))
+    ).withColumn("block", period_block(F.col("date"), 1))
     path = calendar.price_path(returns, "symbol", "block", ["date", "step"], 100.0)
     return path.select("symbol", "date", "step", F.round("price", 6).alias("price"))
 
@@ -271,10 +308,11 @@ def orphaned_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_counts(spark: SparkSession, folder: str) -> DataFrame:
+    dead = _dead(spark, folder)
     return liveness.ledger_counts(
-        liveness.ledger_status(
-            tables.ledger(spark, folder), _dead(spark, folder), tables.answered(spark, folder)
-        )
+        liveness.ledger_status(tables.ledger(spark, folder), dead, tables.answered(spark, folder)),
+        tables.heartbeats(spark, folder),
+        dead,
     )
 
 
@@ -291,7 +329,7 @@ STATE_COLUMNS = ["job_id", "symbol", "bars_processed", "last_date", "cash", "sha
 
 
 def state_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    return state.progress(_single(spark, folder).equity())
+    return state.progress(_single(spark, folder).equity(state.SNAPSHOT_BARS))
 
 
 def state_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,6 +344,13 @@ def state_open_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return state.open_jobs(state.without(first.unionByName(second), finished))
 
 
+def state_exists(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs with a valid state; every third state of the first run is marked invalid."""
+    _, jobs, first, _ = _split_runs(spark, folder)
+    marked = first.withColumn("valid", F.col("job_id") % 3 != 0)
+    return state.existing(jobs, marked).select("job_id", "symbol")
+
+
 def resume_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     """Three runs in sequence, each continuing the saved states of the one before."""
     packed, jobs, first, second = _split_runs(spark, folder)
@@ -333,6 +378,105 @@ def _custom(spark: SparkSession, folder: str, strategy: Strategy) -> DataFrame:
     return run.results().drop("error_message")
 
 
+def slope_frame(bars: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Example strategy that repeats its signal: BUY above 110, SELL below."""
+    return bars.select("job_id", "idx", F.when(F.col("close") > 11000, 1).otherwise(-1).alias("signal"))
+
+
+class SlopePandas:
+    """The same in Python, with a memory of the last close that survives a resume."""
+
+    def __init__(self, job_id: int, memory: str | None = None):
+        self.seen = int(memory) if memory else 0
+
+    def __call__(self, bars: pd.DataFrame):
+        self.seen += len(bars)
+        return np.where(bars["close"] > 11000, 1, -1).astype("int32")
+
+    def save(self) -> str:
+        return str(self.seen)
+
+
+def _resumed(spark: SparkSession, folder: str, strategy: Strategy) -> DataFrame:
+    packed = _packed(spark, folder, 1)
+    jobs = _jobs(spark, folder, [dict(strategy="SLOPE", **_param(*PAIR, *FULL))])
+    named = {"SLOPE": strategy}
+    first = written(backtest.run(packed, backtest.until(jobs, "1997-06-30"), strategies=named).state(), "state")
+    return backtest.run(packed, jobs, first, strategies=named).results().drop("error_message")
+
+
+def resume_custom(spark: SparkSession, folder: str) -> DataFrame:
+    return _resumed(spark, folder, FrameStrategy(slope_frame))
+
+
+def resume_pandas(spark: SparkSession, folder: str) -> DataFrame:
+    return _resumed(spark, folder, PandasStrategy(SlopePandas))
+
+
+def strategy_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """User strategies that raise, give too few signals, or two for one bar and none for the next."""
+
+    def raising(job_id: int):
+        raise ValueError("no idea")
+
+    def too_few(job_id: int):
+        return lambda bars: [0] * (len(bars) - 1)
+
+    def doubled(bars: DataFrame, jobs: DataFrame) -> DataFrame:
+        return bars.select("job_id", F.greatest(F.col("idx") - 1, F.col("idx") * 0).alias("idx"), F.lit(0).alias("signal"))
+
+    faulty = {
+        "DOUBLED": FrameStrategy(doubled), "FEW": PandasStrategy(too_few), "RAISES": PandasStrategy(raising),
+    }
+    params = [dict(strategy=name, **_param(*PAIR, *FULL)) for name in faulty]
+    listed = joblist.grid(tables.symbols(spark, folder), params)
+    jobs = joblist.number(listed, ["symbol", "strategy"])
+    run = backtest.run(_packed(spark, folder, 1), jobs, strategies=faulty)
+    return run.results().select("job_id", "symbol", "success", "error_message")
+
+
+def _ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line item as a bar of its return flag: long series with many bars a day."""
+    price = F.pmod(F.floor(F.col("l_extendedprice") * 100).cast("bigint"), F.lit(2000).cast("bigint")) + 10000
+    return tables.table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("symbol"),
+        F.col("l_shipdate").cast("date").alias("date"),
+        *[price.alias(c) for c in ("open", "high", "low", "close")],
+        F.col("l_quantity").cast("bigint").alias("volume"),
+    )
+
+
+LONG_WINDOWS = [
+    dict(start_date=FULL[0], end_date=FULL[1], short_window=short, long_window=long, initial_capital=10000.0)
+    for short, long in [(5000, 9000), (100, 5000), (9000, 200)]
+]
+
+
+def sweep_long_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of several blocks. The blocks answer up to 9000 bars; nothing else is refused."""
+    symbols = tables.table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct()
+    jobs = joblist.number(
+        joblist.grid(symbols, LONG_WINDOWS), ["symbol", "short_window", "long_window", "start_date"]
+    )
+    packed = backtest.prepare(_ticks(spark, folder), backtest.largest_window(jobs))
+    return backtest.run(packed, jobs).results().drop("error_message")
+
+
+FINE = 10_000
+
+
+def sweep_fine_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices of four decimals, through text files and a sweep in units of a hundredth of a cent."""
+    path = f"{shared_folder(spark)}/fine-{uuid.uuid4().hex}"
+    fine = tables.bars(spark, folder).withColumns(
+        {c: F.col(c) * 100 + F.pmod("volume", F.lit(100)) for c in csv_bars.PRICES}
+    )
+    csv_bars.save(fine, path, FINE)
+    packed = backtest.prepare(csv_bars.load(spark, path, units=FINE), max(PAIR))
+    jobs = _jobs(spark, folder, [_param(*PAIR, *FULL)])
+    return backtest.run(packed, jobs, units=FINE).results().drop("error_message")
+
+
 def custom_strategy(spark: SparkSession, folder: str) -> DataFrame:
     return _custom(spark, folder, FrameStrategy(momentum_frame))
 
@@ -345,7 +489,33 @@ def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     """All bars written as text per symbol and read back."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     csv_bars.save(tables.bars(spark, folder), path)
-    return csv_bars.load_saved(spark, path)
+    return csv_bars.load(spark, path)
+
+
+#: Symbols that a path has to carry in disguise.
+ODD_SYMBOLS = {"Brand#11": "000001", "Brand#12": "A+B", "Brand#13": "50%", "Brand#14": "x/y z"}
+
+
+def csv_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of oddly named symbols as text: no header, blanks around fields, blank lines, a seventh field."""
+    path = f"{shared_folder(spark)}/odd-{uuid.uuid4().hex}"
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ODD_SYMBOLS.items() for x in kv]), F.col("symbol")), "symbol")
+    money = [F.concat(F.lit(" "), F.format_string("%.2f", F.col(c) / 100.0), F.lit("\t")) for c in csv_bars.PRICES]
+    line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), *money, "volume", F.lit("more"))
+    rows = tables.bars(spark, folder).select(name.alias("symbol"), F.explode(F.array(line, F.lit("  "))).alias("line"))
+    rows.write.partitionBy("symbol").option("quote", "\u0000").option("sep", "\u0001").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv_bars.load(spark, path)
+
+
+def csv_lenient(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers with a tail, read by their prefix."""
+    path = f"{shared_folder(spark)}/lenient-{uuid.uuid4().hex}"
+    money = [F.format_string("%.2fUSD", F.col(c) / 100.0) for c in csv_bars.PRICES]
+    line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), *money, F.concat("volume", F.lit(".75")))
+    rows = tables.bars(spark, folder).select("symbol", line.alias("line"))
+    rows.write.partitionBy("symbol").option("sep", "\u0001").csv(path)
+    return csv_bars.load(spark, path, lenient=True)
 
 
 def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,15 +542,11 @@ def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 def job_list(spark: SparkSession, folder: str) -> DataFrame:
     """The sweep's job list written as text and read back, numbered in line order."""
     listed = _jobs(spark, folder, SWEEP)
-    text = listed.withColumn(
-        "value",
-        F.concat_ws(",", "symbol", "strategy", "start_date", "end_date", "short_window", "long_window", "initial_capital"),
-    )
-    header = spark.range(1).select(F.lit(0).cast("bigint").alias("job_id"), F.lit("symbol,strategy,…").alias("value"))
     path = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
     (
-        header.unionByName(text.select("job_id", "value"))
-        .repartitionByRange(1, "job_id").sortWithinPartitions("job_id").select("value").write.text(path)
+        listed.repartitionByRange(4, "job_id").sortWithinPartitions("job_id")
+        .select("symbol", "strategy", "start_date", "end_date", "short_window", "long_window", "initial_capital")
+        .write.option("header", True).csv(path)
     )
     return jobs_csv.load(spark, path)
 
@@ -425,7 +591,9 @@ QUERIES = {
         job_status, run_summary, job_lookup, job_missing, scalability_report, trading_calendar,
         price_path, liveness_gaps, dead_entities, latest_status, orphaned_jobs, ledger_counts,
         state_snapshots, state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
-        csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness,
+        csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness, csv_load, csv_lenient, result_sink,
+        summary_sink, report_sink, state_exists, resume_custom, resume_pandas, strategy_failures,
+        sweep_long_windows, sweep_fine_prices,
     )
 }
 
@@ -440,7 +608,7 @@ def workloads(spark: SparkSession, folder: str, timed) -> dict[str, float]:
     )
     generated = backtest.prepare(days, 200, unique_dates=True)
     names = generated.filter("iblock = 0").select("symbol")
-    one = joblist.number(joblist.grid(names, [_param(50, 200, *FULL)]), ["symbol"], "symbol")
+    one = joblist.number(joblist.grid(names, [_param(50, 200, *FULL)]), ["symbol"], 1)
     placed, spans, dealt = backtest.locate(generated, one)
     out = {
         "signals_500x1250": timed(

@@ -131,7 +131,7 @@ FAULTY = """
 named AS (
   SELECT DISTINCT p_brand AS symbol FROM part),
 listed AS (
-  SELECT CASE WHEN u THEN 'X-' || symbol ELSE symbol END AS symbol, strategy, start_date, end_date,
+  SELECT u || symbol AS symbol, strategy, start_date, end_date,
          short_window, long_window, initial_capital
   FROM named CROSS JOIN (VALUES {rows})
     AS v(strategy, start_date, end_date, short_window, long_window, initial_capital, u)),
@@ -143,8 +143,8 @@ judged AS (
     WHEN strategy <> 'SMA' THEN 'Invalid job: unknown strategy ' || strategy
     WHEN short_window <= 0 THEN 'Invalid job: window must be positive'
     WHEN initial_capital <= 0 THEN 'Invalid job: capital must be positive'
-    WHEN symbol NOT IN (SELECT symbol FROM named) THEN 'Exception: Failed to open file: data/' || symbol || '.csv'
-    WHEN symbol = '{empty}' THEN 'Exception: No valid data loaded from data/' || symbol || '.csv'
+    WHEN symbol LIKE 'X-%' THEN 'Exception: Failed to open file: data/' || symbol || '.csv'
+    WHEN symbol LIKE 'E-%' THEN 'Exception: No valid data loaded from data/' || symbol || '.csv'
     WHEN NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = j.symbol AND b.date BETWEEN j.start_date AND j.end_date)
       THEN 'No data in date range' END AS error_message
   FROM all_jobs j),
@@ -166,14 +166,14 @@ answered AS (
 
 
 def faulty_sql(tail: str) -> str:
-    from barloom.plans.catalog import EMPTY_FILE, FAULTS
+    from barloom.plans.catalog import FAULTS
 
     rows = ", ".join(
         f"('{p['strategy']}', DATE '{p['start_date']}', DATE '{p['end_date']}', {p['short_window']}, "
-        f"{p['long_window']}, CAST({p['initial_capital']} AS DOUBLE), {str(p['_unknown']).lower()})"
+        f"{p['long_window']}, CAST({p['initial_capital']} AS DOUBLE), '{p['_prefix']}')"
         for p in FAULTS
     )
-    faulty = FAULTY.format(rows=rows, empty=EMPTY_FILE)
+    faulty = FAULTY.format(rows=rows)
     return f"WITH RECURSIVE {BARS},{faulty},{SIGNALS},{FOLD}\n{tail}"
 
 
@@ -201,17 +201,46 @@ signals AS (
     return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{signals},{FOLD}\nSELECT * FROM results"
 
 
+def slope_sql(params: list[dict]) -> str:
+    """The example strategy that repeats its signal."""
+    signals = SIGNALS[: SIGNALS.index("summed AS")] + """
+signals AS (SELECT *, CASE WHEN close > 11000 THEN 1 ELSE -1 END AS signal FROM sliced)"""
+    return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{signals},{FOLD}\nSELECT * FROM results"
+
+
+def fine_sql(params: list[dict]) -> str:
+    """The sweep in units of a hundredth of a cent."""
+    fine = BARS.replace("bars AS (", "cent_bars AS (") + """,
+bars AS (
+  SELECT symbol, date, close * 100 + volume % 100 AS close FROM cent_bars)"""
+    fold = FOLD.replace("capital * 100", "capital * 10000").replace("m.final / 100.0", "m.final / 10000.0")
+    return f"WITH RECURSIVE {fine},{jobs_cte(params)},{SIGNALS},{fold}\nSELECT * FROM results"
+
+
+def tick_sql(params: list[dict]) -> str:
+    """The sweep over single line items of a return flag, many to a date."""
+    ticks = """
+bars AS (
+  SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS BIGINT) AS volume,
+         CAST(floor(l_extendedprice * 100) AS BIGINT) % 2000 + 10000 AS close
+  FROM lineitem)"""
+    signals = SIGNALS.replace("ORDER BY b.date)", "ORDER BY b.date, b.close, b.volume)")
+    jobs = jobs_cte(params).replace("p_brand AS symbol FROM part", "l_returnflag AS symbol FROM lineitem")
+    return f"WITH RECURSIVE {ticks},{jobs},{signals},{FOLD}\nSELECT * FROM results"
+
+
 def signal_sql(params: list[dict], tail: str) -> str:
     return f"WITH {BARS},{jobs_cte(params)},{SIGNALS}\n{tail}"
 
 
 def oracle() -> dict[str, str]:
-    from barloom.plans.catalog import AS_OF, FULL, PAIR, SILENCE, SWEEP, _param
+    from barloom.plans.catalog import AS_OF, FULL, LONG_WINDOWS, ODD_SYMBOLS, PAIR, SILENCE, SWEEP, _param
 
     single = [_param(*PAIR, *FULL)]
+    odd = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ODD_SYMBOLS.items())
     beats = BEATS.format(as_of=AS_OF, silence=SILENCE)
     day = "date_diff('day', DATE '1995-01-01', date)"
-    return {
+    found = {
         "bars_valid": f"""WITH {BARS}, dirty AS (
             SELECT symbol, date, open / 100.0 AS open,
               CASE WHEN {day} % 97 = 0 THEN low ELSE high END / 100.0 AS high,
@@ -290,7 +319,8 @@ def oracle() -> dict[str, str]:
         "ledger_counts": f"""WITH {beats}, s AS (
             SELECT l.*, a.success, l.entity IN (SELECT entity FROM dead) AS is_dead
             FROM ledger l LEFT JOIN answered a USING (job_id))
-            SELECT count(*) FILTER (success IS NULL AND (entity IS NULL OR is_dead)) AS pending,
+            SELECT (SELECT count(DISTINCT entity) FROM beats WHERE entity NOT IN (SELECT entity FROM dead)) AS active_entities,
+              count(*) FILTER (success IS NULL AND (entity IS NULL OR is_dead)) AS pending,
               count(*) FILTER (success IS NULL AND entity IS NOT NULL AND NOT is_dead) AS active,
               count(*) FILTER (success) AS completed, count(*) FILTER (NOT success) AS failed FROM s""",
         "state_snapshots": run_sql(single, """SELECT job_id, symbol, pos AS last_processed_index, date AS last_date,
@@ -301,6 +331,25 @@ def oracle() -> dict[str, str]:
         "custom_strategy": momentum_sql(single),
         "custom_pandas_strategy": momentum_sql(single),
         "csv_scan": f"WITH {BARS} SELECT * FROM bars",
+        "csv_lenient": f"WITH {BARS} SELECT * FROM bars",
+        "csv_load": f"WITH {BARS} SELECT CASE symbol {odd} ELSE symbol END AS symbol, * EXCLUDE (symbol) FROM bars",
+        "result_sink": faulty_sql("""SELECT row_number() OVER (ORDER BY j.job_id) AS line, j.job_id, j.symbol,
+            coalesce(r.total_return, 0.0) AS total_return, coalesce(r.max_drawdown, 0.0) AS max_drawdown,
+            coalesce(r.final_value, 0.0) AS final_value, coalesce(r.num_trades, 0) AS num_trades,
+            j.error_message IS NULL AS success, j.error_message
+            FROM judged j LEFT JOIN results r ON r.job_id = j.job_id"""),
+        "summary_sink": faulty_sql("""SELECT count(*) AS submitted, count(*) FILTER (error_message IS NULL) AS successful,
+            count(*) FILTER (error_message IS NOT NULL) AS failed, CAST(2.5 AS DOUBLE) AS total_seconds,
+            count(*) / CAST(2 AS DOUBLE) AS jobs_per_second FROM judged"""),
+        "state_exists": state_sql(single, ["1997-06-30"], "SELECT job_id, symbol FROM reached WHERE job_id % 3 <> 0"),
+        "resume_custom": slope_sql(single),
+        "resume_pandas": slope_sql(single),
+        "strategy_failures": """WITH named AS (SELECT DISTINCT p_brand AS symbol FROM part)
+            SELECT CAST(row_number() OVER (ORDER BY symbol, s) AS BIGINT) AS job_id, symbol, false AS success, m AS error_message
+            FROM named CROSS JOIN (VALUES ('DOUBLED', 'Signal count mismatch with price data'),
+              ('FEW', 'Signal count mismatch with price data'), ('RAISES', 'Signal generation failed: no idea')) AS v(s, m)""",
+        "sweep_long_windows": tick_sql(LONG_WINDOWS),
+        "sweep_fine_prices": fine_sql(single),
         "csv_quarantine": f"""WITH {BARS}, t AS (
             SELECT *, {day} AS day, printf('%.2f', open / 100.0) AS o, printf('%.2f', high / 100.0) AS h,
               CASE WHEN {day} % 17 = 0 THEN printf('%.2f', high / 100.0 + 1) ELSE printf('%.2f', low / 100.0) END AS l,
@@ -323,3 +372,5 @@ def oracle() -> dict[str, str]:
             n AS (SELECT *, sum(fresh) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
             SELECT entity, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS beats FROM n GROUP BY entity, k""",
     }
+    found["report_sink"] = found["scalability_report"]
+    return found

@@ -1,35 +1,54 @@
 """OHLCV text files, one per symbol: scan, cleaning, quarantine, writer.
 
 Fields are taken by position (date, open, high, low, close, volume); further fields are ignored.
-A row is rejected if one of the six is missing or no value, or if the bar is not valid. Lines are
-read as text, so that neither a missing header nor an extra field confuses the reader.
+A row is rejected if one of the six is missing or no value, if the bar is not valid, or if a price is
+no whole number of minor units (`units` per currency unit): nothing is rounded and no accepted price is
+NULL. Lines are read as text, so that neither a missing header nor an extra field confuses the reader; a
+header is recognised wherever it stands, as files may be concatenations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.parsing import to_bigint, to_double, to_minor, trimmed
+from barloom.functions.parsing import is_whole, to_bigint, to_double, to_minor, trimmed
 from barloom.operators.bars import is_valid
+from barloom.schemas import MINOR_UNITS
 
 PRICES = ["open", "high", "low", "close"]
 COLUMNS = ["date", *PRICES, "volume"]
 
 
+def _decoded(text: Column) -> Column:
+    """Percent-encoding undone; a plus sign stays one."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def symbol_of(file_path: Column) -> Column:
+    """The symbol a file belongs to: `<SYMBOL>.csv`, or any file in a folder `symbol=<SYMBOL>`.
+
+    Paths are encoded once by Spark, the names of such folders once more by the writer.
+    """
+    folder = F.regexp_extract(file_path, r"/symbol=([^/]*)/[^/]*$", 1)
+    name = F.regexp_extract(file_path, r"([^/]*)\.csv$", 1)
+    return F.when(folder != "", _decoded(_decoded(folder))).otherwise(_decoded(name))
+
+
 def lines(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Non-blank lines with their symbol (from the file name unless given)."""
-    name = F.lit(symbol) if symbol else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    """Non-blank lines with their symbol (from the path unless given). Reads both layouts."""
+    name = F.lit(symbol) if symbol else symbol_of(F.col("_metadata.file_path"))
     return (
         spark.read.option("pathGlobFilter", "*.csv").text(path)
-        .select(F.url_decode(name).alias("symbol") if symbol is None else name.alias("symbol"),
-                F.col("value").alias("line"))
+        .select(name.alias("symbol"), F.col("value").alias("line"))
         .filter(F.length(trimmed(F.col("line"))) > 0)
     )
 
 
-def parsed(raw: DataFrame, lenient: bool = False, dates_as_text: bool = False) -> DataFrame:
-    """Typed fields, currency units, and why a line is rejected (NULL if it is not).
+def parsed(
+    raw: DataFrame, lenient: bool = False, dates_as_text: bool = False, units: int = MINOR_UNITS
+) -> DataFrame:
+    """Typed fields, prices in minor units, and why a line is rejected (NULL if it is not).
 
     A line without any number in the five numeric fields that mentions "date" or "open" is the
     header and disappears. `dates_as_text` keeps dates as written; they then order as text.
@@ -49,19 +68,22 @@ def parsed(raw: DataFrame, lenient: bool = False, dates_as_text: bool = False) -
     missing = F.col("date").isNull() | F.col("volume").isNull()
     for c in PRICES:
         missing = missing | F.col(c).isNull()
-    return typed.filter(~header).withColumn(
+    inexact = F.lit(False)
+    for c in PRICES:
+        inexact = inexact | F.coalesce(~is_whole(F.col(c), units), F.lit(True))
+    checked = typed.filter(~header).withColumn(
         "reason",
         F.when(F.col("fields") < 6, "insufficient columns")
         .when(missing, "unparseable value")
-        .when(~is_valid(typed), "invalid bar"),
+        .when(~is_valid(typed), "invalid bar")
+        .when(inexact, "price out of range or finer than the unit"),
     )
+    return checked.withColumns({c: to_minor(F.col(c), units) for c in PRICES})
 
 
 def bars(typed: DataFrame) -> DataFrame:
     """Accepted rows with prices in minor units."""
-    return typed.filter(F.col("reason").isNull()).select(
-        "symbol", "date", *[to_minor(F.col(c)).alias(c) for c in PRICES], "volume"
-    )
+    return typed.filter(F.col("reason").isNull()).select("symbol", "date", *PRICES, "volume")
 
 
 def quarantine(typed: DataFrame) -> DataFrame:
@@ -76,30 +98,24 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per symbol file, found by listing: empty files count too."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     return listing.select(
-        F.url_decode(F.regexp_extract("path", r"([^/]*)\.csv$", 1)).alias("symbol"), "path", "length"
+        symbol_of(F.col("_metadata.file_path")).alias("symbol"), "path", "length"
     )
 
 
-def save(bars_in_cents: DataFrame, folder: str) -> None:
+def save(bars_in_minor_units: DataFrame, folder: str, units: int = MINOR_UNITS) -> None:
     """Write bars as text, one folder per symbol (`symbol=<SYMBOL>/`), replacing what is there.
 
     Every symbol is sorted within its files; a very large symbol may be split over several.
     """
-    out = bars_in_cents.select(
+    digits = len(str(units)) - 1
+    day = F.col("date") if dict(bars_in_minor_units.dtypes)["date"] == "string" else F.date_format("date", "yyyy-MM-dd")
+    out = bars_in_minor_units.select(
         "symbol",
-        F.date_format("date", "yyyy-MM-dd").alias("Date"),
-        *[F.format_string("%.2f", F.col(c) / 100.0).alias(c.capitalize()) for c in PRICES],
+        day.alias("Date"),
+        *[F.format_string(f"%.{digits}f", F.col(c) / units).alias(c.capitalize()) for c in PRICES],
         F.col("volume").alias("Volume"),
     )
     (
         out.sort("symbol", "Date").write.mode("overwrite").option("header", True)
         .partitionBy("symbol").csv(folder)
     )
-
-
-def load_saved(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Read back what `save` wrote: the symbol is the folder's name."""
-    raw = spark.read.text(folder).select(
-        F.col("symbol").cast("string").alias("symbol"), F.col("value").alias("line")
-    ).filter(F.length(trimmed(F.col("line"))) > 0)
-    return bars(parsed(raw, **options))

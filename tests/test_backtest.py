@@ -115,7 +115,7 @@ def test_order_and_partitioning_of_the_input_do_not_matter(spark, small_blocks):
     bars = bars_of(spark, series)
     plain = by_job(backtest.run(backtest.prepare(bars, 20), jobs).results())
     shuffled = bars.orderBy("close").repartition(7)
-    assert by_job(backtest.run(backtest.prepare(shuffled, 20, layout="range"), jobs).results()) == plain
+    assert by_job(backtest.run(backtest.prepare(shuffled, 20), jobs).results()) == plain
 
 
 def test_a_symbol_with_most_of_the_rows_and_equal_dates(spark, small_blocks, monkeypatch):

@@ -93,7 +93,7 @@ def test_job_list(spark, tmp_path):
 def test_saved_bars_and_results_read_back(spark, tmp_path):
     bars = bars_of(spark, {"A/B": [10000 + i for i in range(30)], "C": [500, 501]})
     csv_bars.save(bars, str(tmp_path / "bars"))
-    again = csv_bars.load_saved(spark, str(tmp_path / "bars"))
+    again = csv_bars.load(spark, str(tmp_path / "bars"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, bars.collect()))
     jobs = jobs_of(spark, [("C", "SMA", 0, 9, 1, 2, 100), ("D", "SMA", 0, 9, 1, 2, 100)])
     results = written(backtest.run(backtest.prepare(bars, 2), jobs).results(), "results")
