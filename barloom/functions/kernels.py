@@ -65,7 +65,7 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 a, b = begin + (0 if known else 1), end + 2
                 short_sum = total[a:b] - total[a - short : b - short]
                 long_sum = total[a:b] - total[a - long : b - long]
-                state = np.where(_larger(short_sum, long, long_sum, short), 1, -1)
+                state = np.where(larger(short_sum, long, long_sum, short), 1, -1)
                 state[~((short_sum > 0) & (long_sum > 0))] = 0
                 before = np.concatenate(([0], state[:-1]))
                 change = (state != 0) & (state != before)
@@ -98,7 +98,7 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         })
 
 
-def _larger(a: np.ndarray, times_a: int, b: np.ndarray, times_b: int) -> np.ndarray:
+def larger(a: np.ndarray, times_a: int, b: np.ndarray, times_b: int) -> np.ndarray:
     """a * times_a > b * times_b for whole numbers; in Python's integers where doubles lose digits."""
     top = max(np.abs(a).max(initial=0) * times_a, np.abs(b).max(initial=0) * times_b)
     if top < 2**53:

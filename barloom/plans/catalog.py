@@ -553,18 +553,35 @@ def job_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_backtest(spark: SparkSession, folder: str) -> DataFrame:
     """The single-pair backtest over bars that arrive in four steps."""
-    bars = tables.bars(spark, folder).select("symbol", "date", "close")
-    path = feed.write_in_steps(bars, "date", ["1996-07-01", "1998-01-01", "2000-03-01"])
-    jobs = written(_jobs(spark, folder, [_param(*PAIR, *FULL)]), "jobs")
-    rows = feed.drain(spark, path, bars.schema, lambda s: stream_results.results(s, jobs), "update")
+    jobs = _jobs(spark, folder, [_param(*PAIR, *FULL)])
+    return _streamed(tables.bars(spark, folder), jobs).drop("success", "error_message")
+
+
+def _streamed(bars: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The last result row of every job, over bars that arrive in four steps."""
+    jobs = written(jobs, "jobs")
+    rows = feed.run_in_steps(
+        bars, "date", ["1996-07-01", "1998-01-01", "2000-03-01"], lambda s: stream_results.results(s, jobs), "update"
+    )
     last = rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), "batch").alias("r"))
     return last.select("job_id", "r.*").select(
         "job_id", "symbol", "bars",
         *[F.round(c, 6).alias(c) for c in ("total_return", "sharpe_ratio", "max_drawdown")],
-        "final_value", "num_trades", "winning", "losing", "late_bars",
+        "final_value", "num_trades", "winning", "losing", "late_bars", "success", "error_message",
     )
 
 
+def stream_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Valid and invalid jobs on a stream with several bars to a date."""
+    params = [
+        dict(strategy="SMA", **_param(*PAIR, *FULL)), dict(strategy="RSI", **_param(*PAIR, *FULL)),
+        dict(strategy="SMA", **_param(0, 50, *FULL)), dict(strategy="SMA", **_param(*PAIR, *FULL, 0.0)),
+    ]
+    listed = joblist.grid(tables.symbols(spark, folder), params)
+    jobs = joblist.number(listed, ["symbol", "strategy", "short_window", "initial_capital"])
+    return _streamed(tables.split_bars(spark, folder), jobs)
+
+
 def stream_liveness(spark: SparkSession, folder: str) -> DataFrame:
     """Alive periods of all users from a stream of events; a closing beat ends the open ones."""
     beats = tables.heartbeats(spark, folder).select("entity", F.col("ts").cast("timestamp").alias("ts"))
@@ -572,9 +589,8 @@ def stream_liveness(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(-1).cast("bigint").alias("entity"), F.lit("2024-03-01 00:00:00").cast("timestamp").alias("ts")
     )
     feedable = beats.unionByName(closing).withColumn("day", F.to_date("ts"))
-    path = feed.write_in_steps(feedable, "day", ["2024-01-10", "2024-01-20", "2024-02-15"])
-    rows = feed.drain(
-        spark, path, feedable.schema, lambda s: stream_live.sessions(s, SILENCE), "append"
+    rows = feed.run_in_steps(
+        feedable, "day", ["2024-01-10", "2024-01-20", "2024-02-15"], lambda s: stream_live.sessions(s, SILENCE), "append"
     )
     return rows.filter("entity >= 0").select(
         "entity", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"),
@@ -593,7 +609,7 @@ QUERIES = {
         state_snapshots, state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
         csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness, csv_load, csv_lenient, result_sink,
         summary_sink, report_sink, state_exists, resume_custom, resume_pandas, strategy_failures,
-        sweep_long_windows, sweep_fine_prices,
+        sweep_long_windows, sweep_fine_prices, stream_faults,
     )
 }
 

@@ -217,6 +217,32 @@ bars AS (
     return f"WITH RECURSIVE {fine},{jobs_cte(params)},{SIGNALS},{fold}\nSELECT * FROM results"
 
 
+def stream_fault_sql() -> str:
+    """Valid and invalid jobs over bars that share dates."""
+    jobs = """
+listed AS (
+  SELECT CAST(row_number() OVER (ORDER BY symbol, strategy, short_window, initial_capital) AS BIGINT) AS job_id, *
+  FROM (SELECT DISTINCT p_brand AS symbol FROM part)
+  CROSS JOIN (VALUES ('SMA', 20, 10000.0, NULL), ('RSI', 20, 10000.0, 'Invalid job: unknown strategy RSI'),
+    ('SMA', 0, 10000.0, 'Invalid job: window must be positive'), ('SMA', 20, 0.0, 'Invalid job: capital must be positive'))
+    AS v(strategy, short_window, initial_capital, error_message)),
+jobs AS (
+  SELECT *, 50 AS long_window, DATE '1990-01-01' AS start_date, DATE '2010-12-31' AS end_date
+  FROM listed WHERE error_message IS NULL)"""
+    bars = SPLIT_BARS.replace("bars AS (", "day_bars AS (", 1).replace("split_bars AS (", "bars AS (")
+    signals = SIGNALS.replace(
+        "b.date, b.close, row_number() OVER (PARTITION BY j.job_id ORDER BY b.date)",
+        "b.date, b.close, row_number() OVER (PARTITION BY j.job_id ORDER BY b.date, b.open, b.high, b.low, b.close, b.volume)",
+    )
+    return f"""WITH RECURSIVE {bars},{jobs},{signals},{FOLD}
+SELECT l.job_id, l.symbol, coalesce((SELECT count(*) FROM sliced s WHERE s.job_id = l.job_id), 0) AS bars,
+  coalesce(r.total_return, 0.0) AS total_return, coalesce(r.sharpe_ratio, 0.0) AS sharpe_ratio,
+  coalesce(r.max_drawdown, 0.0) AS max_drawdown, coalesce(r.final_value, 0.0) AS final_value,
+  coalesce(r.num_trades, 0) AS num_trades, coalesce(r.winning, 0) AS winning, coalesce(r.losing, 0) AS losing,
+  0 AS late_bars, l.error_message IS NULL AS success, l.error_message
+FROM listed l LEFT JOIN results r ON r.job_id = l.job_id"""
+
+
 def tick_sql(params: list[dict]) -> str:
     """The sweep over single line items of a return flag, many to a date."""
     ticks = """
@@ -348,6 +374,7 @@ def oracle() -> dict[str, str]:
             SELECT CAST(row_number() OVER (ORDER BY symbol, s) AS BIGINT) AS job_id, symbol, false AS success, m AS error_message
             FROM named CROSS JOIN (VALUES ('DOUBLED', 'Signal count mismatch with price data'),
               ('FEW', 'Signal count mismatch with price data'), ('RAISES', 'Signal generation failed: no idea')) AS v(s, m)""",
+        "stream_faults": stream_fault_sql(),
         "sweep_long_windows": tick_sql(LONG_WINDOWS),
         "sweep_fine_prices": fine_sql(single),
         "csv_quarantine": f"""WITH {BARS}, t AS (

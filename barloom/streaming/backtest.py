@@ -5,113 +5,161 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.functions.kernels import larger
 from barloom.functions.metrics import MIN_DEVIATION, PERIODS_PER_YEAR
-from barloom.schemas import MINOR_UNITS
+from barloom.operators.jobs import invalid_reason
+from barloom.schemas import BAR_ORDER, MINOR_UNITS
 
 OUTPUT = (
-    "job_id long, symbol string, bars long, total_return double, sharpe_ratio double, "
-    "max_drawdown double, final_value double, num_trades int, winning int, losing int, late_bars long"
+    "job_id long, symbol string, bars long, total_return double, sharpe_ratio double, max_drawdown double, "
+    "final_value double, num_trades int, winning int, losing int, late_bars long, success boolean, error_message string"
 )
 _STATE_FIELDS = [
     ("bars", "long"), ("last_date", "date"), ("closes", "array<long>"), ("direction", "int"),
     ("cash", "long"), ("shares", "long"), ("bought", "long"), ("trades", "int"), ("wins", "int"),
     ("losses", "int"), ("equity", "long"), ("n", "long"), ("mean", "double"), ("m2", "double"),
-    ("peak", "long"), ("drawdown", "double"), ("late", "long"),
+    ("peak", "long"), ("drawdown", "double"), ("late", "long"), ("fault", "string"),
 ]
 STATE = ", ".join(f"{name} {kind}" for name, kind in _STATE_FIELDS)
 
 
-def advance(s: dict, close: int, short: int, long: int) -> None:
-    """Let one bar act on the state of a job."""
-    position = s["bars"]
-    keep = max(short, long)
-    s["closes"].append(close)
-    if len(s["closes"]) > keep:
-        s["closes"].pop(0)
-    signal = 0
-    if position >= long and len(s["closes"]) >= keep:
-        short_sum, long_sum = sum(s["closes"][-short:]), sum(s["closes"][-long:])
-        if short_sum > 0 and long_sum > 0:
-            direction = 1 if short_sum * long > long_sum * short else -1
-            if position > long and direction != s["direction"]:
-                signal = direction
-            s["direction"] = direction
-    if signal == 1 and s["shares"] == 0 and close > 0 and s["cash"] >= close:
-        s["shares"] = s["cash"] // close
-        s["bought"] = s["shares"] * close
-        s["cash"] -= s["bought"]
-        s["trades"] += 1
-    elif signal == -1 and s["shares"] > 0:
-        value = s["shares"] * close
-        s["wins" if value > s["bought"] else "losses"] += 1
-        s["cash"], s["shares"] = s["cash"] + value, 0
-        s["trades"] += 1
-    equity = s["cash"] + s["shares"] * close
-    if position > 0 and s["equity"] > 0:
-        r = (equity - s["equity"]) / s["equity"]
-        s["n"] += 1
-        delta = r - s["mean"]
-        s["mean"] += delta / s["n"]
-        s["m2"] += delta * (r - s["mean"])
-    s["equity"] = equity
-    s["peak"] = max(s["peak"], equity)
-    s["drawdown"] = max(s["drawdown"], (s["peak"] - equity) / s["peak"])
-    s["bars"] = position + 1
+def _signals(s: dict, closes: np.ndarray, short: int, long: int) -> np.ndarray:
+    """BUY, SELL or HOLD of the new bars, by prefix sums over them and the closes kept."""
+    known = np.concatenate([np.array(s["closes"], np.int64), closes])
+    sums = np.concatenate(([0], np.cumsum(known)))
+    upto = np.arange(len(known) - len(closes), len(known)) + 1
+    position = s["bars"] + np.arange(len(closes))
+    full = (position >= long) & (position >= short - 1)
+    short_sum = np.where(full, sums[upto] - sums[np.maximum(upto - short, 0)], 0)
+    long_sum = np.where(full, sums[upto] - sums[np.maximum(upto - long, 0)], 0)
+    state = np.where(larger(short_sum.astype(float), long, long_sum.astype(float), short), 1, -1)
+    state[~((short_sum > 0) & (long_sum > 0))] = 0
+    # the last state that was known before each bar
+    at = np.maximum.accumulate(np.where(state != 0, np.arange(len(state)), -1))
+    before = np.concatenate(([-1], at[:-1]))
+    known_before = np.where(before >= 0, state[np.maximum(before, 0)], s["direction"])
+    if len(at) and at[-1] >= 0:
+        s["direction"] = int(state[at[-1]])
+    s["closes"] = known[-max(short, long):].tolist()
+    return np.where((state != 0) & (position > long) & (state != known_before), state, 0)
+
+
+def advance(s: dict, closes: np.ndarray, short: int, long: int) -> None:
+    """Let bars act on the state of a job. Only trades are taken one by one."""
+    signals = _signals(s, closes, short, long)
+    cash, shares = np.empty(len(closes), object), np.empty(len(closes), object)
+    begin = 0
+    for k in [*np.flatnonzero(signals).tolist(), len(closes)]:
+        cash[begin:k], shares[begin:k] = s["cash"], s["shares"]
+        begin = k
+        if k == len(closes):
+            break
+        close = int(closes[k])
+        if signals[k] == 1 and s["shares"] == 0:
+            if close <= 0:
+                s["fault"] = "Invalid job: price at BUY must be positive"
+                return
+            if close <= s["cash"]:
+                s["shares"] = s["cash"] // close
+                s["bought"] = s["shares"] * close
+                s["cash"] -= s["bought"]
+                s["trades"] += 1
+        elif signals[k] == -1 and s["shares"] > 0:
+            value = s["shares"] * close
+            s["wins" if value > s["bought"] else "losses"] += 1
+            s["cash"], s["shares"] = s["cash"] + value, 0
+            s["trades"] += 1
+    exact = cash + shares * closes.astype(object)  # Python's integers do not overflow
+    if len(exact) and max(map(abs, [*exact, s["cash"]])) >= 2**63:
+        s["fault"] = "Invalid job: numeric overflow"
+        s.update(cash=0, shares=0, bought=0)
+        return
+    value = exact.astype(float)
+    if len(value) and value.min() < 0:
+        s["fault"] = "Invalid job: negative equity"
+    before = np.concatenate(([float(s["equity"])], value[:-1]))
+    counted = (before > 0) & (s["bars"] + np.arange(len(value)) > 0)
+    returns = (value[counted] - before[counted]) / before[counted]
+    if len(returns):
+        n, mean = len(returns), float(returns.mean())
+        total, delta = s["n"] + n, mean - s["mean"]
+        s["m2"] += float(((returns - mean) ** 2).sum()) + delta * delta * s["n"] * n / total
+        s["mean"] += delta * n / total
+        s["n"] = total
+    peak = np.maximum.accumulate(np.maximum(value, float(s["peak"])))
+    s["drawdown"] = max(s["drawdown"], float(((peak - value) / peak).max()))
+    s["peak"], s["equity"] = max(s["peak"], *exact.tolist()), int(exact[-1])
+    s["bars"] += len(closes)
 
 
 def _fresh(capital: int) -> dict:
     start = dict.fromkeys([name for name, _ in _STATE_FIELDS], 0)
     start.update(last_date=None, closes=[], direction=-1, cash=capital, equity=capital, peak=capital,
-                 mean=0.0, m2=0.0, drawdown=0.0)
+                 mean=0.0, m2=0.0, drawdown=0.0, fault=None)
     return start
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    new = pd.concat(list(batches)).sort_values(["date", "close"], kind="stable")
+    new = pd.concat(list(batches))
     job = new.iloc[0]
+    row = {
+        "job_id": key[0], "symbol": job.symbol, "bars": 0, "total_return": 0.0, "sharpe_ratio": 0.0,
+        "max_drawdown": 0.0, "final_value": 0.0, "num_trades": 0, "winning": 0, "losing": 0, "late_bars": 0,
+        "success": False, "error_message": job.invalid,
+    }
+    if job.invalid is not None:  # no state for a job that cannot run
+        yield pd.DataFrame([row])
+        return
+    new = new.sort_values([c for c in BAR_ORDER if c in new.columns], kind="stable")
     names = [name for name, _ in _STATE_FIELDS]
     capital = int(round(job.initial_capital * MINOR_UNITS))
     s = dict(zip(names, state.get)) if state.exists else _fresh(capital)
     s["closes"] = list(s["closes"])
-    short, long = int(job.short_window), int(job.long_window)
-    seen = s["last_date"]
-    for date, close in zip(new.date, new.close):
-        if seen is not None and date <= seen:
-            s["late"] += 1
-            continue
-        advance(s, int(close), short, long)
-        s["last_date"] = date
+    if s["last_date"] is not None:
+        late = (new.date <= s["last_date"]).to_numpy()
+        s["late"] += int(late.sum())
+        new = new[~late]
+    if len(new):
+        s["last_date"] = new.date.iloc[-1]
+        if s["fault"] is None:
+            advance(s, new.close.to_numpy(np.int64), int(job.short_window), int(job.long_window))
+    if s["fault"] is not None or s["last_date"] >= job.end_date:
+        s["closes"] = []  # no bar to come needs them
     state.update(tuple(s[name] for name in names))
-    deviation = math.sqrt(s["m2"] / s["n"]) if s["n"] else 0.0
-    sharpe = (
-        s["mean"] / deviation * math.sqrt(PERIODS_PER_YEAR)
-        if s["n"] >= 2 and deviation >= MIN_DEVIATION else 0.0
-    )
-    yield pd.DataFrame([{
-        "job_id": key[0], "symbol": job.symbol, "bars": s["bars"],
-        "total_return": (s["equity"] - capital) / capital * 100.0,
-        "sharpe_ratio": sharpe, "max_drawdown": s["drawdown"] * 100.0,
-        "final_value": s["equity"] / MINOR_UNITS, "num_trades": s["trades"],
-        "winning": s["wins"], "losing": s["losses"], "late_bars": s["late"],
-    }])
+    row.update(bars=s["bars"], late_bars=s["late"], success=s["fault"] is None, error_message=s["fault"])
+    if s["fault"] is None:
+        deviation = math.sqrt(s["m2"] / s["n"]) if s["n"] else 0.0
+        steady = s["n"] < 2 or deviation < MIN_DEVIATION
+        row.update(
+            total_return=(s["equity"] - capital) / capital * 100.0,
+            sharpe_ratio=0.0 if steady else s["mean"] / deviation * math.sqrt(PERIODS_PER_YEAR),
+            max_drawdown=s["drawdown"] * 100.0, final_value=s["equity"] / MINOR_UNITS,
+            num_trades=s["trades"], winning=s["wins"], losing=s["losses"],
+        )
+    yield pd.DataFrame([row])
 
 
 def results(bars_stream: DataFrame, jobs: DataFrame) -> DataFrame:
     """Streaming results: a row for every job that received bars in the micro-batch.
 
-    State per job is bounded by its longest window. A bar not later than the last one seen in an
-    earlier micro-batch is late: it is counted and dropped.
+    Jobs are validated as in a batch sweep; faulty ones answer with their message. Bars of a micro-batch
+    are taken in the order of a batch sweep, so its size bounds what a job holds besides its state, whose size its
+    longest window bounds; behind the last date of the job the window is dropped. A bar not later than the last
+    one seen in an earlier micro-batch is late: it is counted and left out.
     """
-    feed = bars_stream.select("symbol", "date", "close").join(jobs, "symbol").filter(
+    columns = ["symbol", *[c for c in BAR_ORDER if c in bars_stream.columns]]
+    judged = jobs.withColumn("invalid", invalid_reason(["SMA"]))
+    feed = bars_stream.select(*columns).join(judged, "symbol").filter(
         F.col("date").between(F.col("start_date"), F.col("end_date"))
     )
     return feed.select(
-        "job_id", "symbol", "date", "close", "short_window", "long_window", "initial_capital"
+        "job_id", *columns, "short_window", "long_window", "initial_capital", "end_date", "invalid"
     ).groupBy("job_id").applyInPandasWithState(
         _update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
     )

@@ -16,9 +16,9 @@ def test_stream_equals_batch(spark):
     series = {"A": walk(1, 120), "B": walk(2, 90)}
     listed = [(s, "SMA", 0, 999, a, b, 10000) for s in series for a, b in [(3, 8), (8, 3)]]
     bars = bars_of(spark, series).select("symbol", "date", "close")
-    path = feed.write_in_steps(bars, "date", [str(day(40)), str(day(41)), str(day(80))])
     jobs = written(jobs_of(spark, listed), "jobs")
-    rows = feed.drain(spark, path, bars.schema, lambda s: stream_results.results(s, jobs), "update").collect()
+    cuts = [str(day(40)), str(day(41)), str(day(80))]
+    rows = feed.run_in_steps(bars, "date", cuts, lambda s: stream_results.results(s, jobs), "update").collect()
     last = {}
     for r in sorted(rows, key=lambda r: r["batch"]):
         last[r["job_id"]] = r
@@ -32,9 +32,10 @@ def test_late_bars_are_counted_and_dropped(spark):
     bars = bars_of(spark, {"A": walk(1, 30)}).select("symbol", "date", "close")
     marked = bars.withColumn("part", F.when(F.col("date") == str(day(3)), 1).otherwise(0))
     in_order = marked.withColumn("arrives", F.date_add(F.lit("2000-01-01").cast("date"), F.col("part")))
-    path = feed.write_in_steps(in_order, "arrives", ["2000-01-02"])
     jobs = written(jobs_of(spark, [("A", "SMA", 0, 999, 3, 8, 10000)]), "jobs")
-    rows = feed.drain(spark, path, in_order.schema, lambda s: stream_results.results(s, jobs), "update").collect()
+    rows = feed.run_in_steps(
+        in_order, "arrives", ["2000-01-02"], lambda s: stream_results.results(s, jobs), "update"
+    ).collect()
     final = max(rows, key=lambda r: r["batch"])
     assert (final["bars"], final["late_bars"]) == (29, 1)
 
@@ -45,7 +46,32 @@ def test_sessions_end_after_whole_seconds_of_silence(spark):
     beats = spark.createDataFrame(
         [(e, base + dt.timedelta(seconds=s)) for e, s in times], "entity long, ts timestamp"
     ).withColumn("day", F.to_date(F.expr("timestampadd(DAY, CAST(unix_timestamp(ts) - unix_timestamp(TIMESTAMP'2024-01-01') AS INT) div 3000, ts)")))
-    path = feed.write_in_steps(beats, "day", ["2024-01-02", "2024-01-03"])
-    rows = feed.drain(spark, path, beats.schema, lambda s: stream_live.sessions(s), "append").collect()
+    rows = feed.run_in_steps(
+        beats, "day", ["2024-01-02", "2024-01-03"], lambda s: stream_live.sessions(s), "append"
+    ).collect()
     found = sorted((r["entity"], r["beats"]) for r in rows if r["entity"] < 9)
     assert found == [(1, 2), (2, 1), (2, 1)]
+
+
+def test_faulty_jobs_do_not_stop_the_stream(spark):
+    """A price of zero at a BUY, an overflow, invalid jobs, and a sound one beside them."""
+    fall_and_rise = [1000 - 10 * k for k in range(60)] + [420 + 10 * k for k in range(40)]
+    to_zero = [50, 40, 30, 20, 10, 10, 10, 10, 100, 0, 0, 0]
+    huge = [5, 4, 3, 2, 1, 1, 2, 3] + [2**55] * 4
+    series = {"A": fall_and_rise, "Z": to_zero, "H": huge}
+    listed = [
+        ("A", "SMA", 0, 999, 3, 8, 10000), ("A", "RSI", 0, 999, 3, 8, 10000), ("A", "SMA", 0, 999, 0, 8, 10000),
+        ("A", "SMA", 0, 999, 3, 8, 0), ("H", "SMA", 0, 999, 1, 2, 1e9),
+    ]
+    bars = bars_of(spark, series).select("symbol", "date", "close")
+    jobs = written(jobs_of(spark, listed), "jobs")
+    rows = feed.run_in_steps(
+        bars, "date", [str(day(7)), str(day(50))], lambda s: stream_results.results(s, jobs), "update"
+    ).collect()
+    last = {r["job_id"]: r for r in sorted(rows, key=lambda r: r["batch"])}
+    want = model.backtest(fall_and_rise, 10000, model.signals(fall_and_rise, 3, 8))
+    model.assert_result(last[1].asDict(), want)
+    assert last[2]["error_message"] == "Invalid job: unknown strategy RSI"
+    assert last[3]["error_message"] == "Invalid job: window must be positive"
+    assert last[4]["error_message"] == "Invalid job: capital must be positive"
+    assert last[5]["error_message"] == "Invalid job: numeric overflow" and not last[5]["success"]
