@@ -614,22 +614,36 @@ QUERIES = {
 }
 
 
-def workloads(spark: SparkSession, folder: str, timed) -> dict[str, float]:
-    """Timings of steps that the queries above mix: signals of 500 generated series of 1250 bars
-    (windows 50/200), and a sweep of 2000 jobs on bars that are already packed."""
-    days = spark.range(500 * 1250).select(
+def generated_bars(spark: SparkSession) -> DataFrame:
+    """500 series of 1250 bars."""
+    return spark.range(500 * 1250).select(
         F.format_string("S%03d", F.floor(F.col("id") / 1250).cast("int")).alias("symbol"),
         F.date_add(F.lit("2000-01-03").cast("date"), F.pmod("id", F.lit(1250)).cast("int")).alias("date"),
         (10000 + F.pmod(F.col("id") * 7919, F.lit(2000))).alias("close"),
     )
-    generated = backtest.prepare(days, 200, unique_dates=True)
-    names = generated.filter("iblock = 0").select("symbol")
+
+
+def generated_signals(spark: SparkSession) -> DataFrame:
+    """Signals of the generated series for windows 50/200, ranking and packing included."""
+    packed = backtest.prepare(generated_bars(spark), 200, unique_dates=True)
+    names = packed.filter("iblock = 0").select("symbol")
     one = joblist.number(joblist.grid(names, [_param(50, 200, *FULL)]), ["symbol"], 1)
-    placed, spans, dealt = backtest.locate(generated, one)
+    _, spans, dealt = backtest.locate(packed, one)
+    return crossover.crossings(crossover.changes(dealt, spans))
+
+
+def large_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Every symbol with 40 parameter sets, from bars to result rows."""
+    params = [_param(short, long, *FULL) for short in range(5, 45, 2) for long in (60, 200)]
+    jobs = written(_jobs(spark, folder, params), "jobs")
+    return backtest.run(_packed(spark, folder, 200), jobs).results()
+
+
+def workloads(spark: SparkSession, folder: str, timed) -> dict[str, float]:
+    """Timings of the benchmark's own workloads, and of 2000 jobs on bars that are packed before the clock starts."""
     out = {
-        "signals_500x1250": timed(
-            lambda: crossover.crossings(crossover.changes(dealt, spans))
-        )
+        "signals_500x1250_with_packing": timed(lambda: generated_signals(spark)),
+        "sweep_25x40_with_packing": timed(lambda: large_sweep(spark, folder)),
     }
     packed = _packed(spark, folder, 200)
     params = [_param(short, long, *FULL) for short in range(5, 45) for long in (60, 200)]
