@@ -22,7 +22,9 @@ that does not fit four times the input on disk, the reason for steps 1 and 2.
 
 Skew. Copies are folded inside an Arrow batch before anything is shuffled. An anchor with many contexts in one
 batch (`HOT`; the rim of a passage that a third of all documents hold) is dealt by context, with one marking row to those dealt
-by anchor. The strings of such an anchor, and of one with more than `TOGETHER` contexts in all, are compared as rows (128-bit
+by anchor. Contexts of such an anchor, and of one with more than `TOGETHER` contexts in all, are sorted over all tasks: by
+what stands before the anchor, read backwards, and by what stands behind it. Their neighbours bound how far a context agrees
+with any other on either side; only the few strings within both bounds are compared, as rows (128-bit
 hash, position), whose minimum is combined before the shuffle. A task streams its rows sorted and never holds more
 than `TOGETHER` contexts of one anchor.
 
@@ -47,8 +49,9 @@ GRAM = 32  # bytes of an anchor
 BEFORE = LENGTH - GRAM  # how far a string reaches before its anchor
 WINDOW = BEFORE + 1  # anchors to choose from in a string
 SLICE = 1 << 20  # bytes hashed at a time
-HOT = 1000  # contexts of one anchor in one batch, above which it is dealt by context
-TOGETHER = 10_000  # contexts of one anchor that are sorted together
+FOLDED = 200_000  # anchors of one batch that are folded at a time
+HOT = 200  # contexts of one anchor among these, above which it is dealt by context
+TOGETHER = 4_000  # contexts of one anchor that are sorted together
 MARK = -1
 
 
@@ -158,23 +161,23 @@ def _find(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        parts: list[tuple] = []
+        owners: list[int] = []
+        found: list[tuple] = []
+
+        def hash_parts():
+            part, start, *rest = _anchors(parts)
+            found.append(((np.array(owners, np.int64)[part] << bits) + start, *rest))
+            parts.clear()
+            owners.clear()
+
         for batch in batches:
-            ids, found, parts, size = batch.column(0).to_pylist(), [], [], 0
-            owners: list[int] = []
-
-            def hash_parts():
-                part, start, *rest = _anchors(parts)
-                base = np.array(owners, np.int64)[part] << bits
-                found.append((base + start, *rest))
-                parts.clear()
-                owners.clear()
-
-            for doc_id, text in zip(ids, batch.column(1)):
-                text = text.as_buffer()
+            size = 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = memoryview(text.as_buffer())
                 n = len(text)
                 if n < LENGTH:
                     continue
-                text = memoryview(text)
                 for first in range(0, n - GRAM + 1, SLICE):
                     last = min(first + SLICE, n - GRAM + 1)
                     begin = max(0, first - BEFORE)
@@ -184,35 +187,44 @@ def _find(bits: int):
                     if size >= SLICE:
                         hash_parts()
                         size = 0
+                if sum(len(f[0]) for f in found) >= FOLDED:
+                    yield from _fold(found)
+                    found.clear()
             if parts:
                 hash_parts()
-            if not found:
-                continue
-            at, gram, context, before, behind = map(np.concatenate, zip(*found))
-            order = np.lexsort((at, context, gram))
-            at, gram, context, before, behind = (x[order] for x in (at, gram, context, before, behind))
-            other = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]
-            # an occurrence behind an equal one goes; equal positions (repeated ids) are no earlier ones
-            first = np.maximum.accumulate(np.where(other, np.arange(len(at)), 0))
-            gone = at > at[first]
-            starts, ends = _runs(at[gone] - before[gone], at[gone] + behind[gone])
-            if len(starts):
-                for k in range(0, len(starts), 100_000):
-                    s, e = starts[k : k + 100_000], ends[k : k + 100_000]
-                    yield _rows(np.full(len(s), 2), s * 0, s * 0, s, s * 0, e - s)
-            gram, context, at, before, behind = (x[other] for x in (gram, context, at, before, behind))
-            group = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
-            many = np.bincount(group) > HOT
-            hot = many[group].astype(np.int32)
-            yield _rows(hot, gram, context, at, before, behind)
-            marks = np.unique(gram[hot == 1])
-            if len(marks):
-                none = np.zeros(len(marks), np.int64)
-                yield _rows(none + MARK, marks, none, none, none, none)
+            if found:
+                yield from _fold(found)
+                found.clear()
 
     return run
 
 
+def _fold(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Anchors with repeated contexts folded; what is behind an equal one as spans."""
+    import numpy as np
+
+    at, gram, context, before, behind = map(np.concatenate, zip(*found))
+    order = np.lexsort((at, context, gram))
+    at, gram, context, before, behind = (x[order] for x in (at, gram, context, before, behind))
+    other = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])] if len(at) else np.empty(0, bool)
+    # equal positions (repeated ids) are no earlier ones
+    first = np.maximum.accumulate(np.where(other, np.arange(len(at)), 0)) if len(at) else np.empty(0, np.int64)
+    gone = at > at[first]
+    starts, ends = _runs(at[gone] - before[gone], at[gone] + behind[gone])
+    if len(starts):
+        yield _rows(np.full(len(starts), 2), starts * 0, starts * 0, starts, starts * 0, ends - starts)
+    gram, context, at, before, behind = (x[other] for x in (gram, context, at, before, behind))
+    if not len(at):
+        return
+    group = np.cumsum(np.r_[True, gram[1:] != gram[:-1]]) - 1
+    hot = (np.bincount(group) > HOT)[group].astype(np.int32)
+    yield _rows(hot, gram, context, at, before, behind)
+    marks = np.unique(gram[hot == 1])
+    if len(marks):
+        none = np.zeros(len(marks), np.int64)
+        yield _rows(none + MARK, marks, none, none, none, none)
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by (gram, context, at): spans to remove (hot 2) and contexts left undecided (hot 0 or 1).
 
@@ -382,44 +394,90 @@ def repeated(contexts: list[bytes], anchors, at):
     return _runs(spots, spots + LENGTH)
 
 
-SORTED = "kind int, a long, b long, at long"
+SPANS = "start long, end long"
+
+
+def _longs(names: list[str], *columns) -> pa.RecordBatch:
+    import numpy as np
+
+    return pa.record_batch([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], names)
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hot, gram, at, before, bytes) sorted by gram: kind 1, spans (a: start, b: end); kind 2, strings of hot anchors.
+    """Rows (hot, gram, at, before, bytes) sorted by gram, none of them hot, to spans.
 
-    Whole anchors are sorted together, several at a time; contexts of one that is not hot anywhere are few.
+    Whole anchors are sorted together, several at a time.
     """
     import numpy as np
 
     held: list[tuple] = []
     last = None
 
-    def out(kind, a, b, at):
-        long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), long(a), long(b), long(at)], ["kind", "a", "b", "at"])
-
     def flush():
-        starts, ends = repeated([h[1] for h in held], np.array([h[2] for h in held]), np.array([h[0] for h in held]))
+        spans = repeated([h[1] for h in held], np.array([h[2] for h in held]), np.array([h[0] for h in held]))
         held.clear()
-        return out(1, starts, ends, starts * 0)
+        return _longs(["start", "end"], *spans)
 
     for batch in batches:
-        loose = []
-        for hot, gram, at, before, context in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if hot:
-                loose.append((at, context, before))
-                continue
-            if len(held) >= 5_000 and gram != last:
+        for _, gram, at, before, context in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if len(held) >= 3_000 and gram != last:
                 yield flush()
             held.append((at, context, before))
             last = gram
-        for at in range(0, len(loose), 2000):
-            yield out(2, *_strings(loose[at : at + 2000]))
     if held:
         yield flush()
 
 
+SIDES = "gram long, at long, before int, bytes binary, reach int"
+
+
+def _agreement(behind: bool):
+    """Rows (gram, at, before, bytes, reach) sorted by gram and one side of the anchor: how far each agrees there with
+    a neighbour. All are taken to agree at the rims of a partition. reach: before the anchor below 256, behind it above.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def side(row) -> bytes:
+            return row["bytes"][row["before"] + GRAM :] if behind else row["bytes"][: row["before"]][::-1]
+
+        def measured(rows: list[dict], own: slice) -> pa.RecordBatch:
+            text = np.zeros((len(rows), BEFORE), np.uint8)
+            size = np.zeros(len(rows), np.int64)
+            for k, row in enumerate(rows):
+                part = side(row)[:BEFORE]
+                text[k, : len(part)], size[k] = np.frombuffer(part, np.uint8), len(part)
+            gram = np.array([r["gram"] for r in rows])
+            same = np.logical_and.accumulate(text[1:] == text[:-1], axis=1).sum(axis=1)
+            same = np.minimum(same, np.minimum(size[1:], size[:-1])) * (gram[1:] == gram[:-1])
+            far = np.maximum(np.r_[BEFORE, same], np.r_[same, BEFORE])  # the rims agree with all
+            out = [r | {"reach": r["reach"] + int(f) * (256 if behind else 1)} for r, f in zip(rows[own], far[own])]
+            return pa.RecordBatch.from_pylist(out, schema)
+
+        schema = pa.schema([("gram", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary()), ("reach", pa.int32())])
+        held: list[dict] = []  # the last two rows: one to compare with, one still to be measured
+        for batch in batches:
+            rows = held + batch.to_pylist()
+            if len(rows) > 2:
+                yield measured(rows, slice(0 if len(held) < 2 else 1, len(rows) - 1))
+                held = rows[-2:]
+            else:
+                held = rows
+        if held:
+            yield measured(held, slice(0 if len(held) < 2 else 1, None)) if len(held) > 1 else measured(held, slice(None))
+
+    return run
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hot anchors to their strings (a, b: 128 bits of hash; at: start) within both bounds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            rows = batch.slice(at, 2000).to_pydict()
+            yield _longs(["a", "b", "at"], *_strings(list(zip(rows["at"], rows["bytes"], rows["before"], rows["reach"]))))
+
+
 def _strings(rows: list[tuple]):
     """numpy: (hash, other hash, start) of the strings of some contexts."""
     import numpy as np
@@ -430,8 +488,10 @@ def _strings(rows: list[tuple]):
     data = np.frombuffer(b"".join(contexts), np.uint8)
     owner = np.repeat(np.arange(len(rows)), sizes)
     offset = np.arange(len(owner)) - begin[owner]
-    at, before = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
-    spots = np.flatnonzero((offset <= before[owner]) & (offset + LENGTH <= sizes[owner]))
+    at, before, reach = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3))
+    ahead = before[owner] - offset  # bytes of the string before the anchor
+    inside = (ahead >= 0) & (offset + LENGTH <= sizes[owner])
+    spots = np.flatnonzero(inside & (ahead <= (reach % 256)[owner]) & (BEFORE - ahead <= (reach // 256)[owner]))
     values, power, inverse = _constants(max(len(data), 2 * SLICE))
     both = []
     for v in values:
@@ -505,15 +565,31 @@ def removed_spans(docs: DataFrame, bits: int) -> DataFrame:
         .groupBy(doc)
         .agg(F.collect_list(F.struct("hot", "gram", "at", "before", "behind")).alias("wanted"))
     )
-    contexts = docs.join(wanted, "doc_id").mapInArrow(
-        _contexts(bits), "hot int, gram long, at long, before int, bytes binary"
-    )
-    spread = F.when(F.col("hot") == 1, F.col("at")).otherwise(F.col("gram"))
-    found = written(
-        contexts.repartition(spread).sortWithinPartitions("gram").mapInArrow(_sort, SORTED), "suffix-sorted"
+    contexts = written(
+        docs.join(wanted, "doc_id").mapInArrow(
+            _contexts(bits), "hot int, gram long, at long, before int, bytes binary"
+        ),
+        "suffix-texts",
     )
     release(spark)
-    strings = found.where("kind = 2").select("a", "b", "at")
+    sorted_ = (
+        contexts.where("hot = 0").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort, SPANS)
+    )
+    hot = contexts.where("hot = 1").select("gram", "at", "before", "bytes", F.lit(0).alias("reach"))
+    for behind in (False, True):
+        side = (
+            F.expr(f"substring(bytes, before + {GRAM + 1})")
+            if behind
+            else F.reverse(F.hex(F.expr("substring(bytes, 1, before)")))
+        )
+        # digits of bytes read backwards order them as well as bytes do: equal ends stand together
+        hot = written(
+            hot.repartitionByRange("gram", side)
+            .sortWithinPartitions("gram", side)
+            .mapInArrow(_agreement(behind), SIDES),
+            "suffix-sides",
+        )
+    strings = written(hot.mapInArrow(_compared, "a long, b long, at long"), "suffix-strings")
     earliest = strings.groupBy("a", "b").agg(F.min("at").alias("low"))
     late = strings.join(earliest, ["a", "b"]).where("at > low").select(
         F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")
@@ -521,8 +597,8 @@ def removed_spans(docs: DataFrame, bits: int) -> DataFrame:
     whole = decided.where("hot = 2").select(
         (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("behind")).alias("end")
     )
-    sorted_ = found.where("kind = 1").select(F.col("a").alias("start"), F.col("b").alias("end"))
-    everything = whole.unionByName(sorted_).unionByName(late)
+    everything = written(whole.unionByName(sorted_).unionByName(late), "suffix-spans")
+    release(spark)
     doc = F.shiftright("start", bits)
     base = F.shiftleft(doc, bits)
     return everything.select(

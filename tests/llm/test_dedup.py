@@ -130,11 +130,12 @@ def repeats_model(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
+@pytest.mark.parametrize("hot", [200, 1])
 def test_repeated_strings(spark, monkeypatch, hot):
     """hot = 1 sends almost every anchor down the path of very frequent ones."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "TOGETHER", 20_000 if hot > 1 else 3)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 4_000 if hot > 1 else 3)
+    monkeypatch.setattr(suffix_dedup, "FOLDED", 200_000 if hot > 1 else 50)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if hot > 1 else 7)
     rows = list({r[0]: r for r in fixtures.documents()}.values())  # an id names one document
     found = suffix_dedup.deduplicated(fixtures.frame(spark, rows, extra=True)).collect()
