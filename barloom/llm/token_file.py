@@ -36,7 +36,7 @@ LIMIT = 16  # bits of the longest code, or more where the vocabulary needs it
 BLOCK = 1 << 16  # ids after which a block closes
 EVERY = 512  # ids between checkpoints
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 800_000  # words a worker remembers before it starts anew
+CACHE = 400_000  # words a worker remembers before it drops those met once
 
 
 class WordEncoder:
@@ -67,7 +67,22 @@ class WordEncoder:
         import numpy as np
 
         self.known: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int64)
+        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.met = np.empty(0, np.int64)  # how often, since words were last dropped
+
+    def thin(self) -> None:
+        """Drop the words met only once, and all if that is not enough."""
+        import numpy as np
+
+        stay = self.met > 1
+        if stay.sum() > CACHE // 2:
+            return self.forget()
+        number = np.cumsum(stay) - 1
+        self.known = dict(zip([w for w, k in self.known.items() if stay[k]], number[stay].tolist()))
+        sizes = np.diff(self.starts)
+        self.flat = self.flat[np.repeat(stay, sizes)]
+        self.starts = np.concatenate(([0], np.cumsum(sizes[stay])))
+        self.met = np.zeros(len(self.known), np.int64)
 
     def _encode(self, line: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids
@@ -124,7 +139,7 @@ class WordEncoder:
             flat.append(ids)
             sizes.append(n)
         self.known.update(zip(words, range(first, first + len(words))))
-        self.flat = np.concatenate(flat)
+        self.flat = np.concatenate(flat).astype(np.int32)
         ends = self.starts[-1] + np.cumsum(np.concatenate(sizes))
         self.starts = np.concatenate([self.starts, ends])
 
@@ -136,7 +151,7 @@ class WordEncoder:
         import numpy as np
 
         if len(self.known) > CACHE:
-            self.forget()
+            self.thin()
         # split() also splits at four separators that are no white space to the tokenizer
         odd, split = re.compile("[\x1c-\x1f]").search, re.compile("[^ \t\n\r]+").findall
         # a full stop or comma beside no other mark is a token sequence of its own: fewer different words
@@ -151,10 +166,11 @@ class WordEncoder:
         if len(missing):
             self.learn(list(dict.fromkeys(line[k] for k in missing.tolist())))
             which[missing] = [self.known[line[k]] for k in missing.tolist()]
+        self.met = np.bincount(which, minlength=len(self.known)) + np.pad(self.met, (0, len(self.known) - len(self.met)))
         # the end id comes as one more word behind each text
         upto = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         which = np.insert(which, upto, len(self.known))
-        flat, starts = np.append(self.flat, end), np.append(self.starts, len(self.flat) + 1)
+        flat, starts = np.append(self.flat, np.int32(end)), np.append(self.starts, len(self.flat) + 1)
         sizes = starts[which + 1] - starts[which]
         ids = flat[np.repeat(starts[which], sizes) + ranges(sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))[upto + np.arange(1, len(upto) + 1)]
