@@ -118,9 +118,8 @@ def test_order_and_partitioning_of_the_input_do_not_matter(spark, small_blocks):
     assert by_job(backtest.run(backtest.prepare(shuffled, 20), jobs).results()) == plain
 
 
-def test_a_symbol_with_most_of_the_rows_and_equal_dates(spark, small_blocks, monkeypatch):
-    """Many bars per date: blocks come from ranges, and the total order decides."""
-    monkeypatch.setattr(blocks, "MAX_ROWS_PER_BLOCK", 100)
+def test_a_symbol_with_most_of_the_rows_and_equal_dates(spark, small_blocks):
+    """Many bars per date: the total order decides."""
     closes = walk(9, 900)
     rows = [("HOT", day(i // 300), c, c, c, c, 1) for i, c in enumerate(closes)]
     rows += [(f"C{k}", day(i), c, c, c, c, 1) for k in range(3) for i, c in enumerate(walk(k, 40))]

@@ -27,7 +27,7 @@ def test_five_bars(spark):
     assert barops.bar_count(bars).first()["bars"] == 5
     assert barops.in_range(bars, "2020-01-03", "2020-01-07").count() == 3
     assert barops.mean_close(bars).first()["mean_close"] == pytest.approx(301.46)
-    assert barops.volatility(blocks.pack(blocks.ranked(bars), 1)).first()["volatility"] > 0
+    assert barops.volatility(bars).first()["volatility"] > 0
     ranked = blocks.ranked(bars)
     assert barops.find_date(ranked, "2020-01-07").first()["position"] == 3
     assert barops.find_date(ranked, "2020-01-04").first()["position"] == 5
@@ -91,8 +91,9 @@ def test_ledger(spark):
     dead = spark.createDataFrame([(7,)], "entity long")
     answered = spark.createDataFrame([(1, True), (5, False)], "job_id long, success boolean")
     assert [r["job_id"] for r in liveness.orphaned(ledger, dead, answered).collect()] == [2]
-    counts = liveness.ledger_counts(liveness.ledger_status(ledger, dead, answered)).first().asDict()
-    assert counts == {"pending": 2, "active": 1, "completed": 1, "failed": 1}
+    beats = spark.createDataFrame([(7,), (8,), (8,), (9,)], "entity long")
+    counts = liveness.ledger_counts(liveness.ledger_status(ledger, dead, answered), beats, dead).first().asDict()
+    assert counts == {"active_entities": 2, "pending": 2, "active": 1, "completed": 1, "failed": 1}
 
 
 def test_scalability_truncates(spark):
