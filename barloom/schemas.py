@@ -36,10 +36,7 @@ JOBS = T.StructType(
     ]
 )
 
-# Defaults of a job.
-DEFAULT_SHORT_WINDOW = 50
-DEFAULT_LONG_WINDOW = 200
-DEFAULT_CAPITAL = 10000.0
+# Minor units of a currency unit, where nothing else is said.
 MINOR_UNITS = 100
 
 # Signal codes.

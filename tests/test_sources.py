@@ -103,3 +103,22 @@ def test_saved_bars_and_results_read_back(spark, tmp_path):
     summary = json.loads(spark.read.text(str(tmp_path / "out/summary")).first()[0])
     assert (summary["submitted"], summary["successful"], summary["failed"]) == (2, 1, 1)
     assert summary["jobs_per_second"] == 1.0
+
+
+def test_four_rising_symbols_with_text_dates(spark, tmp_path):
+    """Golden: 4 symbols of 200 rising bars with unpadded dates, windows 10/20: success, no trade, no return."""
+    names = ["AAPL", "GOOGL", "MSFT", "AMZN"]
+    for name in names:
+        rows = [
+            f"2024-{i // 30 + 1}-{i % 30 + 1},{200 + 0.2 * i:.1f},{201 + 0.2 * i:.1f},{199 + 0.2 * i:.1f},{200.5 + 0.2 * i:.1f},1000"
+            for i in range(200)
+        ]
+        write(tmp_path, f"{name}.csv", "Date,Open,High,Low,Close,Volume", *rows)
+    bars = csv_bars.load(spark, str(tmp_path), dates_as_text=True)
+    jobs = jobs_of(spark, [(name, "SMA", 0, 0, 10, 20, 10000) for name in names]).withColumn(
+        "start_date", F.lit("2024-01-01")).withColumn("end_date", F.lit("2024-12-31"))
+    got = by_job(backtest.run(backtest.prepare(bars, 20), jobs).results())
+    assert len(got) == 4
+    for row in got.values():
+        assert row["success"] and row["num_trades"] == 0
+        assert (row["total_return"], row["sharpe_ratio"], row["max_drawdown"]) == (0.0, 0.0, 0.0)
