@@ -57,6 +57,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # its own memory of words is of no use to words seen for the first time
+            model._resize_cache(0)
         self.mark = self._encode(self.MARK)
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -153,13 +156,9 @@ class WordEncoder:
         if len(self.known) > CACHE:
             self.thin()
         # split() also splits at four separators that are no white space to the tokenizer
-        odd, split = re.compile("[\x1c-\x1f]").search, re.compile("[^ \t\n\r]+").findall
-        # a full stop or comma beside no other mark is a token sequence of its own: fewer different words
-        joined = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]").search
-        words = [
-            split(t) if odd(t) else (t if joined(t) else t.replace(",", " , ").replace(".", " . ")).split()
-            for t in lines
-        ]
+        split = re.compile("[^ \t\n\r]+").findall
+        odd = "\x1c\x1d\x1e\x1f"
+        words = [split(t) if any(map(t.__contains__, odd)) else t.split() for t in lines]
         line = list(chain.from_iterable(words))
         which = np.fromiter(map(self.known.get, line, repeat(-1)), np.int64, len(line))
         missing = np.flatnonzero(which < 0)
