@@ -141,3 +141,16 @@ def test_articles_of_the_test_pages(spark):
         inside = re.search("<article>(.*?)(</article>|$)", html[r["page_id"]], re.S).group(1)
         parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inside)]
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("tag", ["section", "pre", "ul", "div", "blockquote", "table"])
+@pytest.mark.parametrize("around", ["article", "main", "div", "body"])
+def test_title_and_short_parts_beside_a_long_part_stay(tag, around):
+    long_ = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>", "pre": "{}"}.get(tag, "<p>{}</p>").format("word " * 300)
+    inside = f"<h1>Title</h1><p>Introduction.</p><{tag}>{long_}</{tag}><section><p>Short end.</p></section>"
+    html = f"<html><body><nav>menu</nav><{around}>{inside}</{around}></body></html>".replace("<body><nav>menu</nav><body>", "<body>")
+    want = ["Title", "Introduction.", ("word " * 300).strip(), "Short end."]
+    assert html_extraction.extract(html, None).split("\n") == want
+    menu = '<ul><li><a href="/a">first</a></li><li><a href="/b">second</a></li></ul>'
+    if around == "body":
+        assert html_extraction.extract(html.replace("<h1>", menu + "<h1>"), None).split("\n") == want
