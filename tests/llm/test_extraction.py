@@ -154,3 +154,34 @@ def test_title_and_short_parts_beside_a_long_part_stay(tag, around):
     menu = '<ul><li><a href="/a">first</a></li><li><a href="/b">second</a></li></ul>'
     if around == "body":
         assert html_extraction.extract(html.replace("<h1>", menu + "<h1>"), None).split("\n") == want
+
+
+def articles(spark, pages):
+    rows = [(k, f"http://one.example/{k}", html) for k, html in enumerate(pages)]
+    got = html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_template_texts_are_counted_over_all_pages(spark):
+    rng = random.Random(8)
+    pages, want = [], []
+    for k in range(60):
+        text = [fixtures.prose(rng, 40) for _ in range(2)]
+        notice = f"<p>Notice {k % 3} of this house.</p>"  # no page shows more than one of three
+        second = "<div class='two'><h2>Second kind of page</h2>" if k % 3 == 2 else "<div class='one'>"
+        pages.append(f"<html><body>{second}{notice}<p>{text[0]}</p><p>{text[1]}</p></div></body></html>")
+        want.append("\n".join(text))
+    assert articles(spark, pages) == want
+    long_ = [p.replace("</p></div>", f"</p><pre>{'long ' * 13_000}{k}</pre></div>") for k, p in enumerate(pages)]  # none fits a seed
+    assert articles(spark, long_) == [f"{w}\n{'long ' * 13_000}{k}" for k, w in enumerate(want)]
+    one = pages[0].replace("Notice 0 of this house.", "A text of one page only.")
+    assert articles(spark, [one] * 50 + pages)[50:] == want  # copies under many ids count once
+
+
+def test_near_copies_are_no_template(spark):
+    rng = random.Random(9)
+    text = [fixtures.prose(rng, 40) for _ in range(5)]
+    pages = [f"<html><body><div class='t'>{''.join(f'<p>{t}</p>' for t in text)}<p>{k}</p></div></body></html>" for k in range(6)]
+    for _ in range(24):
+        pages.append(f"<html><body><div class='t'><p>{fixtures.prose(rng, 40)}</p><p>{fixtures.prose(rng, 9)}</p></div></body></html>")
+    assert articles(spark, pages)[:6] == ["\n".join([*text, str(k)]) for k in range(6)]
