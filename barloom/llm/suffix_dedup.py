@@ -457,15 +457,14 @@ def _agreement(behind: bool):
 
         schema = pa.schema([("gram", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary()), ("reach", pa.int32())])
         held: list[dict] = []  # the last two rows: one to compare with, one still to be measured
+        done = 0  # how many of the held rows have left
         for batch in batches:
-            rows = held + batch.to_pylist()
-            if len(rows) > 2:
-                yield measured(rows, slice(0 if len(held) < 2 else 1, len(rows) - 1))
-                held = rows[-2:]
-            else:
-                held = rows
+            held += batch.to_pylist()
+            if len(held) > 2:
+                yield measured(held, slice(done, len(held) - 1))
+                held, done = held[-2:], 1
         if held:
-            yield measured(held, slice(0 if len(held) < 2 else 1, None)) if len(held) > 1 else measured(held, slice(None))
+            yield measured(held, slice(done, None))
 
     return run
 

@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,3 +174,19 @@ def test_anchors_do_not_depend_on_slices(monkeypatch):
     ]
     pieces = [s for p in parts for s in suffix_dedup._anchors([p])[1].tolist()]
     assert set(whole) <= set(pieces)
+
+
+@pytest.mark.parametrize("behind", [False, True])
+@pytest.mark.parametrize("sizes", [[], [1], [2], [1, 1], [3], [1, 2], [2, 1], [0, 2], [1, 1, 1], [2, 2], [1, 1, 3], [4, 1]])
+def test_agreement_keeps_every_row_of_a_partition(behind, sizes):
+    text = b"left side" + b"a" * suffix_dedup.GRAM + b"right side"
+    rows = [{"gram": 7, "at": 100 * k, "before": 9, "bytes": text, "reach": 0} for k in range(sum(sizes))]
+    schema = pa.schema([("gram", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary()), ("reach", pa.int32())])
+    batches, at = [], 0
+    for n in sizes:
+        batches.append(pa.RecordBatch.from_pylist(rows[at : at + n], schema))
+        at += n
+    got = [r for b in suffix_dedup._agreement(behind)(iter(batches)) for r in b.to_pylist()]
+    assert [r["at"] for r in got] == [r["at"] for r in rows]
+    whole = list(suffix_dedup._agreement(behind)(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    assert got == [r for b in whole for r in b.to_pylist()]
