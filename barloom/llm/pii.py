@@ -3,10 +3,11 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers that pass their checks. These are the seeds.
 The words before an identifier are its lexical patterns (the last word, the last two). Patterns and
 identifiers form a graph over the whole corpus: every identifier-like run of the texts, seed or not,
-is an instance of the patterns it follows. Spark scores the graph in rounds: a pattern's confidence in a kind is
-the mean score of all its instances, an instance's score is 1 for a seed and otherwise the best accepted
-pattern's confidence. A pattern is accepted with `SUPPORT` different instances and a confidence of
-`CONFIDENCE`. What accepted patterns precede, and has the shape of the kind, is reported beside the base spans.
+is an instance of the patterns it follows. Spark scores the graph in rounds: an instance's score is 1 for a seed and otherwise
+the confidence of the best pattern that first found it. A pattern's confidence in a kind weighs the scores of its
+instances against the number of those that do not have the kind's shape; unseen ones of that shape, which are what the method
+is for, count neither way. A pattern is accepted with `SUPPORT` different scored instances and a confidence of
+`CONFIDENCE`; rounds end when no more are. What accepted patterns precede, and has the shape of the kind, is reported beside the base spans.
 
 Nothing of the graph is collected: patterns, instances and occurrences are tables, scored by
 aggregations (combined before the shuffle, so a pattern such as "the" is no hot spot) and joins.
@@ -30,7 +31,6 @@ from barloom.storage import written
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 10
 CONFIDENCE = 0.9
-ROUNDS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -195,21 +195,38 @@ def confident(seen: DataFrame) -> DataFrame:
         run.select(F.explode("patterns").alias("pattern"), "instance", "seed", "shapes").distinct(), "pii-edges"
     )
     size = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size")).where(F.col("size") >= SUPPORT)
-    seeds = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    size, scores, accepted = written(size, "pii-sizes"), seeds, None
-    for _ in range(ROUNDS):
+    kinds = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("shapes"))
+    fits = (
+        edges.select("pattern", "instance", F.explode(kinds).alias("kind"))
+        .groupBy("pattern", "kind")
+        .agg(F.count_distinct("instance").alias("fits"))
+    )
+    # what follows a pattern and is neither a seed of the kind nor shaped like it
+    against = written(
+        size.join(fits, "pattern").select("pattern", "kind", (F.col("size") - F.col("fits")).alias("against")), "pii-sizes"
+    )
+    scores = written(
+        edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct(),
+        "pii-scores",
+    )
+    count = -1
+    while True:
         accepted = written(
             edges.select("pattern", "instance")
             .distinct()
             .join(scores, "instance")
             .groupBy("pattern", "kind")
             .agg(F.sum("score").alias("mass"), F.count("*").alias("support"))
-            .join(size, "pattern")
-            .withColumn("confidence", F.col("mass") / F.col("size"))
+            .join(against, ["pattern", "kind"])
+            .withColumn("confidence", F.col("mass") / (F.col("mass") + F.col("against")))
             .where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
             .select("pattern", "kind", "confidence"),
             "pii-patterns",
         )
+        # scores stay as first given, so patterns are only ever added, and none added means none to come
+        before, count = count, accepted.count()
+        if count in (before, 0):
+            return accepted
         found = (
             edges.where("seed is null")
             .select("pattern", "instance", F.explode("shapes").alias("kind"))
@@ -217,8 +234,7 @@ def confident(seen: DataFrame) -> DataFrame:
             .groupBy("instance", "kind")
             .agg(F.max("confidence").alias("score"))
         )
-        scores = seeds.unionByName(found.join(seeds, ["instance", "kind"], "left_anti"))
-    return accepted
+        scores = written(scores.unionByName(found.join(scores, ["instance", "kind"], "left_anti")), "pii-scores")
 
 
 def spans(docs: DataFrame) -> DataFrame:

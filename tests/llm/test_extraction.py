@@ -185,3 +185,31 @@ def test_near_copies_are_no_template(spark):
     for _ in range(24):
         pages.append(f"<html><body><div class='t'><p>{fixtures.prose(rng, 40)}</p><p>{fixtures.prose(rng, 9)}</p></div></body></html>")
     assert articles(spark, pages)[:6] == ["\n".join([*text, str(k)]) for k in range(6)]
+
+
+def added(spark, texts):
+    got = pii.spans(fixtures.frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])).collect()
+    return [[(pii.KINDS[s["kind"]], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"] or []] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_patterns_with_many_unseen_instances_are_accepted(spark):
+    seeds = [f"so phone: +1 ({200 + k}) 555-{1000 + k} end" for k in range(40)]
+    local = [f"so phone: {300 + k} 555 {1000 + k} end" for k in range(15)]
+    mixed = [f"so size: +1 ({500 + k}) 555-{1000 + k} end" for k in range(12)] + [f"so size: {k}cm end" for k in range(12)] + ["so size: 411 555 0147 end"]
+    got = added(spark, seeds + local + mixed)
+    assert got[40:55] == [[("phone", f"{300 + k} 555 {1000 + k}")] for k in range(15)]
+    assert not any(got[:40]) and not any(got[55:])
+
+
+def test_rounds_end_when_nothing_is_added(spark):
+    # each word is learnt from the numbers that the word before it found
+    texts = [f"x{'abcdef'[0]}: +1 ({200 + k}) 555-{1000 + k} end" for k in range(12)]
+    words = [f"key{w}:" for w in "pqrstu"]
+    numbers = [[f"{300 + w} 555 {1000 + k}" for k in range(12)] for w in range(len(words))]
+    texts += [f"then {words[0]} +1 ({200 + k}) 555-{1000 + k} end" for k in range(12)]
+    for w, word in enumerate(words):
+        texts += [f"then {word} {n} end" for n in numbers[w]]
+        if w:
+            texts += [f"then {word} {n} end" for n in numbers[w - 1]]
+    got = added(spark, texts)
+    assert sum(map(len, got)) == 12 * (2 * len(words) - 1)
