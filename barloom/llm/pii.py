@@ -18,6 +18,7 @@ itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -42,7 +43,9 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _OPENING, _CLOSING = "\"'([{<*", "\"')]}>*.,;:!?"
 _NUMERIC = re.compile(r"[0-9().+-]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_AT = re.compile(r"@|[\[({]\s*at\s*[\])}]", re.IGNORECASE)
+_SPELLED = re.compile(r"[\[({][\x20\x09-\x0D]*at[\x20\x09-\x0D]*[\])}]", re.IGNORECASE)
+_FIRST_BRACKET = re.compile(r"[\[({]")
+_DOT = re.compile(r"[\x20\x09]*[\[({][\x20\x09-\x0D]*(?:dot|\.)[\x20\x09-\x0D]*[\])}][\x20\x09]*[^\x20\x09-\x0D\[({]+", re.IGNORECASE)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -111,7 +114,7 @@ def shaped(instance: str) -> list[int]:
         k
         for k, fits in enumerate(
             (
-                _AT.search(instance) is not None,
+                "@" in instance or _SPELLED.search(instance) is not None,
                 instance.count(":") >= 3 or (numeric and groups == 4 and instance.count(".") == 3),
                 numeric and 12 <= digits <= 19,
                 numeric and 7 <= digits <= 15,
@@ -121,11 +124,47 @@ def shaped(instance: str) -> list[int]:
     ]
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses with a bracketed "at": its word and the next, or those beside it, and further parts behind a bracketed "dot"."""
+    done = 0
+    for m in _SPELLED.finditer(text):
+        if m.start() < done:
+            continue
+        start, end = m.span()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        while start > done and text[start - 1] not in " \t\n\v\f\r":
+            start -= 1
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        word = _TOKEN.match(text, end)
+        if not word:
+            continue
+        cut = _FIRST_BRACKET.search(text, end, word.end())
+        end = cut.start() if cut and cut.start() > end and _DOT.match(text, cut.start()) else word.end()
+        while more := _DOT.match(text, end):
+            end = more.end()
+        run = text[start:end]
+        start += len(run) - len(run.lstrip(_OPENING))
+        end -= len(run) - len(run.rstrip(_CLOSING))
+        if start < m.start() and end > m.end():
+            yield start, end
+            done = end
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]):
     """(start, end, instance, seed kind or None, kinds it is shaped like, patterns) of every identifier-like run."""
     for kind, start, end in base:
-        yield start, end, text[start:end].lower(), kind, [], _lead(text, start)
+        yield start, end, _key(text[start:end].lower()), kind, [], _lead(text, start)
     taken, k = sorted((s, e) for _, s, e in base), 0
+    free = []
+    for start, end in spelled(text):
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k == len(taken) or taken[k][0] >= end:
+            free.append((start, end))
+            yield _found(text, (start, end, False))
+    taken, k = sorted(taken + free), 0
     held = None
     for m in _TOKEN.finditer(text):
         if not any(c in "0123456789@" for c in m.group()):
@@ -148,9 +187,16 @@ def occurrences(text: str, base: list[tuple[int, int, int]]):
         yield _found(text, held)
 
 
+def _key(instance: str) -> str:
+    """What stands for an instance in the graph: itself, or a hash where it is long."""
+    if len(instance) <= 256:
+        return instance
+    return "#" + hashlib.sha256(instance.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _found(text: str, held: tuple[int, int, bool]):
-    instance = text[held[0] : held[1]].lower()[:256]
-    return held[0], held[1], instance, None, shaped(instance), _lead(text, held[0])
+    instance = text[held[0] : held[1]].lower()
+    return held[0], held[1], _key(instance), None, shaped(instance), _lead(text, held[0])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +219,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             found = base_spans(text) if any(map(text.__contains__, "0123456789@")) else []
             base.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-            likely = found or any(map(text.__contains__, "0123456789@"))
+            likely = found or any(map(text.__contains__, "0123456789@")) or _SPELLED.search(text)
             seen.append([dict(zip(names, x)) for x in occurrences(text, found)] if likely else [])
         yield pa.record_batch([batch.column(0), pa.array(base, spans), pa.array(seen, runs)], ["doc_id", "base", "runs"])
 

@@ -213,3 +213,26 @@ def test_rounds_end_when_nothing_is_added(spark):
             texts += [f"then {word} {n} end" for n in numbers[w - 1]]
     got = added(spark, texts)
     assert sum(map(len, got)) == 12 * (2 * len(words) - 1)
+
+
+SPELLED = [
+    "jane[at]example.org", "jane [at] example.org", "jane (AT) example.org", "jane {at} example.org", "jane [ at ] example.org",
+    "jane.doe[at]example[dot]org", "jane [at] example [dot] org", "jane [at] mail [dot] example (dot) org", "jo5 [at] ex4.org", "jane(at)example.org",
+]
+
+
+def test_spelled_addresses_and_long_runs_are_found(spark):
+    seeds = [f"my e-mail: user{k}x@host{k}.example end" for k in range(20)]
+    late = "x" * 300 + "ä@y"  # no base span; the @ stands behind 256 characters
+    texts = [f"my e-mail: {s}, more" for s in SPELLED] + [f"my e-mail: {late} end", "we met [at] noon", "[at] home", "home [at]", "a (at\n) b"]
+    got = added(spark, seeds + texts)[20:]
+    assert got[: len(SPELLED)] == [[("email", s)] for s in SPELLED]
+    assert got[len(SPELLED) :] == [[("email", late)], [], [], [], []]
+    other = "y" * 256
+    keys = [pii._key(other + str(k)) for k in range(2)]
+    assert keys[0] != keys[1]
+
+
+def test_spelled_spans_take_linear_time():
+    for text in ("[" * 200_000, "a [at] " * 50_000, "[ " * 100_000 + "at", "a[at]" * 60_000, "x [at] y" + " [dot] z" * 50_000, "(at) " * 60_000):
+        assert sum(1 for _ in pii.spelled(text)) <= len(text)
