@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.llm import (
     exact_dedup,
+    hard_negatives,
     html_extraction,
     mixing,
     packing,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_html_extraction": html_extraction.query,
     "op9_mixing": mixing.query,
     "op10_pii": pii.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 #: Where SQL can express the operator; the others are tested against brute force.
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
