@@ -6,6 +6,7 @@ from barloom.llm import (
     exact_dedup,
     hard_negatives,
     html_extraction,
+    minhash_forest,
     mixing,
     packing,
     pii,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_html_extraction": html_extraction.query,
     "op9_mixing": mixing.query,
     "op10_pii": pii.query,
+    "op12_minhash_forest": minhash_forest.query,
     "op13_hard_negatives": hard_negatives.query,
 }
 
@@ -34,5 +36,6 @@ QUERIES = {
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
+    "op12_minhash_forest": minhash_forest.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
 }
