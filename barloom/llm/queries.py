@@ -6,6 +6,7 @@ from barloom.llm import (
     exact_dedup,
     hard_negatives,
     html_extraction,
+    maxscore,
     minhash_forest,
     mixing,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_html_extraction": html_extraction.query,
     "op9_mixing": mixing.query,
     "op10_pii": pii.query,
+    "op11_maxscore": maxscore.query,
     "op12_minhash_forest": minhash_forest.query,
     "op13_hard_negatives": hard_negatives.query,
 }
@@ -36,6 +38,7 @@ QUERIES = {
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_maxscore": maxscore.SQL,
     "op12_minhash_forest": minhash_forest.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
 }
