@@ -13,8 +13,8 @@ documents by their minima t * DEEPEST, t * DEEPEST + 1, ...: documents with a lo
    round has united is no candidate any more, until none is open. Regions of more than `SIDE` rows are cut into parts, and
    each pair of parts is looked at by itself, so no group is gathered in a task.
 
-Candidates pass a filter of sizes (exact) and of signatures (`SLACK` deviations below the threshold), then both whole
-sets are compared as strings. A link is missed only if its documents share no prefix in any tree: at the threshold of
+Candidates pass a filter of sizes and, in step 2, of the elements that occur in no other set of such regions (both exact),
+and one of signatures (`SLACK` deviations below the threshold), then both whole sets are compared as strings. A link is missed only if its documents share no prefix in any tree: at the threshold of
 0.85 (1 - 0.85^5)^32, some 1 in 10^8, less above it; links inside a group of several are found by any path between them.
 
 Copies: rows with the same sequence of words are one node, so copies cost nothing beyond their grouping.
@@ -180,6 +180,26 @@ def nearest(nodes: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
+def lone_shingles(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, lone): how many elements of a node's set occur in no other of `nodes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            for node, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                found = shingles(raw, words)
+                x = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+                for at in range(0, len(x), 1 << 16):
+                    part = x[at : at + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "element"])
+
+    of = texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    met = of.mapInArrow(run, "node long, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("node"))
+    return met.where("sets = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def _across(percent: int):
     """Candidates between different components inside one part of a region, or between two; rows arrive sorted by `part`."""
 
@@ -187,12 +207,12 @@ def _across(percent: int):
         import numpy as np
 
         def pairs(rows):
-            node, size, root, part = (np.array(c) for c in zip(*rows))
+            node, size, most, root, part = (np.array(c) for c in zip(*rows))
             left, right = part <= 0, part >= 0  # 0: both sides are the same part
             out = []
             for k in np.flatnonzero(left).tolist():
-                small, large = np.minimum(size[k], size), np.maximum(size[k], size)
-                at = np.flatnonzero(right & (root != root[k]) & (100 * small >= percent * large))
+                shared = np.minimum(most[k], most)  # what both sets can have in common at most
+                at = np.flatnonzero(right & (root != root[k]) & (100 * shared >= percent * (size[k] + size - shared)))
                 out.append(np.stack((np.minimum(node[k], node[at]), np.maximum(node[k], node[at]))))
             found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
             return pa.record_batch([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
@@ -212,21 +232,35 @@ def _across(percent: int):
     return run
 
 
-def open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: all candidates of different roots that share a prefix of `LEAST` minima in some tree."""
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, parts): the regions that hold more than one component."""
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return found.where("r0 <> r1").select("key", F.ceil(F.col("size") / SIDE).cast("int").alias("parts"))
+
+
+def open_pairs(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(a, b), a < b: the candidates of different roots that share a prefix of `LEAST` minima in some tree.
+
+    Of a set, the elements that no other set in such regions has are in no intersection. That excludes most
+    documents which come close to a group without belonging to it.
+    """
     rows = forest(nodes, LEAST)
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = mixed.where("r0 <> r1").select("key", F.ceil(F.col("size") / SIDE).cast("int").alias("parts"))
-    left = written(rows.join(mixed, "key"), "forest-regions")
+    left = written(rows.join(_mixed(rows).select("key"), "key"), "forest-regions")
+    # an id with several texts is taken to have no lone element
+    several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    lone = lone_shingles(docs, written(left.select("node").distinct(), "open-nodes"), words).join(several, "node", "left_anti")
+    bounded = left.join(written(lone, "lone-shingles"), "node", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0)))
+    bounded = written(bounded.where(100 * F.col("most") >= percent * F.col("n")), "forest-regions")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k.cast("int")))
     # every pair of parts (i <= j) gets the rows of both, marked by their side
-    dealt = left.withColumn("own", own).withColumn("k", each).select(
+    dealt = bounded.join(_mixed(bounded), "key").withColumn("own", own).withColumn("k", each).select(
         "key",
         F.least("own", "k").alias("i"),
         F.greatest("own", "k").alias("j"),
         "node",
         "n",
+        "most",
         "root",
         F.signum(F.col("own") - F.col("k")).cast("long").alias("part"),
     )
@@ -328,7 +362,7 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
 
     roots = written(components(links), "near-roots")
     rooted = written(plain.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    waiting = written(likely(open_pairs(rooted, percent), plain, percent), "open-pairs")
+    waiting = written(likely(open_pairs(rooted, docs, percent, words), plain, percent), "open-pairs")
     each = FIRST
     while not waiting.isEmpty():
         chosen = written(_first_of(waiting, each), "chosen-pairs")
