@@ -8,6 +8,7 @@ a job over a block are a handful of vector operations.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ import pyarrow as pa
 CHANGES = (
     "job_id long, symbol string, iblock long, idx long, date {date}, close long, dir int, prev_dir int, seed boolean"
 )
+SERIES = (
+    "job_id long, symbol string, iblock long, idx long, pos long, date {date}, close long, "
+    "short_avg double, long_avg double, dir int, signal int"
+)
 SUMMARIES = (
     "job_id long, `from` long, bars long, last_close long, n double, mean double, m2 double, "
     "peak double, low double, drawdown double"
@@ -40,33 +45,80 @@ def _jobs(batch: pa.RecordBatch, name: str) -> Iterator[dict[str, np.ndarray]]:
         yield {key: values[a:b] for key, values in arrays.items()}
 
 
-def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bars at which a job's crossover state differs from the bar before, or that one took no part.
+def prefix(closes: np.ndarray) -> np.ndarray:
+    """The sums of the first 0, 1, 2, … closes: BIGINT where that is exact, else Python's integers."""
+    if _largest(closes) * len(closes) < 2**60:
+        return np.concatenate((np.zeros(1, np.int64), np.cumsum(closes, dtype=np.int64)))
+    return np.array([0, *accumulate(closes.tolist())], object)
+
+
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
+
+
+Piece = tuple[int, int, np.ndarray]
 
-    Sums are whole numbers in doubles, so ties are ties.
+
+def _pieces(batch: pa.RecordBatch, row: int) -> dict[int, list[Piece]]:
+    """By window: the blocks its far end lies in, as (first position, closes between, prefix sums)."""
+    out: dict[int, list[Piece]] = {}
+    if batch.schema.get_field_index("pieces") < 0 or not batch.column("pieces")[row].is_valid:
+        return out
+    for piece in batch.column("pieces")[row].values:
+        some = piece["closes"].values.to_numpy(zero_copy_only=False)
+        out.setdefault(piece["window"].as_py(), []).append((piece["start"].as_py(), int(piece["gap"].as_py()), prefix(some)))
+    return out
+
+
+def moving(
+    total: np.ndarray, base: int, own_from: int, lo: int, hi: int, window: int, pieces: dict[int, list[Piece]]
+) -> np.ndarray:
+    """Exact sums of the `window` closes up to each of the positions lo..hi.
+
+    `total` are the prefix sums of a block whose array starts at position `base`. Where the window reaches further
+    back, the sum up to its far end comes from the `pieces`.
     """
+    a, b = lo - base + 1, hi - base + 2
+    if a >= window:
+        return total[a:b] - total[a - window : b - window]
+    far, parts = np.arange(lo - window, hi - window + 1), pieces[window]
+    small = total.dtype != object and all(some.dtype != object and abs(gap) < 2**60 for _, gap, some in parts)
+    kind = np.int64 if small else object
+    before = np.zeros(len(far), kind)
+    for start, gap, some in parts:
+        there = (far >= start - 1) & (far < start + len(some) - 1)
+        before[there] = some[far[there] - start + 1].astype(kind) - gap
+    return (total[a:b] - total[own_from - base]).astype(kind) - before
+
+
+def _states(short_sum: np.ndarray, long_sum: np.ndarray, short: int, long: int) -> np.ndarray:
+    """+1 short average above long, -1 not above, 0 where one of them is not positive. Ties are ties."""
+    state = np.where(larger(short_sum, long, long_sum, short), 1, -1)
+    state[~((short_sum > 0) & (long_sum > 0)).astype(bool)] = 0
+    return state
+
+
+def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bars at which a job's crossover state differs from the bar before, or that one took no part."""
     for batch in batches:
         symbols, blocks = batch.column("symbol").to_pylist(), batch.column("iblock").to_pylist()
         first_idx, own_from, own_to = (batch.column(c).to_pylist() for c in ("first_idx", "own_from", "own_to"))
-        sums, closes = _lists(batch, "sums"), _lists(batch, "closes")
+        closes = _lists(batch, "closes")
         dates, dates_from = batch.column("dates").values, batch.column("dates").offsets.to_numpy()
         out: dict[str, list] = {name: [] for name in (
             "job_id", "symbol", "iblock", "idx", "date", "close", "dir", "prev_dir", "seed")}
         for row, jobs in enumerate(_jobs(batch, "jobs")):
-            base, total = first_idx[row], sums[row]
+            base, total, pieces = first_idx[row], prefix(closes[row]), _pieces(batch, row)
             for job_id, r0, i0, i1, short, long in zip(*(jobs[c].tolist() for c in (
                     "job_id", "r0", "i0", "i1", "short_window", "long_window"))):
                 takes_part = i0 + max(long, short - 1)
-                begin = max(own_from[row], r0, takes_part) - base
-                end = min(own_to[row], i1) - base
+                begin, end = max(own_from[row], r0, takes_part), min(own_to[row], i1)
                 if begin > end:
                     continue
-                known = begin + base > takes_part
-                a, b = begin + (0 if known else 1), end + 2
-                short_sum = total[a:b] - total[a - short : b - short]
-                long_sum = total[a:b] - total[a - long : b - long]
-                state = np.where(larger(short_sum, long, long_sum, short), 1, -1)
-                state[~((short_sum > 0) & (long_sum > 0))] = 0
+                known = begin > takes_part
+                lo = begin - 1 if known else begin
+                short_sum, long_sum = (moving(total, base, own_from[row], lo, end, w, pieces) for w in (short, long))
+                state = _states(short_sum, long_sum, short, long)
                 before = np.concatenate(([0], state[:-1]))
                 change = (state != 0) & (state != before)
                 if known:
@@ -74,7 +126,7 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 at = np.flatnonzero(change)
                 if not len(at):
                     continue
-                offset = at + a - 1
+                offset = at + lo - base
                 out["job_id"].append(np.full(len(at), job_id))
                 out["symbol"].extend([symbols[row]] * len(at))
                 out["iblock"].append(np.full(len(at), blocks[row]))
@@ -98,10 +150,52 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         })
 
 
+def job_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every bar of every job of a block: averages, crossover state, and the signal, where `acts` are given."""
+    for batch in batches:
+        symbols, blocks = batch.column("symbol").to_pylist(), batch.column("iblock").to_pylist()
+        first_idx, own_from, own_to = (batch.column(c).to_pylist() for c in ("first_idx", "own_from", "own_to"))
+        closes = _lists(batch, "closes")
+        dates, dates_from = batch.column("dates").values, batch.column("dates").offsets.to_numpy()
+        acts = batch.column("acts").to_pylist() if batch.schema.get_field_index("acts") >= 0 else None
+        for row, jobs in enumerate(_jobs(batch, "jobs")):
+            base, total, pieces = first_idx[row], prefix(closes[row]), _pieces(batch, row)
+            made = {(a["job_id"], a["idx"]): a["signal"] for a in (acts[row] or [])} if acts is not None else {}
+            for job_id, r0, i0, i1, short, long in zip(*(jobs[c].tolist() for c in (
+                    "job_id", "r0", "i0", "i1", "short_window", "long_window"))):
+                lo, hi = max(own_from[row], r0), min(own_to[row], i1)
+                if lo > hi:
+                    continue
+                n, sums, averages = hi - lo + 1, {}, []
+                for window in (short, long):
+                    average, first = np.full(n, np.nan), max(lo, i0 + window - 1)
+                    if first <= hi:
+                        sums[window] = moving(total, base, own_from[row], first, hi, window, pieces)
+                        average[first - lo :] = sums[window] / window
+                    averages.append(average)
+                state, first = np.zeros(n, np.int32), max(lo, i0 + max(long, short - 1))
+                if first <= hi:
+                    both = (sums[w][first - hi - 1 :] for w in (short, long))
+                    state[first - lo :] = _states(*both, short, long)
+                idx = np.arange(lo, hi + 1)
+                signal = np.array([made.get((job_id, k), 0) for k in idx.tolist()] if made else np.zeros(n), np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "job_id": np.full(n, job_id),
+                    "symbol": pa.array([symbols[row]] * n, pa.string()),
+                    "iblock": np.full(n, blocks[row]),
+                    "idx": idx,
+                    "pos": idx - i0,
+                    "date": dates.slice(dates_from[row] + lo - base, n),
+                    "close": closes[row][lo - base : hi - base + 1],
+                    **{name: pa.array(x, mask=np.isnan(x)) for name, x in zip(("short_avg", "long_avg"), averages)},
+                    "dir": pa.array(state, mask=state == 0),
+                    "signal": signal,
+                })
+
+
 def larger(a: np.ndarray, times_a: int, b: np.ndarray, times_b: int) -> np.ndarray:
-    """a * times_a > b * times_b for whole numbers; in Python's integers where doubles lose digits."""
-    top = max(np.abs(a).max(initial=0) * times_a, np.abs(b).max(initial=0) * times_b)
-    if top < 2**53:
+    """a * times_a > b * times_b for whole numbers; in Python's integers where BIGINT would overflow."""
+    if object not in (a.dtype, b.dtype) and max(_largest(a) * times_a, _largest(b) * times_b) < 2**63:
         return a * times_a > b * times_b
     return np.array([int(x) * times_a > int(y) * times_b for x, y in zip(a.tolist(), b.tolist())], bool)
 
@@ -118,17 +212,19 @@ def holding_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for row, pieces in enumerate(_jobs(batch, "pieces")):
             ids = pieces["job_id"]
             borders = np.flatnonzero(np.diff(ids)) + 1
-            price = closes[row].astype(np.float64)
             for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(ids)]):
                 start, stop = pieces["from"][a:b] - first_idx[row], pieces["until"][a:b] - first_idx[row]
                 lengths = stop - start + 1
                 ends = np.cumsum(lengths)
                 at = np.arange(ends[-1]) + np.repeat(start - (ends - lengths), lengths)
-                cash = np.repeat(pieces["cash"][a:b].astype(np.float64), lengths)
-                shares = np.repeat(pieces["shares"][a:b].astype(np.float64), lengths)
+                own_cash, own_shares, price = pieces["cash"][a:b], pieces["shares"][a:b], closes[row]
+                if _largest(own_cash) + _largest(own_shares) * _largest(price) >= 2**62:  # exact all the same
+                    own_cash, own_shares, price = (x.astype(object) for x in (own_cash, own_shares, price))
+                cash, shares = np.repeat(own_cash, lengths), np.repeat(own_shares, lengths)
                 value, before = cash + shares * price[at], cash + shares * price[at - 1]
-                counted = before > 0
-                returns = (value[counted] - before[counted]) / before[counted]
+                counted = (before > 0).astype(bool)
+                returns = ((value[counted] - before[counted]) / before[counted]).astype(np.float64)
+                value, before = value.astype(np.float64), before.astype(np.float64)
                 mean = float(returns.mean()) if len(returns) else 0.0
                 peak = np.maximum.accumulate(np.maximum(value, before[0]))
                 fall = np.where(peak > 0, (peak - value) / np.where(peak > 0, peak, 1.0), 0.0)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.metrics import simple_return
-from barloom.operators.blocks import period
+from barloom.operators.blocks import EXACT, period
 from barloom.operators.scan import previous
-from barloom.schemas import BAR_ORDER
+from barloom.schemas import BAR_ORDER, MINOR_UNITS
 
 
 def is_valid(bars: DataFrame) -> Column:
@@ -76,10 +76,11 @@ def bar_count(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
 
 
-def mean_close(bars: DataFrame) -> DataFrame:
-    """Mean close in currency units, exact up to the final division."""
+def mean_close(bars: DataFrame, units: int = MINOR_UNITS) -> DataFrame:
+    """Mean close in currency units, exact up to the final division; `units` minor units make one."""
+    total = F.sum(F.col("close").cast(EXACT)).cast("double")
     return bars.groupBy("symbol").agg(
-        F.coalesce(F.sum("close") / F.count("close") / 100.0, F.lit(0.0)).alias("mean_close")
+        F.coalesce(total / F.count("close") / float(units), F.lit(0.0)).alias("mean_close")
     )
 
 

@@ -6,55 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import kernels
+from barloom.operators import blocks
 from barloom.operators.jobs import cells
 from barloom.schemas import BUY, SELL
-
-
-def moving_sum(at: Column, window: Column) -> Column:
-    """Sum of the `window` closes ending at array offset `at` of a packed block."""
-    return F.get("sums", at + 1) - F.get("sums", at + 1 - window)
-
-
-def _above(short_sum: Column, long_sum: Column) -> Column:
-    """+1 short average above long, -1 not above, NULL where one of them is not positive.
-
-    Sums are whole numbers held in doubles; the products are exact up to 2^53.
-    """
-    return F.when(
-        (short_sum > 0) & (long_sum > 0),
-        F.when(short_sum * F.col("long_window") > long_sum * F.col("short_window"), 1).otherwise(-1),
-    )
-
-
-def job_bars(placed_blocks: DataFrame) -> DataFrame:
-    """Rows (job, bar) with position in the slice, moving sums (NULL before the window is full)
-    and the crossover state."""
-    at = F.col("at")
-    position = at + F.col("first_idx") - F.col("i0")
-    sums = {
-        name: F.when(position >= F.col(window) - 1, moving_sum(at, F.col(window)))
-        for name, window in (("short_sum", "short_window"), ("long_sum", "long_window"))
-    }
-    return (
-        placed_blocks.withColumn("at", F.explode(F.sequence("low_at", "high_at")))
-        .select(
-            "job_id",
-            "symbol",
-            "iblock",
-            (F.col("first_idx") + at).alias("idx"),
-            position.alias("pos"),
-            F.get("dates", at).alias("date"),
-            F.get("closes", at).alias("close"),
-            sums["short_sum"].alias("short_sum"),
-            sums["long_sum"].alias("long_sum"),
-            "short_window",
-            "long_window",
-        )
-        .withColumn(
-            "dir",
-            F.when(F.col("pos") >= F.col("long_window"), _above(F.col("short_sum"), F.col("long_sum"))),
-        )
-    )
+from barloom.storage import written
 
 
 def series_rows(placed_blocks: DataFrame) -> DataFrame:
@@ -89,20 +44,96 @@ def on_blocks(spread_blocks: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def changes(spread_blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Bars at which the crossover state differs from the bar before, or that bar took no part.
+_PIECES = "array<struct<window:int,start:bigint,gap:decimal(38,0),closes:array<bigint>>>"
+
 
-    The jobs of a cell (a bounded number) are brought to their block; only the changes leave it.
+def pieces(packed: DataFrame, spans: DataFrame) -> DataFrame | None:
+    """(symbol, iblock, salt, pieces): what windows beyond the look-back reach back to; None where there are none.
+
+    The far ends of a window over one block lie in two blocks. Those are joined by their number, with the exact
+    sum of the closes in between, once for each window of a cell. Windows that are never full ask for nothing.
     """
+    uses = (
+        spans.select(
+            "symbol", "salt", "r0", "i0", "i1", "lookback", F.explode(F.array("short_window", "long_window")).alias("window")
+        )
+        .withColumn("full", F.greatest(F.col("r0"), F.col("i0") + F.col("window").cast("long") - 1))
+        .filter((F.col("window") >= F.col("lookback")) & (F.col("full") <= F.col("i1")) & (F.col("i1") >= F.col("lookback")))
+    )
+    if uses.isEmpty():
+        return None
+    own_from = F.shiftleft(F.col("iblock"), blocks.BLOCK_BITS)
+    far = blocks.block_of(F.greatest(own_from - 1 - F.col("window").cast("long"), F.lit(0).cast("long")))
+    needed = (
+        cells(uses, "full", "i1")
+        .filter(own_from > F.col("lookback"))
+        .select("symbol", "iblock", "salt", "window", F.explode(F.array(far, far + 1)).alias("far"))
+        .distinct()
+    )
+    sums = written(blocks.directory(packed), "directory")
+    there = packed.select("symbol", F.col("iblock").alias("far"), F.col("own_from").alias("start"), blocks.own("closes").alias("closes"))
+    found = (
+        needed.join(there, ["symbol", "far"])
+        .join(sums.select("symbol", F.col("iblock").alias("far"), F.col("before").alias("far_before")), ["symbol", "far"])
+        .join(sums, ["symbol", "iblock"])
+        .withColumn("gap", (F.col("before") - F.col("far_before")).cast(blocks.EXACT))
+    )
+    grouped = found.groupBy("symbol", "iblock", "salt").agg(F.collect_list(F.struct("window", "start", "gap", "closes")).cast(_PIECES).alias("pieces"))
+    return written(grouped, "far-closes")
+
+
+def _cells_on_blocks(spread_blocks: DataFrame, spans: DataFrame, far: DataFrame | None) -> DataFrame:
+    """The jobs of a cell (a bounded number) beside their block."""
     jobs = cells(spans, "r0", "i1").groupBy("symbol", "iblock", "salt").agg(
         F.collect_list(F.struct("job_id", "r0", "i0", "i1", "short_window", "long_window")).alias("jobs")
     )
-    date_type = dict(spread_blocks.dtypes)["dates"][len("array<"):-1]
-    return (
-        spread_blocks.join(jobs, ["symbol", "iblock", "salt"])
-        .select("symbol", "iblock", "first_idx", "own_from", "own_to", "dates", "closes", "sums", "jobs")
-        .mapInArrow(kernels.crossover_changes, kernels.CHANGES.format(date=date_type))
-    )
+    met = spread_blocks.join(jobs, ["symbol", "iblock", "salt"])
+    columns = ["symbol", "iblock", "salt", "first_idx", "own_from", "own_to", "dates", "closes", "jobs"]
+    if far is None:
+        return met.select(*columns)
+    return met.join(far, ["symbol", "iblock", "salt"], "left").select(*columns, "pieces")
+
+
+def _date_type(packed: DataFrame) -> str:
+    return dict(packed.dtypes)["dates"][len("array<"):-1]
+
+
+def changes(spread_blocks: DataFrame, spans: DataFrame, far: DataFrame | None = None) -> DataFrame:
+    """Bars at which the crossover state differs from the bar before, or that bar took no part.
+
+    Only the changes leave a block. `far` is what `pieces` found.
+    """
+    met = _cells_on_blocks(spread_blocks, spans, far).drop("salt")
+    return met.mapInArrow(kernels.crossover_changes, kernels.CHANGES.format(date=_date_type(spread_blocks)))
+
+
+def job_series(
+    spread_blocks: DataFrame, spans: DataFrame, actions: DataFrame | None = None, far: DataFrame | None = None
+) -> DataFrame:
+    """Rows (job, bar): position in the slice, averages in minor units (NULL before the window is full),
+    crossover state and signal. The actions of a cell are brought to its block; bars are not shuffled."""
+    met = _cells_on_blocks(spread_blocks, spans, far)
+    if actions is not None:
+        acts = (
+            actions.join(spans.select("job_id", "salt"), "job_id")
+            .groupBy("symbol", "iblock", "salt")
+            .agg(F.collect_list(F.struct("job_id", "idx", "signal")).alias("acts"))  # at most the bars of a block for each job
+        )
+        met = met.join(acts, ["symbol", "iblock", "salt"], "left")
+    return met.drop("salt").mapInArrow(kernels.job_series, kernels.SERIES.format(date=_date_type(spread_blocks)))
+
+
+def averages(packed: DataFrame, short: int, long: int) -> DataFrame:
+    """The same rows for one pair of windows over whole series: no jobs, and no shuffle unless a window exceeds the look-back."""
+    params = dict(job_id=0, r0=0, i0=0, short_window=short, long_window=long)
+    job = F.struct(*[F.lit(v).cast("int" if "window" in k else "long").alias(k) for k, v in params.items()], F.col("own_to").alias("i1"))
+    rows = packed.withColumn("jobs", F.array(job)).withColumn("salt", F.lit(0))
+    if max(short, long) >= packed.agg(F.min("lookback")).first()[0]:
+        whole = packed.groupBy("symbol").agg(F.max("own_to").alias("i1"), F.min("lookback").alias("lookback"))
+        spans = whole.select("*", *[F.lit(v).alias(k) for k, v in params.items()], F.lit(0).alias("salt"))
+        far = pieces(packed, spans)
+        rows = rows if far is None else rows.join(far, ["symbol", "iblock", "salt"], "left")
+    return rows.drop("salt").mapInArrow(kernels.job_series, kernels.SERIES.format(date=_date_type(packed)))
 
 
 def crossings(state_changes: DataFrame, resumed: DataFrame | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.blocks import block_of
-from barloom.operators.scan import running
+from barloom.operators.blocks import block_of, own
+from barloom.operators.scan import dealt, numbered, running
 from barloom.schemas import MINOR_UNITS
 
 JOBS_PER_CELL = 16
@@ -27,12 +27,9 @@ def grid(symbols: DataFrame, params: list[dict]) -> DataFrame:
     )
 
 
-def number(jobs: DataFrame, order: list[str], prefix: int = 2) -> DataFrame:
-    """job_id = 1, 2, 3, … along `order`, counted in blocks of equal first `prefix` columns of it."""
-    blocked = jobs.withColumn("__block", F.struct(*order[:prefix]))
-    return running(blocked, [], "__block", order, {"job_id": ("count", F.lit(1))}).withColumn(
-        "job_id", F.col("job_id").cast("bigint")
-    ).drop("__block")
+def number(jobs: DataFrame, order: list[str]) -> DataFrame:
+    """job_id = 1, 2, 3, … along `order`."""
+    return numbered(jobs, order, "job_id")
 
 
 def invalid_reason(strategies: list[str], units: int = MINOR_UNITS) -> Column:
@@ -59,50 +56,53 @@ def invalid_reason(strategies: list[str], units: int = MINOR_UNITS) -> Column:
     )
 
 
+def cuts(packed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(symbol, start_date, end_date, i0, i1, last_date, lookback): the positions each date range covers.
+
+    An as-of merge: the first dates of all blocks and both ends of all ranges are sorted together, and each
+    end takes the last block before it from a running maximum. Rows are thin and parts even, whatever
+    the number of blocks and ranges of a symbol, and no block meets a range but the two that it cuts; only
+    those open their dates.
+    """
+    known = ranges.select("symbol", "start_date", "end_date").distinct().dropna()
+    sides = F.array(  # a start comes before blocks that begin on its date, an end after them
+        F.struct(F.col("start_date").alias("date"), F.lit(0).alias("side")), F.struct(F.col("end_date").alias("date"), F.lit(2).alias("side"))
+    )
+    ends = known.withColumn("__end", F.explode(sides)).select("symbol", "__end.date", "__end.side", "start_date", "end_date")
+    begins = packed.select("symbol", F.col("first_date").alias("date"), F.lit(1).alias("side"), "iblock")
+    events = dealt(begins.unionByName(ends, allowMissingColumns=True), ["symbol", "date", "side", "iblock"], "range-ends")
+    merged = running(events, ["symbol"], "__part", ["__at"], {"__cut": ("max", F.col("iblock"))}).filter("side <> 1")
+    opened = merged.select("symbol", "side", F.col("date").alias("__end"), "start_date", "end_date", F.col("__cut").alias("iblock")).join(
+        packed.select("symbol", "iblock", "own_from", "lookback", own("dates").alias("dates")), ["symbol", "iblock"]
+    )
+    before = F.size(F.filter("dates", lambda d: F.when(F.col("side") == 0, d < F.col("__end")).otherwise(d <= F.col("__end"))))
+    is_end = F.col("side") == 2
+    return (
+        opened.withColumn("before", before)
+        .withColumn("upto", F.col("own_from") + F.col("before"))
+        .groupBy("symbol", "start_date", "end_date")
+        .agg(
+            F.coalesce(F.max(F.when(~is_end, F.col("upto"))), F.lit(0)).cast("bigint").alias("i0"),
+            F.max(F.when(is_end, F.col("upto") - 1)).cast("bigint").alias("i1"),
+            F.max(F.when(is_end, F.get("dates", F.col("before") - 1))).alias("last_date"),
+            F.max("lookback").alias("lookback"),
+        )
+        .filter("i0 <= i1")
+    )
+
+
 def place(
     packed: DataFrame, jobs: DataFrame, strategies: list[str], presence: bool = False, units: int = MINOR_UNITS
 ) -> DataFrame:
     """Add the slice of positions `i0`..`i1` each job covers, and what is wrong with the job.
 
-    Many jobs share a range, so the positions are looked up once per distinct range, from thin rows with
-    the bounds of each block. Only blocks that a range cuts look at their dates.
+    Many jobs share a range, so the positions are looked up once per distinct range.
     `presence` adds whether the symbol has any bars (`has_bars`, NULL if not).
     """
-    ranges = jobs.select("symbol", "start_date", "end_date").distinct()
-    bounds = ["symbol", "iblock", "own_from", "own_to", "first_idx", "first_date", "last_date", "lookback"]
-    start, end = F.col("start_date"), F.col("end_date")
-    pairs = packed.select(*bounds).join(ranges, "symbol").filter(
-        (F.col("last_date") >= start) & (F.col("first_date") <= end)
-    )
-    inside = (F.col("first_date") >= start) & (F.col("last_date") <= end)
-    found = ["symbol", "start_date", "end_date", "low", "high", "date", "lookback"]
-    whole = pairs.filter(inside).selectExpr(
-        "symbol", "start_date", "end_date", "own_from AS low", "own_to AS high", "last_date AS date", "lookback"
-    )
-    own_dates = F.slice(
-        "dates",
-        (F.col("own_from") - F.col("first_idx") + 1).cast("int"),
-        (F.col("own_to") - F.col("own_from") + 1).cast("int"),
-    )
-    low = F.col("own_from") + F.size(F.filter(own_dates, lambda d: d < start))
-    high = F.col("own_from") + F.size(F.filter(own_dates, lambda d: d <= end)) - 1
-    border = (
-        pairs.filter(~inside)
-        .join(packed.select("symbol", "iblock", "dates"), ["symbol", "iblock"])
-        .withColumn("low", low)
-        .withColumn("high", high)
-        .filter("low <= high")
-        .withColumn("date", F.get("dates", (F.col("high") - F.col("first_idx")).cast("int")))
-    )
-    hits = (
-        whole.select(*found)
-        .unionByName(border.select(*found))
-        .groupBy("symbol", "start_date", "end_date")
-        .agg(F.min("low").alias("i0"), F.max("high").alias("i1"), F.max("date").alias("last_date"), F.max("lookback").alias("lookback"))
-    )
     load = jobs.groupBy("symbol").agg(
         F.ceil(F.count(F.lit(1)) / JOBS_PER_CELL).cast("int").alias("salts")
     )
+    hits = cuts(packed, jobs)
     if presence:
         stored = packed.filter("iblock = 0").select("symbol", F.lit(True).alias("has_bars"))
         jobs = jobs.join(stored, "symbol", "left")
@@ -111,19 +111,6 @@ def place(
         .join(load, "symbol", "left")
         .withColumn("salt", F.pmod(F.xxhash64("job_id"), F.col("salts")).cast("int"))
         .withColumn("invalid", invalid_reason(strategies, units))
-        .withColumn(
-            "invalid",
-            F.coalesce(
-                "invalid",
-                # windows that reach further back than the blocks were packed for, and are needed
-                F.when(
-                    (F.greatest("short_window", "long_window") + 1 > F.col("lookback"))
-                    & (F.col("strategy") == "SMA")
-                    & (F.col("i0") + F.greatest(F.col("long_window"), F.col("short_window") - 1) <= F.col("i1")),
-                    F.lit("Invalid job: window above the look-back of the packed bars"),
-                ),
-            ),
-        )
         .withColumn("capital", F.round(F.col("initial_capital") * units).try_cast("bigint"))
     )
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.storage import written
+
 _COMBINE = {
     "count": lambda before, here: F.coalesce(before, F.lit(0)) + here,
     "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
@@ -59,6 +61,35 @@ def running(
     )
 
 
+def dealt(df: DataFrame, order: list[str], label: str) -> DataFrame:
+    """`df` in the order of `order`, cut into even parts by a range sort, as a written table.
+
+    Adds `__at`, which increases along the order, and `__part`, the part; parts follow one another. They
+    come from the data, so a hot key is as many parts as it has rows for, and `__part` can be the
+    block of `running`.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ordered.withColumn("__at", F.monotonically_increasing_id()), label)
+    return placed.withColumn("__part", F.shiftright("__at", 33))  # the upper bits are the partition's number
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add `name` = 1, 2, 3, … along `order`.
+
+    Rows are counted within their part; the parts (as many as the range sort has partitions, whatever
+    the number of rows) are added up by the driver, so nothing is windowed in one task.
+    """
+    placed = dealt(df, order, "numbered")
+    sizes = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    start = F.get(F.array(*[F.lit(n) for n in before]) if before else F.array(F.lit(0)), F.col("__part").cast("int"))
+    inside = F.col("__at") - F.shiftleft("__part", 33)
+    return placed.withColumn(name, (start + inside + 1).cast("bigint")).drop("__at", "__part")
+
+
 def period_block(date: Column, days: int) -> Column:
     """Calendar blocks: a function of the row alone, so it costs no pass over the data.
 

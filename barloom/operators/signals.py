@@ -9,13 +9,6 @@ from barloom.operators.scan import previous
 from barloom.schemas import HOLD
 
 
-def signal_rows(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Every bar of a job with its signal; bars without an action are HOLD."""
-    return bars.join(
-        actions.select("job_id", "idx", F.col("signal").alias("__signal")), ["job_id", "idx"], "left"
-    ).select(*bars.columns, F.coalesce("__signal", F.lit(HOLD)).alias("signal"))
-
-
 def actionable(signals: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Rows whose signal is not HOLD and differs from the bar before.
 

@@ -17,13 +17,14 @@ STRATEGIES = ["SMA"]
 
 
 def prepare(bars: DataFrame, max_window: int, unique_dates: bool = False) -> DataFrame:
-    """Packed blocks that answer every window up to `max_window`, written once for many sweeps."""
+    """Packed blocks, written once for many sweeps. They answer windows of any length; those up to `max_window` (and
+    a block's length) without looking into other blocks."""
     return written(blocks.pack(blocks.ranked(bars, unique_dates), max_window + 1), "packed")
 
 
-def largest_window(jobs: DataFrame, strategies: list[str] | None = None) -> int:
+def largest_window(jobs: DataFrame, strategies: list[str] | None = None, units: int = MINOR_UNITS) -> int:
     """The largest window of the jobs that can run (one aggregated row reaches the driver)."""
-    valid = jobs.filter(joblist.invalid_reason(strategies or STRATEGIES).isNull())
+    valid = jobs.filter(joblist.invalid_reason(strategies or STRATEGIES, units).isNull())
     return int(valid.agg(F.max(F.greatest("short_window", "long_window"))).first()[0] or 1)
 
 
@@ -41,6 +42,11 @@ class Run:
     resumed: bool = False
     units: int = MINOR_UNITS
     last: DataFrame | None = None
+    far: DataFrame | None = None
+
+    def signals(self) -> DataFrame:
+        """Every bar of every crossover job with its averages and its signal."""
+        return crossover.job_series(self.spread, self.spans.filter(F.col("strategy").isin(*STRATEGIES)), self.actions, self.far)
 
     def equity(self, every: int = 1) -> DataFrame:
         """Equity of the jobs that succeed, at every bar or at every so many."""
@@ -123,7 +129,9 @@ def run(
     """
     custom = strategies or {}
     placed, spans, dealt = locate(packed, jobs, state, files, folder, [*STRATEGIES, *custom], units)
-    changes = crossover.changes(dealt, spans.filter(F.col("strategy").isin(*STRATEGIES)))
+    crossing = spans.filter(F.col("strategy").isin(*STRATEGIES))
+    far = crossover.pieces(packed, crossing)
+    changes = crossover.changes(dealt, crossing, far)
     actions = crossover.crossings(changes, None if state is None else spans)
     errors = last = None
     for name, strategy in custom.items():
@@ -139,7 +147,7 @@ def run(
         after = after.join(errors, "job_id", "left").withColumn(
             "fault", F.coalesce("error", "fault")
         ).drop("error")
-    return Run(placed, spans, dealt, changes, actions, after, trades, state is not None, units, last)
+    return Run(placed, spans, dealt, changes, actions, after, trades, state is not None, units, last, far)
 
 
 def outcome(placed: DataFrame, folded: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -100,30 +100,31 @@ def volatility(spark: SparkSession, folder: str) -> DataFrame:
     return barops.volatility(tables.bars(spark, folder)).withColumn("volatility", F.round("volatility", 8))
 
 
-def _single_bars(run: backtest.Run) -> DataFrame:
-    return crossover.job_bars(crossover.on_blocks(run.spread, run.spans))
-
-
 def sma(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = _jobs(spark, folder, [_param(*PAIR, *FULL)])
-    _, spans, dealt = backtest.locate(_packed(spark, folder, max(PAIR)), jobs)
-    bars = crossover.job_bars(crossover.on_blocks(dealt, spans))
+    bars = crossover.averages(_packed(spark, folder, max(PAIR)), *PAIR)
     return bars.select(
         "symbol",
         "date",
-        F.round(F.col("short_sum") / F.col("short_window") / 100.0, 6).alias("short_sma"),
-        F.round(F.col("long_sum") / F.col("long_window") / 100.0, 6).alias("long_sma"),
+        F.round(F.col("short_avg") / 100.0, 6).alias("short_sma"),
+        F.round(F.col("long_avg") / 100.0, 6).alias("long_sma"),
     )
 
 
+def _signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals need no portfolio: jobs are placed, and their changes meet their bars again."""
+    packed = _packed(spark, folder, max(PAIR))
+    _, spans, dealt = backtest.locate(packed, _jobs(spark, folder, [_param(*PAIR, *FULL)]))
+    far = crossover.pieces(packed, spans)
+    actions = crossover.crossings(crossover.changes(dealt, spans, far))
+    return crossover.job_series(dealt, spans, actions, far)
+
+
 def crossover_signals(spark: SparkSession, folder: str) -> DataFrame:
-    run = _single(spark, folder)
-    return sig.signal_rows(_single_bars(run), run.actions).select("symbol", "date", "close", "signal")
+    return _signals(spark, folder).select("symbol", "date", "close", "signal")
 
 
 def signal_counts(spark: SparkSession, folder: str) -> DataFrame:
-    run = _single(spark, folder)
-    return sig.signal_counts(sig.signal_rows(_single_bars(run), run.actions))
+    return sig.signal_counts(_signals(spark, folder))
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:
@@ -453,7 +454,7 @@ LONG_WINDOWS = [
 
 
 def sweep_long_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of several blocks. The blocks answer up to 9000 bars; nothing else is refused."""
+    """Windows of several blocks."""
     symbols = tables.table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct()
     jobs = joblist.number(
         joblist.grid(symbols, LONG_WINDOWS), ["symbol", "short_window", "long_window", "start_date"]
@@ -462,6 +463,32 @@ def sweep_long_windows(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.run(packed, jobs).results().drop("error_message")
 
 
+POISON_WINDOWS = [
+    dict(start_date=FULL[0], end_date=FULL[1], short_window=short, long_window=long, initial_capital=10000.0)
+    for short, long in [(5, 20), (20, 2**31 - 1), (10**9, 50), (200, 1200), (12000, 200)]
+]
+
+
+def sweep_poison_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of any length beside short ones, on blocks whose look-back was made for twenty bars."""
+    symbols = tables.table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct()
+    jobs = joblist.number(
+        joblist.grid(symbols, POISON_WINDOWS), ["symbol", "short_window", "long_window", "start_date"]
+    )
+    return backtest.run(backtest.prepare(_ticks(spark, folder), 20), jobs).results().drop("error_message")
+
+
+HUGE_SWEEP = [_param(short, long, *FULL, 1.5e16) for short, long in [(2, 5), (20, 50)]]
+
+
+def sweep_huge_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Closes of some 10^18, whose window sums no BIGINT holds, beside ordinary ones."""
+    huge = F.col("close") * 100_000_000_000_000 + F.pmod("volume", F.lit(7))
+    bars = tables.bars(spark, folder).withColumn("close", F.when(F.substring("symbol", -1, 1) <= "3", huge).otherwise(F.col("close")))
+    packed = backtest.prepare(bars, 50, unique_dates=True)
+    return backtest.run(packed, _jobs(spark, folder, HUGE_SWEEP)).results().drop("error_message")
+
+
 FINE = 10_000
 
 
@@ -609,7 +636,7 @@ QUERIES = {
         state_snapshots, state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
         csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness, csv_load, csv_lenient, result_sink,
         summary_sink, report_sink, state_exists, resume_custom, resume_pandas, strategy_failures,
-        sweep_long_windows, sweep_fine_prices, stream_faults,
+        sweep_long_windows, sweep_poison_windows, sweep_huge_prices, sweep_fine_prices, stream_faults,
     )
 }
 
@@ -627,7 +654,7 @@ def generated_signals(spark: SparkSession) -> DataFrame:
     """Signals of the generated series for windows 50/200, ranking and packing included."""
     packed = backtest.prepare(generated_bars(spark), 200, unique_dates=True)
     names = packed.filter("iblock = 0").select("symbol")
-    one = joblist.number(joblist.grid(names, [_param(50, 200, *FULL)]), ["symbol"], 1)
+    one = joblist.number(joblist.grid(names, [_param(50, 200, *FULL)]), ["symbol"])
     _, spans, dealt = backtest.locate(packed, one)
     return crossover.crossings(crossover.changes(dealt, spans))
 

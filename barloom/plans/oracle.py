@@ -217,6 +217,15 @@ bars AS (
     return f"WITH RECURSIVE {fine},{jobs_cte(params)},{SIGNALS},{fold}\nSELECT * FROM results"
 
 
+def huge_sql(params: list[dict]) -> str:
+    """The sweep over closes of which some are beyond what sums of BIGINTs hold."""
+    bars = BARS.replace("bars AS (", "cent_bars AS (") + """,
+bars AS (
+  SELECT symbol, date, CASE WHEN right(symbol, 1) <= '3' THEN close * 100000000000000 + volume % 7 ELSE close END AS close
+  FROM cent_bars)"""
+    return f"WITH RECURSIVE {bars},{jobs_cte(params)},{SIGNALS},{FOLD}\nSELECT * FROM results"
+
+
 def stream_fault_sql() -> str:
     """Valid and invalid jobs over bars that share dates."""
     jobs = """
@@ -260,7 +269,9 @@ def signal_sql(params: list[dict], tail: str) -> str:
 
 
 def oracle() -> dict[str, str]:
-    from barloom.plans.catalog import AS_OF, FULL, LONG_WINDOWS, ODD_SYMBOLS, PAIR, SILENCE, SWEEP, _param
+    from barloom.plans.catalog import (
+        AS_OF, FULL, HUGE_SWEEP, LONG_WINDOWS, ODD_SYMBOLS, PAIR, POISON_WINDOWS, SILENCE, SWEEP, _param,
+    )
 
     single = [_param(*PAIR, *FULL)]
     odd = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ODD_SYMBOLS.items())
@@ -376,6 +387,8 @@ def oracle() -> dict[str, str]:
               ('FEW', 'Signal count mismatch with price data'), ('RAISES', 'Signal generation failed: no idea')) AS v(s, m)""",
         "stream_faults": stream_fault_sql(),
         "sweep_long_windows": tick_sql(LONG_WINDOWS),
+        "sweep_poison_windows": tick_sql(POISON_WINDOWS),
+        "sweep_huge_prices": huge_sql(HUGE_SWEEP),
         "sweep_fine_prices": fine_sql(single),
         "csv_quarantine": f"""WITH {BARS}, t AS (
             SELECT *, {day} AS day, printf('%.2f', open / 100.0) AS o, printf('%.2f', high / 100.0) AS h,
