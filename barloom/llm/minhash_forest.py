@@ -8,7 +8,8 @@ documents by their minima t * DEEPEST, t * DEEPEST + 1, ...: documents with a lo
    shares the longest prefix, at least `LEAST` minima: in a sparse region that is a short one, in a dense region a deep
    one, so each region gets the depth it needs, and a row gives one candidate whatever the size of its region. Over all trees a document keeps the candidate
    with the deepest prefixes. Confirmed candidates are contracted to components, which unites nearly all that belongs together.
-2. *The rest.* In every region of equal prefixes of length `LEAST` that still holds more than one component, documents
+2. *The rest.* In every region of equal prefixes of length `LEAST` that still holds more than one component, each
+   document first meets the hub, the one with the fewest elements of its own. Then documents
    of different components are candidates, all of them: in rounds each takes its most similar open ones first, and what a
    round has united is no candidate any more, until none is open. Regions of more than `SIDE` rows are cut into parts, and
    each pair of parts is looked at by itself, so no group is gathered in a task.
@@ -43,6 +44,7 @@ DEEPEST = 8
 HASHES = TREES * DEEPEST
 SLACK = 6.5
 SIDE = 512  # rows of a region that are compared with one another at once
+LARGE = 64  # open members from which a component is compared as one first
 FIRST = 4  # open candidates that a document has verified in the first round; 16 times as many in each further one
 
 SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
@@ -180,8 +182,8 @@ def nearest(nodes: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
-def lone_shingles(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, lone): how many elements of a node's set occur in no other of `nodes`."""
+def elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, element): the hashed sets of `nodes`. Equal hashes of different elements only loosen a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -195,9 +197,14 @@ def lone_shingles(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     part = x[at : at + (1 << 16)]
                     yield pa.record_batch([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "element"])
 
-    of = texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    met = of.mapInArrow(run, "node long, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("node"))
-    return met.where("sets = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    of = texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").distinct()  # repeated rows are one set
+    return of.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "node long, element long")
+
+
+def lone_elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, own): how many elements of a node's set occur in no other of `nodes`."""
+    met = elements(docs, nodes, words).groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("node"))
+    return met.where("sets = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
 def _across(percent: int):
@@ -238,23 +245,120 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return found.where("r0 <> r1").select("key", F.ceil(F.col("size") / SIDE).cast("int").alias("parts"))
 
 
-def open_pairs(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """(a, b), a < b: the candidates of different roots that share a prefix of `LEAST` minima in some tree.
+def open_rows(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(key, node, n, most, root): the rows of regions with several components that can link with anything there.
 
-    Of a set, the elements that no other set in such regions has are in no intersection. That excludes most
-    documents which come close to a group without belonging to it.
+    Of a set, the elements that no other set in such regions has are in no intersection, so `most` elements are what it can
+    share. That excludes most documents which come close to a group without belonging to it.
     """
     rows = forest(nodes, LEAST)
     left = written(rows.join(_mixed(rows).select("key"), "key"), "forest-regions")
-    # an id with several texts is taken to have no lone element
+    lone = lone_elements(docs, written(left.select("node").distinct(), "open-nodes"), words)
+    return bounded(left, nodes, lone, percent)
+
+
+def bounded(rows: DataFrame, nodes: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """`rows` with `most`, the elements a set can share at most: all but its `own`. Without those that cannot link."""
+    # of an id with several texts, none counts as its own
     several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    lone = lone_shingles(docs, written(left.select("node").distinct(), "open-nodes"), words).join(several, "node", "left_anti")
-    bounded = left.join(written(lone, "lone-shingles"), "node", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0)))
-    bounded = written(bounded.where(100 * F.col("most") >= percent * F.col("n")), "forest-regions")
+    counted = written(own.join(several, "node", "left_anti"), "own-elements")
+    most = rows.join(counted, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return written(most.where(100 * F.col("most") >= percent * F.col("n")), "open-rows")
+
+
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: each row with the hub of its region, the set there with the smallest share of lone elements.
+
+    Whatever links in a group of edited copies mostly links with the least edited one.
+    """
+    hub = rows.groupBy("key").agg(F.min(F.struct((1 - F.col("most") / F.col("n")).alias("share"), "node", "n", "most", "root")).alias("h"))
+    shared = F.least("most", "h.most")
+    met = rows.join(hub, "key").where(
+        (F.col("root") != F.col("h.root")) & (100 * shared >= percent * (F.col("n") + F.col("h.n") - shared))
+    )
+    return met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+
+
+def remaining(
+    rows: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int
+) -> tuple[DataFrame, DataFrame]:
+    """What is left between different components, by the roots of now: (links with large components, candidates (a, b) of others).
+
+    Two exact bounds. An element that only one component has is in no intersection with others. And what a set can share
+    with a member of a large component is at most what it shares with the union of that component: a document at
+    the rim of a large group is compared with the group as one before it meets its members.
+    """
+    moved = rows.drop("root", "most").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    moved = written(moved.join(_mixed(moved).select("key"), "key"), "open-rows")
+    of = written(moved.select("node", "root").distinct(), "open-nodes")
+    met = written(elements(docs, of, words).join(of, "node"), "open-elements")
+    only = met.groupBy("element").agg(F.min("root").alias("root"), F.max("root").alias("r1")).where("root = r1").select("element")
+    left = bounded(moved, nodes, met.join(only, "element").groupBy("node").agg(F.count(F.lit(1)).alias("own")), percent)
+
+    large = written(of.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE).select("root"), "large-components")
+    unions = met.join(large, "root").select("element", F.col("root").alias("other")).distinct()
+    shared = met.join(unions, "element").where("root <> other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("shared"))
+    near = left.select("node", "n", "most").distinct().join(shared, "node").where(100 * F.least("shared", "most") >= percent * F.col("n"))
+    members = left.join(large, "root").select("node", F.col("root").alias("other")).distinct()
+    rims = written(rim_links(near.select("node", "other").distinct(), members, docs, percent, words), "near-links")
+    small = left.join(large, "root", "left_anti")
+    return rims, open_pairs(small.join(_mixed(small), "key"), percent).distinct()
+
+
+def _linked_rims(percent: int, words: int):
+    """Rows (other, i, j, side, node, text), sorted: the rim of a component first, then members; one link for each that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rim = None, {}
+        for batch in batches:
+            out = []
+            for other, i, j, side, node, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                if (other, i, j) != key:
+                    key, rim = (other, i, j), {}
+                found = shingles(raw, words)
+                if side == 0:
+                    rim[node, raw] = found
+                    continue
+                hit = []
+                for at, some in rim.items():
+                    low, high = sorted((len(found), len(some)))
+                    if 100 * low >= percent * high:
+                        shared = len(found & some)
+                        if 100 * shared >= percent * (low + high - shared):
+                            hit.append(at)
+                            out.append((min(at[0], node), max(at[0], node)))
+                for at in hit:
+                    del rim[at]
+            yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def rim_links(near: DataFrame, members: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(a, b): for each (node, other) of `near` links with members of the component `other`, where there are any.
+
+    Both sides are cut in parts of some `SIDE` / 4 sets, and each pair of parts compares whole sets in one task. What
+    leaves a part is one link for each node of the rim, not one row for each comparison.
+    """
+    parts = lambda df, name: df.groupBy("other").agg(F.ceil(F.count(F.lit(1)) * 4 / SIDE).cast("int").alias(name))
+    sizes = parts(near, "rims").join(parts(members, "inner"), "other")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    columns = ["other", "i", "j", "side", "node"]
+    rim = near.join(sizes, "other").withColumns({"i": part("rims"), "side": F.lit(0)}).withColumn("j", each("inner")).select(*columns)
+    inner = members.join(sizes, "other").withColumns({"j": part("inner"), "side": F.lit(1)}).withColumn("i", each("rims")).select(*columns)
+    of = texts(docs).join(rim.unionByName(inner).withColumnRenamed("node", "doc_id"), "doc_id")
+    rows = of.select("other", "i", "j", "side", F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+    ordered = rows.repartition("other", "i", "j").sortWithinPartitions("other", "i", "j", "side")
+    return ordered.mapInArrow(_linked_rims(percent, words), "a long, b long").distinct()
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all candidates of different roots that share a region; `rows` with the `parts` of their region."""
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k.cast("int")))
     # every pair of parts (i <= j) gets the rows of both, marked by their side
-    dealt = bounded.join(_mixed(bounded), "key").withColumn("own", own).withColumn("k", each).select(
+    dealt = rows.withColumn("own", own).withColumn("k", each).select(
         "key",
         F.least("own", "k").alias("i"),
         F.greatest("own", "k").alias("j"),
@@ -362,15 +466,25 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
 
     roots = written(components(links), "near-roots")
     rooted = written(plain.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    waiting = written(likely(open_pairs(rooted, docs, percent, words), plain, percent), "open-pairs")
-    each = FIRST
-    while not waiting.isEmpty():
-        chosen = written(_first_of(waiting, each), "chosen-pairs")
-        each *= 16
-        more = written(confirmed(chosen, docs, percent, words), "near-links")
-        links = written(links.unionByName(more), "near-links")
-        roots = written(components(links), "near-roots")
+    rows = open_rows(rooted, docs, percent, words)
+    waiting = written(likely(hub_pairs(rows, percent), plain, percent), "hub-pairs")
+    everyone, each = False, FIRST
+    while True:
+        if not waiting.isEmpty():
+            chosen = written(_first_of(waiting, each), "chosen-pairs")
+            more = written(confirmed(chosen, docs, percent, words), "near-links")
+            links = written(links.unionByName(more), "near-links")
+            roots = written(components(links), "near-roots")
+        if not everyone:  # what did not join a hub meets all others
+            more, left = remaining(rows, roots, rooted, docs, percent, words)
+            links = written(links.unionByName(more), "near-links")
+            roots = written(components(links), "near-roots")
+            waiting, everyone = written(_still_open(likely(left, plain, percent), roots), "open-pairs"), True
+            continue
+        if waiting.isEmpty():
+            break
         waiting = written(_still_open(waiting.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), roots), "open-pairs")
+        each *= 16
 
     named = found.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "node"))
