@@ -38,6 +38,7 @@ from barloom.storage import written
 
 SHARD = 1 << 20  # terms after which a shard closes
 ITEMS = 256  # items that are searched together, about
+TOGETHER = 4  # shards that a task searches, about
 REACH = 2  # how far in the order of weights terms are paired
 MOST = 2**63 - 1
 
@@ -365,7 +366,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     order = Window.partitionBy("batch", "bounded").orderBy(F.col("bounds").desc())
     kth = lows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).where(F.col("at") == k)
     thresholds = kth.groupBy("batch").agg(F.collect_list(F.struct(F.col("bounded").alias("j"), F.col("bounds").alias("low"))).alias("thresholds"))
-    met = ready.drop("sizes", "bounded", "bounds").join(thresholds, "batch", "left")
+    # the shards of a batch are dealt to as many tasks as they need, each with the batch's thresholds
+    salts = max(1, -(-ready.count() // TOGETHER))
+    thresholds = thresholds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = ready.drop("sizes", "bounded", "bounds").withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts)).cast("int"))
+    met = dealt.join(thresholds, ["batch", "salt"], "left")
     found = met.mapInArrow(_search(k), "batch int, j int, doc_id long, score long")
     best = Window.partitionBy("batch", "j").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
