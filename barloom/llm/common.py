@@ -29,6 +29,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): the labels that a model may learn anything from, none of them held out."""
+    return labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
+    )
+
+
+def share_of_good(labels: DataFrame) -> float | None:
+    """The mean of all learnable labels; None where there are none."""
+    return learnable(labels).agg(F.avg("quality").alias("x")).first()["x"]
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, per_class: int, longest: int
 ) -> list[tuple[str, int]]:
@@ -38,9 +50,7 @@ def labelled_sample(
     them held out, none with a text above `longest` characters: at most
     2 * per_class * longest characters. Scoring has no such bounds.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
-    )
+    usable = learnable(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [
         usable.where(F.col("quality") == q).distinct().orderBy(*order).limit(per_class)

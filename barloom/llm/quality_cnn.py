@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held_out, labelled_sample, table
+from barloom.llm.common import held_out, labelled_sample, share_of_good, table
 
 EMBEDDING, LAGS, FILTERS = 8, range(2, 18), 32
 STEP, HALF = 8, 512  # a filter is two steps wide, a chunk two halves
@@ -184,7 +184,7 @@ def score(text: str, model, share_good: float) -> float:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    good = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("x")).first()["x"]
+    good = share_of_good(labels)
     share = 1.0 if good is None else float(good)
     sample = labelled_sample(docs, labels, PER_CLASS, LONGEST)
     shared = docs.sparkSession.sparkContext.broadcast(train(sample, share) if sample else None)

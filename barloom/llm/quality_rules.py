@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import labelled_sample, table, texts
+from barloom.llm.common import labelled_sample, share_of_good, table, texts
 
 BITS = 18  # hashed features of each family
 FAMILIES = 3
@@ -183,7 +183,7 @@ def judge(text: str, model, threshold: float) -> tuple:
 
 def fitted(docs: DataFrame, labels: DataFrame):
     """The model, from a bounded sample of the labelled rows of `docs`."""
-    share = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("x")).first()["x"]
+    share = share_of_good(labels)
     sample = labelled_sample(docs, labels, PER_CLASS, LONGEST)
     return train(sample, share) if sample else None
 

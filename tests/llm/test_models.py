@@ -86,3 +86,33 @@ def test_network_sees_the_whole_text_in_slices(monkeypatch):
     monkeypatch.setattr(quality_cnn, "SLICE", 1024)
     assert abs(quality_cnn.logit(raw, model) - whole) < 1e-3
     assert 0 <= quality_cnn.score("", model, 0.5) <= 1
+
+
+@pytest.mark.parametrize("which", ["rules", "cnn"])
+def test_held_out_labels_change_nothing(spark, monkeypatch, which):
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 1)
+    rows = fixtures.documents()
+    docs = fixtures.frame(spark, rows)
+    labels = fixtures.labels(spark, rows)
+    hidden = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+    results = []
+    for value in ("quality", "0", "1", "1 - quality", "NULL"):
+        other = labels.selectExpr("doc_id", f"CASE WHEN {hidden} THEN {value} ELSE quality END AS quality", "toxic")
+        found = quality_cnn.scored(docs, other) if which == "cnn" else quality_rules.judged(docs, other)
+        score = "score" if which == "cnn" else "probability"
+        results.append(sorted((r["doc_id"], r[score]) for r in found.collect()))
+    assert labels.where(hidden).count() > 5
+    assert all(r == results[0] for r in results)
+
+
+def test_trained_scores_of_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 1)
+    rows = fixtures.documents()
+    long = fixtures.prose(__import__("random").Random(5), 180_000)
+    assert len(long) > 1 << 20
+    odd = [(9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, long, "en", "s", 0), (9004, "\x00﻿😀", "en", "s", 0), (9004, "\x00﻿😀", "en", "s", 0)]
+    got = quality_cnn.scored(fixtures.frame(spark, rows + odd, extra=True), fixtures.labels(spark, rows)).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in got)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[9001] == by_id[9002]
+    assert len({r["score"] for r in got if r["doc_id"] == 9004}) == 1
