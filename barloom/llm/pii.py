@@ -18,6 +18,7 @@ itself; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = re.compile("[ \\t\\n\\v\\f\\r]")
+LONG_WORD = 256  # characters from which a word of a pattern stands by its hash
 _OPENING, _CLOSING = "\"'([{<*", "\"')]}>*.,;:!?"
 _NUMERIC = re.compile(r"[0-9().+-]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -75,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) by kind and start; code points, end exclusive."""
     out = [(0, s, e) for s, e in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -89,20 +92,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _lead(text: str, start: int) -> list[str]:
-    """The patterns before a span: the last word and the last two, in lower case."""
-    at, words = start, []
-    while len(words) < 2:
-        end = at
-        while end and text[end - 1] in " \t\n\v\f\r" + _OPENING:
-            end -= 1
-        at = end
-        while at and text[at - 1] not in " \t\n\v\f\r" and end - at < 64:
-            at -= 1
-        if at == end:
-            break
-        words.append(text[at:end].lower())
-    return [" ".join(reversed(words[:k])) for k in range(1, len(words) + 1)]
+class _Leads:
+    """The patterns before the spans of one text: the last word and the last two, in lower case.
+
+    A word of more than `LONG_WORD` characters stands by a hash of all of them, fed from one span to the next.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.gaps = text, [m.start() for m in _SPACE.finditer(text)]
+        self.begin, self.done, self.hash = -1, 0, hashlib.sha256()
+
+    def _word(self, begin: int, end: int) -> str:
+        if end - begin <= LONG_WORD:
+            return self.text[begin:end].lower()
+        if begin != self.begin or end < self.done:
+            self.begin, self.done, self.hash = begin, begin, hashlib.sha256()
+        self.hash.update(self.text[self.done : end].encode("utf-8", "surrogatepass"))
+        self.done = end
+        return "#" + self.hash.copy().hexdigest()
+
+    def before(self, start: int) -> list[str]:
+        at, words, text = start, [], self.text
+        while len(words) < 2:
+            end = at
+            while end and text[end - 1] in " \t\n\v\f\r" + _OPENING:
+                end -= 1
+            gap = bisect.bisect_left(self.gaps, end)
+            at = self.gaps[gap - 1] + 1 if gap else 0
+            if at >= end:
+                break
+            words.append(self._word(at, end))
+        return [" ".join(reversed(words[:k])) for k in range(1, len(words) + 1)]
 
 
 def shaped(instance: str) -> list[int]:
@@ -154,8 +174,9 @@ def spelled(text: str) -> Iterator[tuple[int, int]]:
 
 def occurrences(text: str, base: list[tuple[int, int, int]]):
     """(start, end, instance, seed kind or None, kinds it is shaped like, patterns) of every identifier-like run."""
+    leads = _Leads(text)
     for kind, start, end in base:
-        yield start, end, _key(text[start:end].lower()), kind, [], _lead(text, start)
+        yield start, end, _key(text[start:end].lower()), kind, [], leads.before(start)
     taken, k = sorted((s, e) for _, s, e in base), 0
     free = []
     for start, end in spelled(text):
@@ -163,7 +184,7 @@ def occurrences(text: str, base: list[tuple[int, int, int]]):
             k += 1
         if k == len(taken) or taken[k][0] >= end:
             free.append((start, end))
-            yield _found(text, (start, end, False))
+            yield _found(text, (start, end, False), leads)
     taken, k = sorted(taken + free), 0
     held = None
     for m in _TOKEN.finditer(text):
@@ -181,10 +202,10 @@ def occurrences(text: str, base: list[tuple[int, int, int]]):
             held = (held[0], end, True)
             continue
         if held:
-            yield _found(text, held)
+            yield _found(text, held, leads)
         held = (start, end, numeric)
     if held:
-        yield _found(text, held)
+        yield _found(text, held, leads)
 
 
 def _key(instance: str) -> str:
@@ -194,9 +215,9 @@ def _key(instance: str) -> str:
     return "#" + hashlib.sha256(instance.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _found(text: str, held: tuple[int, int, bool]):
+def _found(text: str, held: tuple[int, int, bool], leads: _Leads):
     instance = text[held[0] : held[1]].lower()
-    return held[0], held[1], _key(instance), None, shaped(instance), _lead(text, held[0])
+    return held[0], held[1], _key(instance), None, shaped(instance), leads.before(held[0])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

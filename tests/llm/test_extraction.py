@@ -236,3 +236,20 @@ def test_spelled_addresses_and_long_runs_are_found(spark):
 def test_spelled_spans_take_linear_time():
     for text in ("[" * 200_000, "a [at] " * 50_000, "[ " * 100_000 + "at", "a[at]" * 60_000, "x [at] y" + " [dot] z" * 50_000, "(at) " * 60_000):
         assert sum(1 for _ in pii.spelled(text)) <= len(text)
+
+
+def test_long_runs_of_zeros_are_no_address():
+    zeros = "0" * 5000
+    assert pii.base_spans(zeros + "1.2.3.4") == [(1, 0, 5007)]
+    assert [s for s in pii.base_spans(f"1.{zeros}.2.3 and 7.{zeros}256.1.1") if s[0] == 1] == [(1, 0, 5006)]
+
+
+def test_context_words_stand_whole():
+    tail = "x" * 300
+    leads = [pii._Leads(f"{head}{tail} 1.2.3.4").before(len(head) + 301)[0] for head in ("a", "b", "a")]
+    assert leads[0] == leads[2] != leads[1]
+    text = "id:" + ":".join(["q" * 400 + "1"] * 3) + "7"
+    whole = pii._Leads(text)
+    spans = [5, 500, 900, len(text), 500]
+    assert [whole.before(k) for k in spans] == [pii._Leads(text).before(k) for k in spans]
+    assert pii._Leads("Say (CALL  me: 5").before(15) == ["me:", "(call me:"]
