@@ -19,7 +19,7 @@ anchor group reads every block: the work is then anchors x rows / (BLOCK x GROUP
 Nulls and odd input: rows with a null id, label, vector or component, or a component that is not finite, take no part.
 Rows that are equal throughout count once; rows that share an id but differ count each, and no row is partner of its own
 id. Equal scores go by the smaller id. Vectors of different length: missing components count as zero. Scaled components beyond 2^62
-count as 2^62, scores beyond 64 bits as the largest or smallest long; a label is a whole number. Other columns are ignored; an empty table gives an
+count as 2^62, scores beyond 64 bits as 2^63 - 1 or its negative; a label is a whole number. Other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -102,7 +102,7 @@ def products(a, b):
     if bound <= MOST:
         return a @ b.T
     exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -MOST - 1, MOST).astype(np.int64)
+    return np.clip(exact, -MOST, MOST).astype(np.int64)
 
 
 def bounds(anchors, low, high):

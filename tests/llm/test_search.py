@@ -212,7 +212,7 @@ def mined_model(rows: list[tuple]) -> Counter:
             continue
         kept[i, label, tuple(max(-(2**62), min(2**62, math.floor(256 * x))) for x in v)] = None
     kept = list(kept)
-    score = lambda a, b: max(-most - 1, min(most, sum(x * y for x, y in zip(a, b))))
+    score = lambda a, b: max(-most, min(most, sum(x * y for x, y in zip(a, b))))
     out = Counter()
     for i, label, v in kept:
         if i % 100:
