@@ -26,14 +26,14 @@ SUMMARIES = (
 )
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+def lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     """A list column as one array per row, without copying."""
     column = batch.column(name)
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
 
-def _jobs(batch: pa.RecordBatch, name: str) -> Iterator[dict[str, np.ndarray]]:
+def job_rows(batch: pa.RecordBatch, name: str) -> Iterator[dict[str, np.ndarray]]:
     """A list<struct> column as one dict of arrays per row."""
     column = batch.column(name)
     fields = column.values
@@ -103,11 +103,11 @@ def crossover_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         symbols, blocks = batch.column("symbol").to_pylist(), batch.column("iblock").to_pylist()
         first_idx, own_from, own_to = (batch.column(c).to_pylist() for c in ("first_idx", "own_from", "own_to"))
-        closes = _lists(batch, "closes")
+        closes = lists(batch, "closes")
         dates, dates_from = batch.column("dates").values, batch.column("dates").offsets.to_numpy()
         out: dict[str, list] = {name: [] for name in (
             "job_id", "symbol", "iblock", "idx", "date", "close", "dir", "prev_dir", "seed")}
-        for row, jobs in enumerate(_jobs(batch, "jobs")):
+        for row, jobs in enumerate(job_rows(batch, "jobs")):
             base, total, pieces = first_idx[row], prefix(closes[row]), _pieces(batch, row)
             for job_id, r0, i0, i1, short, long in zip(*(jobs[c].tolist() for c in (
                     "job_id", "r0", "i0", "i1", "short_window", "long_window"))):
@@ -155,10 +155,10 @@ def job_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         symbols, blocks = batch.column("symbol").to_pylist(), batch.column("iblock").to_pylist()
         first_idx, own_from, own_to = (batch.column(c).to_pylist() for c in ("first_idx", "own_from", "own_to"))
-        closes = _lists(batch, "closes")
+        closes = lists(batch, "closes")
         dates, dates_from = batch.column("dates").values, batch.column("dates").offsets.to_numpy()
         acts = batch.column("acts").to_pylist() if batch.schema.get_field_index("acts") >= 0 else None
-        for row, jobs in enumerate(_jobs(batch, "jobs")):
+        for row, jobs in enumerate(job_rows(batch, "jobs")):
             base, total, pieces = first_idx[row], prefix(closes[row]), _pieces(batch, row)
             made = {(a["job_id"], a["idx"]): a["signal"] for a in (acts[row] or [])} if acts is not None else {}
             for job_id, r0, i0, i1, short, long in zip(*(jobs[c].tolist() for c in (
@@ -207,9 +207,9 @@ def holding_summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     running peak may pass over them.
     """
     for batch in batches:
-        first_idx, closes = batch.column("first_idx").to_pylist(), _lists(batch, "closes")
+        first_idx, closes = batch.column("first_idx").to_pylist(), lists(batch, "closes")
         rows = []
-        for row, pieces in enumerate(_jobs(batch, "pieces")):
+        for row, pieces in enumerate(job_rows(batch, "pieces")):
             ids = pieces["job_id"]
             borders = np.flatnonzero(np.diff(ids)) + 1
             for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(ids)]):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.metrics import sharpe_ratio, total_return_percent
 from barloom.operators import blocks, crossover, equity, jobs as joblist, portfolio, state as saved, status
-from barloom.operators.strategies import Strategy
+from barloom.operators.strategies import BlockStrategy, Strategy
 from barloom.storage import written
 from barloom.schemas import BUY, MINOR_UNITS, SELL
 
@@ -120,7 +120,7 @@ def run(
     state: DataFrame | None = None,
     files: DataFrame | None = None,
     folder: str = "",
-    strategies: dict[str, Strategy] | None = None,
+    strategies: dict[str, Strategy | BlockStrategy] | None = None,
     units: int = MINOR_UNITS,
 ) -> Run:
     """Evaluate every job. `strategies` adds user strategies by the name jobs give in `strategy`.
@@ -136,9 +136,12 @@ def run(
     errors = last = None
     for name, strategy in custom.items():
         mine = F.col("strategy") == name
-        found, failed, ended = strategy.actions(
-            crossover.series_rows(crossover.on_blocks(dealt, spans.filter(mine))), spans.filter(mine)
-        )
+        if isinstance(strategy, BlockStrategy):
+            found, failed, ended = strategy.block_actions(dealt, spans.filter(mine))
+        else:
+            found, failed, ended = strategy.actions(
+                crossover.series_rows(crossover.on_blocks(dealt, spans.filter(mine))), spans.filter(mine)
+            )
         actions = actions.unionByName(found)
         errors = failed if errors is None else errors.unionByName(failed)
         last = ended if last is None else last.unionByName(ended)

@@ -13,7 +13,7 @@ from barloom.functions.metrics import simple_return
 from barloom.operators import bars as barops
 from barloom.operators import blocks, crossover, jobs as joblist, liveness, reports, signals as sig, state, status
 from barloom.operators.scan import period_block, running
-from barloom.operators.strategies import FrameStrategy, PandasStrategy, Strategy
+from barloom.operators.strategies import BlockStrategy, FrameStrategy, PandasStrategy, Strategy, Stretch
 from barloom.plans import backtest
 from barloom.sources import calendar, csv_bars, driver_tables as tables, jobs_csv, sinks
 from barloom.storage import shared_folder, written
@@ -414,6 +414,70 @@ def resume_pandas(spark: SparkSession, folder: str) -> DataFrame:
     return _resumed(spark, folder, PandasStrategy(SlopePandas))
 
 
+def momentum_block(stretch: Stretch, entry) -> np.ndarray:
+    """The first example on arrays; the close before a stretch is at hand."""
+    before = stretch.before[-1] if len(stretch.before) else stretch.close[0]
+    return np.sign(np.diff(stretch.close, prepend=before))
+
+
+def slope_block(stretch: Stretch, entry) -> np.ndarray:
+    """The second example on arrays."""
+    return np.where(stretch.close > 11000, 1, -1)
+
+
+def breakout_block(stretch: Stretch, entry) -> np.ndarray:
+    """Example strategy with a memory of all bars: BUY above, SELL below every close before."""
+    low, high = entry or (int(stretch.close[0]), int(stretch.close[0]))
+    high_before = np.maximum.accumulate(np.concatenate(([high], stretch.close[:-1])))
+    low_before = np.minimum.accumulate(np.concatenate(([low], stretch.close[:-1])))
+    return np.where(stretch.close > high_before, 1, np.where(stretch.close < low_before, -1, 0))
+
+
+BREAKOUT = BlockStrategy(
+    breakout_block,
+    lambda stretch: [int(stretch.close.min()), int(stretch.close.max())],
+    lambda a, b: [min(a[0], b[0]), max(a[1], b[1])],
+)
+
+
+def custom_block_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    return _custom(spark, folder, BlockStrategy(momentum_block))
+
+
+def custom_block_breakout(spark: SparkSession, folder: str) -> DataFrame:
+    return _custom(spark, folder, BREAKOUT)
+
+
+def resume_block_breakout(spark: SparkSession, folder: str) -> DataFrame:
+    return _resumed(spark, folder, BREAKOUT)
+
+
+def resume_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _resumed(spark, folder, BlockStrategy(slope_block, lambda stretch: len(stretch.close), lambda a, b: a + b))
+
+
+def strategy_isolation(spark: SparkSession, folder: str) -> DataFrame:
+    """Strategies that raise while they are built, while they run, or in some blocks, beside one that works."""
+
+    def raises(bars: DataFrame, jobs: DataFrame) -> DataFrame:
+        raise ValueError("cannot be built")
+
+    def divides(bars: DataFrame, jobs: DataFrame) -> DataFrame:
+        return bars.select("job_id", "idx", F.expr("idx % (close - close) AS signal"))
+
+    def stumbles(stretch: Stretch, entry):
+        raise ValueError("no such bar")
+
+    named = {
+        "BUILDS": FrameStrategy(raises), "DIVIDES": FrameStrategy(divides), "MOMENTUM": FrameStrategy(momentum_frame),
+        "STUMBLES": BlockStrategy(stumbles),
+    }
+    listed = joblist.grid(tables.symbols(spark, folder), [dict(strategy=name, **_param(*PAIR, *FULL)) for name in named])
+    jobs = joblist.number(listed, ["symbol", "strategy"])
+    run = backtest.run(_packed(spark, folder, 1), jobs, strategies=named)
+    return run.results().select("job_id", "symbol", "num_trades", "final_value", "success", "error_message")
+
+
 def strategy_failures(spark: SparkSession, folder: str) -> DataFrame:
     """User strategies that raise, give too few signals, or two for one bar and none for the next."""
 
@@ -636,6 +700,7 @@ QUERIES = {
         state_snapshots, state_latest, state_open_jobs, resume_equivalence, custom_strategy, custom_pandas_strategy,
         csv_scan, csv_quarantine, job_list, stream_backtest, stream_liveness, csv_load, csv_lenient, result_sink,
         summary_sink, report_sink, state_exists, resume_custom, resume_pandas, strategy_failures,
+        custom_block_strategy, custom_block_breakout, resume_block_breakout, resume_blocks, strategy_isolation,
         sweep_long_windows, sweep_poison_windows, sweep_huge_prices, sweep_fine_prices, stream_faults,
     )
 }

@@ -208,6 +208,27 @@ signals AS (SELECT *, CASE WHEN close > 11000 THEN 1 ELSE -1 END AS signal FROM
     return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{signals},{FOLD}\nSELECT * FROM results"
 
 
+def breakout_sql(params: list[dict]) -> str:
+    """The example strategy that remembers all closes before."""
+    signals = SIGNALS[: SIGNALS.index("summed AS")] + """
+signals AS (
+  SELECT *, CASE WHEN close > max(close) OVER w THEN 1 WHEN close < min(close) OVER w THEN -1 ELSE 0 END AS signal
+  FROM sliced WINDOW w AS (PARTITION BY job_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    return f"WITH RECURSIVE {BARS},{jobs_cte(params)},{signals},{FOLD}\nSELECT * FROM results"
+
+
+def isolation_sql(params: list[dict]) -> str:
+    """A strategy that works beside three that fail; jobs are numbered by symbol and strategy."""
+    good = momentum_sql(params).removesuffix("SELECT * FROM results")
+    return good + """
+SELECT CAST(row_number() OVER (ORDER BY symbol, s) AS BIGINT) AS job_id, symbol,
+  CASE WHEN m IS NULL THEN num_trades ELSE 0 END AS num_trades, CASE WHEN m IS NULL THEN final_value ELSE 0 END AS final_value,
+  m IS NULL AS success, m AS error_message
+FROM results CROSS JOIN (VALUES ('BUILDS', 'Signal generation failed: cannot be built'),
+  ('DIVIDES', 'Signal generation failed: REMAINDER_BY_ZERO'), ('MOMENTUM', NULL),
+  ('STUMBLES', 'Signal generation failed: no such bar')) AS v(s, m)"""
+
+
 def fine_sql(params: list[dict]) -> str:
     """The sweep in units of a hundredth of a cent."""
     fine = BARS.replace("bars AS (", "cent_bars AS (") + """,
@@ -381,6 +402,11 @@ def oracle() -> dict[str, str]:
         "state_exists": state_sql(single, ["1997-06-30"], "SELECT job_id, symbol FROM reached WHERE job_id % 3 <> 0"),
         "resume_custom": slope_sql(single),
         "resume_pandas": slope_sql(single),
+        "resume_blocks": slope_sql(single),
+        "custom_block_strategy": momentum_sql(single),
+        "custom_block_breakout": breakout_sql(single),
+        "resume_block_breakout": breakout_sql(single),
+        "strategy_isolation": isolation_sql(single),
         "strategy_failures": """WITH named AS (SELECT DISTINCT p_brand AS symbol FROM part)
             SELECT CAST(row_number() OVER (ORDER BY symbol, s) AS BIGINT) AS job_id, symbol, false AS success, m AS error_message
             FROM named CROSS JOIN (VALUES ('DOUBLED', 'Signal count mismatch with price data'),
