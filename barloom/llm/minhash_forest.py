@@ -292,11 +292,12 @@ def remaining(
     moved = written(moved.join(_mixed(moved).select("key"), "key"), "open-rows")
     of = written(moved.select("node", "root").distinct(), "open-nodes")
     met = written(elements(docs, of, words).join(of, "node"), "open-elements")
-    only = met.groupBy("element").agg(F.min("root").alias("root"), F.max("root").alias("r1")).where("root = r1").select("element")
+    held = written(met.select("element", "root").distinct(), "component-elements")
+    only = held.groupBy("element").agg(F.count(F.lit(1)).alias("components")).where("components = 1").select("element")
     left = bounded(moved, nodes, met.join(only, "element").groupBy("node").agg(F.count(F.lit(1)).alias("own")), percent)
 
     large = written(of.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE).select("root"), "large-components")
-    unions = met.join(large, "root").select("element", F.col("root").alias("other")).distinct()
+    unions = held.join(large, "root").select("element", F.col("root").alias("other"))
     shared = met.join(unions, "element").where("root <> other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("shared"))
     near = left.select("node", "n", "most").distinct().join(shared, "node").where(100 * F.least("shared", "most") >= percent * F.col("n"))
     members = left.join(large, "root").select("node", F.col("root").alias("other")).distinct()
@@ -464,25 +465,28 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     shared = with_id.join(nodes.select("digest", "node"), "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     links = links.unionByName(shared.where("a <> b").select("a", "b"))
 
+    links = written(links, "near-links")
     roots = written(components(links), "near-roots")
     rooted = written(plain.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    rows = open_rows(rooted, docs, percent, words)
-    waiting = written(likely(hub_pairs(rows, percent), plain, percent), "hub-pairs")
-    everyone, each = False, FIRST
-    while True:
-        if not waiting.isEmpty():
-            chosen = written(_first_of(waiting, each), "chosen-pairs")
-            more = written(confirmed(chosen, docs, percent, words), "near-links")
-            links = written(links.unionByName(more), "near-links")
-            roots = written(components(links), "near-roots")
-        if not everyone:  # what did not join a hub meets all others
-            more, left = remaining(rows, roots, rooted, docs, percent, words)
+
+    def united(more: DataFrame) -> None:
+        """Take new links in; most rounds bring none."""
+        nonlocal links, roots
+        if not more.isEmpty():
             links = written(links.unionByName(more), "near-links")
             roots = written(components(links), "near-roots")
-            waiting, everyone = written(_still_open(likely(left, plain, percent), roots), "open-pairs"), True
-            continue
-        if waiting.isEmpty():
-            break
+
+    rows = open_rows(rooted, docs, percent, words)
+    hubs = written(_first_of(likely(hub_pairs(rows, percent), plain, percent), FIRST), "hub-pairs")
+    united(written(confirmed(hubs, docs, percent, words), "near-links"))
+    # what did not join a hub meets all others
+    rims, left = remaining(rows, roots, rooted, docs, percent, words)
+    waiting = written(likely(left, plain, percent), "open-pairs")
+    united(rims)
+    each = FIRST
+    while not waiting.isEmpty():
+        chosen = written(_first_of(waiting, each), "chosen-pairs")
+        united(written(confirmed(chosen, docs, percent, words), "near-links"))
         waiting = written(_still_open(waiting.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), roots), "open-pairs")
         each *= 16
 
