@@ -7,11 +7,13 @@ documents by their minima t * DEEPEST, t * DEEPEST + 1, ...: documents with a lo
 1. *Longest common prefix.* All trees are range-sorted at once. Each document takes the neighbour with which it
    shares the longest prefix, at least `LEAST` minima: in a sparse region that is a short one, in a dense region a deep
    one, so each region gets the depth it needs, and a row gives one candidate whatever the size of its region. Over all trees a document keeps the candidate
-   with the deepest prefixes. Confirmed candidates are contracted to components, which unites nearly all that belongs together.
-2. *The rest.* In every region of equal prefixes of length `LEAST` that still holds more than one component, each
-   document first meets the hub, the one with the fewest elements of its own. Then documents
+   with the deepest prefixes. Beside it stand the hubs of its regions (rows with equal prefixes of length `LEAST`), the documents
+   with the fewest elements of their own. The `FIRST` most alike are confirmed and contracted to components, which unites nearly
+   all that belongs together.
+2. *The rest.* In every region that still holds more than one component, documents
    of different components are candidates, all of them: in rounds each takes its most similar open ones first, and what a
-   round has united is no candidate any more, until none is open. Regions of more than `SIDE` rows are cut into parts, and
+   round has united is no candidate any more, until none is open. The rim of a large component is compared with its members in
+   parts, inside tasks. Regions of more than `SIDE` rows are cut into parts, and
    each pair of parts is looked at by itself, so no group is gathered in a task.
 
 Candidates pass a filter of sizes and, in step 2, of the elements that occur in no other set of such regions (both exact),
@@ -45,7 +47,7 @@ HASHES = TREES * DEEPEST
 SLACK = 6.5
 SIDE = 512  # rows of a region that are compared with one another at once
 LARGE = 64  # open members from which a component is compared as one first
-FIRST = 4  # open candidates that a document has verified in the first round; 16 times as many in each further one
+FIRST = 4  # candidates of a document that are verified in the first round; 64 times as many in each further one
 
 SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
 
@@ -459,15 +461,15 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     )
     plain = nodes.select("node", "n", "signature")
 
-    first = nearest(plain.withColumn("root", F.col("node")), percent)
-    links = written(confirmed(written(likely(first, plain, percent), "candidates"), docs, percent, words), "near-links")
+    alone = written(plain.withColumn("root", F.col("node")), "minhash-roots")
+    rows = open_rows(alone, docs, percent, words)
+    first = nearest(alone, percent).unionByName(hub_pairs(rows, percent)).distinct()
+    first = written(_first_of(likely(first, plain, percent), FIRST), "candidates")
     # rows that share an id but not their words are one document
     shared = with_id.join(nodes.select("digest", "node"), "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    links = links.unionByName(shared.where("a <> b").select("a", "b"))
-
+    links = confirmed(first, docs, percent, words).unionByName(shared.where("a <> b").select("a", "b"))
     links = written(links, "near-links")
     roots = written(components(links), "near-roots")
-    rooted = written(plain.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
 
     def united(more: DataFrame) -> None:
         """Take new links in; most rounds bring none."""
@@ -476,11 +478,8 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
             links = written(links.unionByName(more), "near-links")
             roots = written(components(links), "near-roots")
 
-    rows = open_rows(rooted, docs, percent, words)
-    hubs = written(_first_of(likely(hub_pairs(rows, percent), plain, percent), FIRST), "hub-pairs")
-    united(written(confirmed(hubs, docs, percent, words), "near-links"))
     # what did not join a hub meets all others
-    rims, left = remaining(rows, roots, rooted, docs, percent, words)
+    rims, left = remaining(rows, roots, alone, docs, percent, words)
     waiting = written(likely(left, plain, percent), "open-pairs")
     united(rims)
     each = FIRST
@@ -488,7 +487,7 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
         chosen = written(_first_of(waiting, each), "chosen-pairs")
         united(written(confirmed(chosen, docs, percent, words), "near-links"))
         waiting = written(_still_open(waiting.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), roots), "open-pairs")
-        each *= 16
+        each *= 64
 
     named = found.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "node"))
