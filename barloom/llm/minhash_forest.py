@@ -302,8 +302,9 @@ def remaining(
     unions = held.join(large, "root").select("element", F.col("root").alias("other"))
     shared = met.join(unions, "element").where("root <> other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("shared"))
     near = left.select("node", "n", "most").distinct().join(shared, "node").where(100 * F.least("shared", "most") >= percent * F.col("n"))
-    members = left.join(large, "root").select("node", F.col("root").alias("other")).distinct()
-    rims = written(rim_links(near.select("node", "other").distinct(), members, docs, percent, words), "near-links")
+    near = written(near.select("node", "other").distinct(), "rims")
+    members = written(left.join(large, "root").select("node", F.col("root").alias("other")).distinct(), "members")
+    rims = written(rim_links(near, members, docs, percent, words), "near-links")
     small = left.join(large, "root", "left_anti")
     return rims, open_pairs(small.join(_mixed(small), "key"), percent).distinct()
 
@@ -479,15 +480,15 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
             roots = written(components(links), "near-roots")
 
     # what did not join a hub meets all others
-    rims, left = remaining(rows, roots, alone, docs, percent, words)
+    more, left = remaining(rows, roots, alone, docs, percent, words)
     waiting = written(likely(left, plain, percent), "open-pairs")
-    united(rims)
     each = FIRST
     while not waiting.isEmpty():
         chosen = written(_first_of(waiting, each), "chosen-pairs")
-        united(written(confirmed(chosen, docs, percent, words), "near-links"))
+        united(written(more.unionByName(confirmed(chosen, docs, percent, words)), "near-links"))
         waiting = written(_still_open(waiting.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), roots), "open-pairs")
-        each *= 64
+        each, more = each * 64, more.limit(0)
+    united(more)
 
     named = found.join(nodes.select("digest", "node"), "digest", "left").join(roots, "node", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "node"))
