@@ -267,10 +267,12 @@ class BlockStrategy:
 
         schema = f"job_id long, symbol string, iblock long, idx long, date {date}, close long, signal int, opens boolean, error string"
         made = written(_beside(dealt, jobs, entries).mapInArrow(run, schema), "signals")
-        failures = made.where("error IS NOT NULL").select("job_id", "error")
-        if entries is not None:
-            failures = failures.unionByName(entries.where("error IS NOT NULL").select("job_id", "error"))
-        failed = failures.groupBy("job_id").agg(F.min("error").alias("error"))
+        failures = made.where("error IS NOT NULL").select("job_id", F.lit(1).alias("step"), "iblock", "error")
+        if entries is not None:  # what failed first counts
+            before = entries.where("error IS NOT NULL").select("job_id", F.lit(0).alias("step"), "iblock", "error")
+            failures = failures.unionByName(before)
+        first = F.min(F.struct("step", "iblock", "error"))
+        failed = failures.groupBy("job_id").agg(first.alias("f")).select("job_id", F.col("f.error").alias("error"))
         ends = made.where("error IS NULL AND idx IS NULL").select("job_id", "iblock", F.col("signal").alias("last"))
         before = ends.withColumn("seen", F.lag("last").over(Window.partitionBy("job_id").orderBy("iblock"))).select("job_id", "iblock", "seen")
         acts = made.where("idx IS NOT NULL").join(failed, "job_id", "left_anti").drop("error")

@@ -689,6 +689,38 @@ def stream_liveness(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stream_deaths(spark: SparkSession, folder: str) -> DataFrame:
+    """Deaths and revivals of all users as they are told by timers, without a closing beat."""
+    beats = tables.heartbeats(spark, folder).select("entity", F.col("ts").cast("timestamp").alias("ts"))
+    rows = feed.run_in_steps(
+        beats.withColumn("day", F.to_date("ts")), "day", ["2024-01-10", "2024-01-20", "2024-02-15"],
+        lambda s: stream_live.watch(s, SILENCE), "append",
+    )
+    return rows.select("entity", "event", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def stream_continues(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch run up to a date, continued by a stream that starts from its states; symbols without a bar answer by timer."""
+    params = [dict(strategy="SMA", **_param(*PAIR, *FULL), _prefix=""), dict(strategy="SMA", **_param(*PAIR, FULL[0], "2000-03-31"), _prefix="X-")]
+    listed = joblist.grid(tables.symbols(spark, folder), params).withColumn("symbol", F.concat("_prefix", "symbol")).drop("_prefix")
+    jobs = written(joblist.number(listed, ["symbol"]), "jobs")
+    packed = _packed(spark, folder, max(PAIR))
+    batch = backtest.run(packed, backtest.until(jobs, "1997-06-30"))
+    told = written(stream_results.openings(packed, batch.placed, written(batch.state(), "state")), "openings")
+    path = f"{shared_folder(spark)}/announced-{uuid.uuid4().hex}"
+    told.write.parquet(path)
+    later = tables.bars(spark, folder).filter("date > DATE'1997-06-30'")
+    rows = feed.run_in_steps(
+        later, "date", ["1998-01-01", "2000-06-01"],
+        lambda s: stream_results.results(s, jobs, announced=spark.readStream.schema(told.schema).parquet(path)), "update",
+    )
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), "batch").alias("r"))
+    return last.select("job_id", "r.*").select(
+        "job_id", "symbol", "bars", *[F.round(c, 6).alias(c) for c in ("total_return", "sharpe_ratio", "max_drawdown")],
+        "final_value", "num_trades", "winning", "losing", "success", "error_message",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -702,6 +734,7 @@ QUERIES = {
         summary_sink, report_sink, state_exists, resume_custom, resume_pandas, strategy_failures,
         custom_block_strategy, custom_block_breakout, resume_block_breakout, resume_blocks, strategy_isolation,
         sweep_long_windows, sweep_poison_windows, sweep_huge_prices, sweep_fine_prices, stream_faults,
+        stream_deaths, stream_continues,
     )
 }
 

@@ -412,6 +412,21 @@ def oracle() -> dict[str, str]:
             FROM named CROSS JOIN (VALUES ('DOUBLED', 'Signal count mismatch with price data'),
               ('FEW', 'Signal count mismatch with price data'), ('RAISES', 'Signal generation failed: no idea')) AS v(s, m)""",
         "stream_faults": stream_fault_sql(),
+        "stream_deaths": f"""WITH {beats}, g AS (
+            SELECT entity, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS next FROM beats WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+            mark AS (SELECT date_trunc('milliseconds', max(ts)) AS latest FROM beats)
+            SELECT entity, 'dead' AS event, ts FROM g, mark WHERE date_diff('microsecond', ts, coalesce(next, latest)) // 1000000 > {SILENCE}
+            UNION ALL
+            SELECT entity, 'revived' AS event, ts FROM g WHERE date_diff('microsecond', before, ts) // 1000000 > {SILENCE}""",
+        "stream_continues": run_sql(single, """, numbered AS (
+            SELECT CAST(row_number() OVER (ORDER BY u || symbol) AS BIGINT) AS new_id, u || symbol AS symbol, job_id, u
+            FROM jobs CROSS JOIN (VALUES (''), ('X-')) AS v(u))
+            SELECT n.new_id AS job_id, n.symbol, coalesce((SELECT count(*) FROM sliced s WHERE s.job_id = r.job_id), 0) AS bars,
+              coalesce(r.total_return, 0) AS total_return, coalesce(r.sharpe_ratio, 0) AS sharpe_ratio,
+              coalesce(r.max_drawdown, 0) AS max_drawdown, coalesce(r.final_value, 0) AS final_value,
+              coalesce(r.num_trades, 0) AS num_trades, coalesce(r.winning, 0) AS winning, coalesce(r.losing, 0) AS losing,
+              r.job_id IS NOT NULL AS success, CASE WHEN r.job_id IS NULL THEN 'No data in date range' END AS error_message
+            FROM numbered n LEFT JOIN results r ON r.job_id = n.job_id AND n.u = ''"""),
         "sweep_long_windows": tick_sql(LONG_WINDOWS),
         "sweep_poison_windows": tick_sql(POISON_WINDOWS),
         "sweep_huge_prices": huge_sql(HUGE_SWEEP),
