@@ -21,6 +21,8 @@ first; a table with one distinct id uses one bit each; an empty table writes no
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -44,8 +46,10 @@ class WordEncoder:
 
     The vocabulary's tokens never reach over white space, so a text's ids are those of its words in
     turn. New words are encoded many at a time, as one line. Letters alone make one token sequence, closed by an
-    end-of-word id, and with a closing full stop or comma two, which tells words apart; other words have a
-    mark between them that no other text encodes to, and words that hold the mark itself go one by one.
+    end-of-word id, which tells words apart. Signs behind letters are a sequence of their own, and a vocabulary may
+    ignore the case of A-Z; such words are put together from the ids of the bare word and of the signs, which recur far
+    more often. Other words have a mark between them that no other text encodes to, and words that hold the mark
+    itself go one by one.
     """
 
     MARK = "\ue000"
@@ -64,6 +68,8 @@ class WordEncoder:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[ends] = True
+        letters = string.ascii_uppercase
+        self.caseless = all(self._encode(t) == self._encode(t.lower()) for t in (letters, " ".join(letters)))
         self.forget()
 
     def forget(self) -> None:
@@ -90,15 +96,15 @@ class WordEncoder:
     def _encode(self, line: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids
 
-    def _encode_plain(self, words: list[str], closings: list[int]):
-        """As _encode_words, for words of which each encodes to so many end-of-word ids."""
+    def _encode_plain(self, words: list[str]):
+        """As _encode_words, for words of letters alone."""
         import numpy as np
 
         ids = np.array(self._encode(" ".join(words)), np.int64)
-        ends, wanted = np.flatnonzero(self.closing[ids]), np.cumsum(closings)
-        if len(ends) != wanted[-1]:
+        ends = np.flatnonzero(self.closing[ids])
+        if len(ends) != len(words):
             return self._encode_words(words)
-        return ids, np.diff(ends[wanted - 1], prepend=-1)
+        return ids, np.diff(ends, prepend=-1)
 
     def _encode_words(self, words: list[str]):
         """numpy: (ids of all words, number of ids of each)."""
@@ -119,32 +125,52 @@ class WordEncoder:
         each = [self._encode(w) for w in words]
         return np.array([i for ids in each for i in ids], np.int64), np.array([*map(len, each)], np.int64)
 
+    def _keep(self, words: list[str], flat: list, sizes: list) -> None:
+        """Remember new words by their ids, given in parts."""
+        import numpy as np
+
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.flat = np.concatenate([self.flat, *flat]).astype(np.int32)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _bare(self, word: str) -> str | None:
+        """The word's letters, without the signs behind them and a capital; None where it is built otherwise."""
+        letters = word.rstrip(string.punctuation)
+        if not letters.isalpha():
+            return None
+        # a few letters become a letter and a mark, which would join the signs
+        if not letters.isascii() and not unicodedata.normalize("NFC", letters).lower().isalpha():
+            return None
+        return letters[0].lower() + letters[1:] if self.caseless and letters[0] in string.ascii_uppercase else letters
+
     def learn(self, words: list[str]) -> None:
+        """Words that are not known yet, each once."""
         import numpy as np
 
-        plain, closings, other = [], [], []
+        bare, signs, other, built = {}, {}, {}, []
         for w in words:
-            if w.isalpha():
-                plain.append(w)
-                closings.append(1)
-            elif w[-1] in ".," and w[:-1].isalpha():
-                plain.append(w)
-                closings.append(2)
-            else:
-                other.append(w)
-        first, flat, sizes, words = len(self.known), [self.flat], [], plain + other
-        for at in range(0, len(plain), 2000):
-            ids, n = self._encode_plain(plain[at : at + 2000], closings[at : at + 2000])
-            flat.append(ids)
-            sizes.append(n)
-        for at in range(0, len(other), 2000):
-            ids, n = self._encode_words(other[at : at + 2000])
-            flat.append(ids)
-            sizes.append(n)
-        self.known.update(zip(words, range(first, first + len(words))))
-        self.flat = np.concatenate(flat).astype(np.int32)
-        ends = self.starts[-1] + np.cumsum(np.concatenate(sizes))
-        self.starts = np.concatenate([self.starts, ends])
+            letters = self._bare(w)
+            if letters is None:
+                other[w] = None
+                continue
+            bare[letters] = None
+            if letters != w:
+                behind = w[len(letters) :]
+                built.append((w, letters, behind))
+                if behind:
+                    signs[behind] = None
+        for some, encode in ((bare, self._encode_plain), (other | signs, self._encode_words)):
+            some = [w for w in some if w not in self.known]
+            parts = [encode(some[at : at + 2000]) for at in range(0, len(some), 2000)]
+            if parts:
+                self._keep(some, *zip(*parts))
+        if built:
+            # two pieces a word, the second of them empty where no signs follow
+            piece = np.array([[self.known[a], self.known[b] if b else -1] for _, a, b in built], np.int64).ravel()
+            sizes = np.where(piece < 0, 0, self.starts[piece + 1] - self.starts[piece])
+            ids = self.flat[np.repeat(self.starts[piece], sizes) + ranges(sizes)]
+            self._keep([w for w, _, _ in built], [ids], [sizes.reshape(-1, 2).sum(axis=1)])
 
     def batch(self, lines: list[str], end: int):
         """numpy: (ids of all texts, number of ids of each), each text closed by `end`."""
@@ -158,6 +184,8 @@ class WordEncoder:
         # split() also splits at four separators that are no white space to the tokenizer
         split = re.compile("[^ \t\n\r]+").findall
         odd = "\x1c\x1d\x1e\x1f"
+        if self.caseless:
+            lines = [t.lower() if t.isascii() else t for t in lines]
         words = [split(t) if any(map(t.__contains__, odd)) else t.split() for t in lines]
         line = list(chain.from_iterable(words))
         which = np.fromiter(map(self.known.get, line, repeat(-1)), np.int64, len(line))

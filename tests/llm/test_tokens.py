@@ -49,6 +49,21 @@ def test_word_encoder_equals_whole_texts(monkeypatch):
                 assert ids[e - k : e].tolist() == [*encode(text), 2]
 
 
+def test_words_of_letters_and_signs():
+    """Random words of letters, capitals, signs, contractions and letters that fall into a letter and a mark."""
+    import random
+
+    dice = random.Random(3)
+    signs = "abcABZzéÉçßİıΣσς\u0958.,;:!?()*$%&#'’_-<|>0129 \t\n\x1c\u0301ſK中ñÑ"
+    pieces = [*signs, "don't", "I'LL", "<|endoftext|>", "A\u0301b", "x's.", "ǅ."]
+    encode, encoder = reference(token_file.VOCABULARY), token_file.WordEncoder(token_file.VOCABULARY)
+    for _ in range(3):
+        texts = ["".join(dice.choices(pieces, k=dice.randrange(60))) for _ in range(1000)]
+        ids, n = encoder.batch(texts, 2)
+        for text, e, k in zip(texts, np.cumsum(n), n):
+            assert ids[e - k : e].tolist() == [*encode(text), 2]
+
+
 @pytest.mark.parametrize(
     "histogram",
     [{}, {5: 1}, {1024: 3}, {700: 500}, {700: 10, 100: 3}, {1: 5000}, {600: 1000, 500: 10}, {k: k % 5 for k in range(1, 1025)}],
