@@ -1,6 +1,6 @@
 """Token ids as compressed binary files: canonical length-limited Huffman coding.
 
-Writing takes three passes. Texts are tokenized once, into a table of raw ids. Their global counts (one
+Writing takes two passes. Texts are tokenized and counted once, into a table of raw ids. The global counts (one
 number per vocabulary entry) give code lengths of at most `LIMIT` bits by package-merge; canonical codes follow from the
 lengths alone. Documents are range-sorted by id and coded in blocks.
 
@@ -213,7 +213,11 @@ def width_of(vocabulary: str) -> int:
 
 
 def tokens(docs: DataFrame, width: int, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, as little-endian numbers of `width` bytes."""
+    """(doc_id, ids, seen): each text's ids and the end id, as little-endian numbers of `width` bytes.
+
+    `seen` is NULL but in one more row behind those of each task, which has no ids: how often every id occurred in the
+    task, as little-endian 64-bit pairs (id, number).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -221,35 +225,39 @@ def tokens(docs: DataFrame, width: int, vocabulary: str = VOCABULARY, end: int =
         kept = worker_cache()
         if vocabulary not in kept:
             kept[vocabulary] = WordEncoder(vocabulary)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids, n = kept[vocabulary].batch(some.column(1).to_pylist(), end)
+                here = np.bincount(ids, minlength=len(total))
+                here[: len(total)] += total
+                total = here
                 raw = ids.astype(f"<u{width}").tobytes()
                 ends = np.concatenate(([0], np.cumsum(n) * width)).tolist()
                 parts = [raw[a:b] for a, b in zip(ends, ends[1:])]
-                yield pa.record_batch([some.column(0), pa.array(parts, pa.binary())], ["doc_id", "ids"])
+                columns = [some.column(0), pa.array(parts, pa.binary()), pa.nulls(some.num_rows, pa.binary())]
+                yield pa.record_batch(columns, ["doc_id", "ids", "seen"])
+        met = np.flatnonzero(total)
+        pairs = np.stack([met, total[met]], axis=1).astype("<i8").tobytes()
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())]
+        yield pa.record_batch(last, ["doc_id", "ids", "seen"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary")
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, seen binary")
 
 
-def counts(raw: DataFrame, width: int) -> dict[int, int]:
-    """How often each id occurs; at most one number per vocabulary entry."""
+def counts(raw: DataFrame) -> dict[int, int]:
+    """How often each id occurs; at most one number per vocabulary entry. Reads the row of each task alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}")
-            some = np.bincount(ids, minlength=len(total))
-            some[: len(total)] += total
-            total = some
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["token", "n"])
+            pairs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["token", "n"])
 
-    found = raw.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return {r["token"]: r["n"] for r in found.collect()}
+    rows = raw.where("seen IS NOT NULL").select("seen").mapInArrow(run, "token long, n long")
+    return {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
 def code_lengths(frequency: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
@@ -345,7 +353,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
     spark = docs.sparkSession
     width = width_of(vocabulary)
     raw = written(tokens(docs, width, vocabulary, end), "token-ids")
-    lengths = code_lengths(counts(raw, width))
+    lengths = code_lengths(counts(raw))
     spark.createDataFrame(sorted(lengths.items()), "token long, bits int").coalesce(1).write.parquet(f"{folder}/code")
     book = canonical(lengths)
     top = max(book, default=0) + 1
@@ -379,7 +387,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int =
         if held:
             yield close()
 
-    raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(
+    documents = raw.where("seen IS NULL").select("doc_id", "ids")
+    documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(
         run,
         "part int, block int, ids long, doc_ids array<long>, lengths binary, checkpoints binary, payload binary",
     ).write.parquet(f"{folder}/blocks")
