@@ -15,7 +15,7 @@ from barloom.operators import blocks, crossover, jobs as joblist, liveness, repo
 from barloom.operators.scan import period_block, running
 from barloom.operators.strategies import BlockStrategy, FrameStrategy, PandasStrategy, Strategy, Stretch
 from barloom.plans import backtest
-from barloom.sources import calendar, csv_bars, driver_tables as tables, jobs_csv, sinks
+from barloom.sources import calendar, csv_bars, driver_tables as tables, jobs_csv, sinks, symbol_files
 from barloom.storage import shared_folder, written
 from barloom.streaming import backtest as stream_results, feed, liveness as stream_live
 
@@ -609,6 +609,36 @@ def csv_lenient(spark: SparkSession, folder: str) -> DataFrame:
     return csv_bars.load(spark, path, lenient=True)
 
 
+def csv_source(spark: SparkSession, folder: str) -> DataFrame:
+    """All bars through the data source's writer and reader."""
+    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    symbol_files.save(tables.bars(spark, folder), path)
+    return symbol_files.load(spark, path)
+
+
+def csv_source_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of the symbols of one brand family, oddly named ones among them: only their files are opened."""
+    path = f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+    symbol_files.save(tables.bars(spark, folder).withColumn("symbol", F.concat(F.lit("50% a/b+"), "symbol")), path)
+    return symbol_files.load(spark, path).filter(F.startswith("symbol", F.lit("50% a/b+Brand#2")))
+
+
+def csv_explicit_symbol(spark: SparkSession, folder: str) -> DataFrame:
+    """All bars written to files whose names say nothing, read as one given symbol."""
+    path = f"{shared_folder(spark)}/unnamed-{uuid.uuid4().hex}"
+    csv_bars.printed(tables.bars(spark, folder)).drop("symbol").write.option("header", True).csv(path)
+    return csv_bars.load(spark, path, "GIVEN")
+
+
+def csv_text_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Unpadded text dates keep their text order: positions, and the bars of a closed text range."""
+    path = f"{shared_folder(spark)}/unpadded-{uuid.uuid4().hex}"
+    unpadded = F.concat_ws("-", F.year("date"), F.month("date"), F.day("date"))
+    csv_bars.save(tables.bars(spark, folder).withColumn("date", unpadded), path)
+    placed = blocks.ranked(csv_bars.load(spark, path, dates_as_text=True)).drop("cs")
+    return placed.withColumn("in_range", F.col("date").between("1996-1-1", "1996-12-31"))
+
+
 def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Bars as lines of which every 11th date lacks a field, every 13th holds a word and every 17th
     has high below low; the rejects with their reason."""
@@ -734,7 +764,7 @@ QUERIES = {
         summary_sink, report_sink, state_exists, resume_custom, resume_pandas, strategy_failures,
         custom_block_strategy, custom_block_breakout, resume_block_breakout, resume_blocks, strategy_isolation,
         sweep_long_windows, sweep_poison_windows, sweep_huge_prices, sweep_fine_prices, stream_faults,
-        stream_deaths, stream_continues,
+        stream_deaths, stream_continues, csv_source, csv_source_pruned, csv_explicit_symbol, csv_text_dates,
     )
 }
 

@@ -390,6 +390,14 @@ def oracle() -> dict[str, str]:
         "custom_pandas_strategy": momentum_sql(single),
         "csv_scan": f"WITH {BARS} SELECT * FROM bars",
         "csv_lenient": f"WITH {BARS} SELECT * FROM bars",
+        "csv_source": f"WITH {BARS} SELECT * FROM bars",
+        "csv_source_pruned": f"""WITH {BARS} SELECT '50% a/b+' || symbol AS symbol, * EXCLUDE (symbol) FROM bars
+            WHERE starts_with(symbol, 'Brand#2')""",
+        "csv_explicit_symbol": f"WITH {BARS} SELECT 'GIVEN' AS symbol, * EXCLUDE (symbol) FROM bars",
+        "csv_text_dates": f"""WITH {BARS}, t AS (
+            SELECT * REPLACE (concat_ws('-', year(date), month(date), day(date)) AS date) FROM bars)
+            SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS idx,
+              date BETWEEN '1996-1-1' AND '1996-12-31' AS in_range FROM t""",
         "csv_load": f"WITH {BARS} SELECT CASE symbol {odd} ELSE symbol END AS symbol, * EXCLUDE (symbol) FROM bars",
         "result_sink": faulty_sql("""SELECT row_number() OVER (ORDER BY j.job_id) AS line, j.job_id, j.symbol,
             coalesce(r.total_return, 0.0) AS total_return, coalesce(r.max_drawdown, 0.0) AS max_drawdown,

@@ -102,20 +102,24 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def save(bars_in_minor_units: DataFrame, folder: str, units: int = MINOR_UNITS) -> None:
-    """Write bars as text, one folder per symbol (`symbol=<SYMBOL>/`), replacing what is there.
-
-    Every symbol is sorted within its files; a very large symbol may be split over several.
-    """
+def printed(bars_in_minor_units: DataFrame, units: int = MINOR_UNITS) -> DataFrame:
+    """Bars as they stand in a file: symbol, Date, Open, High, Low, Close, Volume."""
     digits = len(str(units)) - 1
     day = F.col("date") if dict(bars_in_minor_units.dtypes)["date"] == "string" else F.date_format("date", "yyyy-MM-dd")
-    out = bars_in_minor_units.select(
+    return bars_in_minor_units.select(
         "symbol",
         day.alias("Date"),
         *[F.format_string(f"%.{digits}f", F.col(c) / units).alias(c.capitalize()) for c in PRICES],
         F.col("volume").alias("Volume"),
     )
+
+
+def save(bars_in_minor_units: DataFrame, folder: str, units: int = MINOR_UNITS) -> None:
+    """Write bars as text, one folder per symbol (`symbol=<SYMBOL>/`), replacing what is there.
+
+    Every symbol is sorted within its files; a very large symbol may be split over several.
+    """
     (
-        out.sort("symbol", "Date").write.mode("overwrite").option("header", True)
+        printed(bars_in_minor_units, units).sort("symbol", "Date").write.mode("overwrite").option("header", True)
         .partitionBy("symbol").csv(folder)
     )
