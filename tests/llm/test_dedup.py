@@ -98,6 +98,13 @@ def test_simhash_keeps_null_ids(spark):
     assert simhash.deduplicated(fixtures.frame(spark, rows)).count() == 2
 
 
+def test_simhash_of_more_shingles_than_a_slice(spark):
+    text = fixtures.prose(random.Random(8), 70_000)
+    rows = [(1, text, "en", "s", 0), (2, text + " end", "en", "s", 0), (3, text, "en", "s", 0)]
+    got = {r["doc_id"]: r["fp"] % 2**64 for r in simhash.fingerprints(fixtures.frame(spark, rows)).collect()}
+    assert got == {r[0]: slow_fingerprint(r[1]) for r in rows}
+
+
 def test_links_connect_all_within_reach():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)

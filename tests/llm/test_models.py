@@ -39,6 +39,15 @@ def test_rule_counts(spark):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_rule_counts_of_very_long_texts(spark):
+    dice = __import__("random").Random(9)
+    long = "\n".join(fixtures.prose(dice, dice.randrange(40)) for _ in range(8000)) + "\n# $ same\n# $ same" * 50
+    rows = [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, "x" * 2_000_000, "en", "s", 0), (None, "a b c " * 300_000, "en", "s", 0)]
+    got = quality_rules.judged(fixtures.frame(spark, rows, extra=True), fixtures.labels(spark, rows[2:3]).where("false")).collect()
+    want = {r[0]: slow_counts(r[1]) for r in rows}
+    assert len(got) == 4 and all(tuple(r[c] for c in quality_rules.COUNTS) == want[r["doc_id"]] for r in got)
+
+
 def test_accepted_agrees_with_verdict(spark):
     rows = fixtures.documents()
     docs, labels = fixtures.frame(spark, rows, extra=True), fixtures.labels(spark, rows)

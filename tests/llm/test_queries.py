@@ -67,3 +67,9 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path / "sf")).collect()
     assert sum(r["length"] for r in packed) == sum(len(encode(t)) + 1 for _, t in kept["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == len(packed)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    fixtures.empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    fixtures.labels(spark, fixtures.documents()).where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -146,6 +146,17 @@ def test_token_files_of_little(spark, tmp_path, texts):
     assert [r["ids"] for r in token_file.read(spark, folder).collect()] == [b"\2\0\0\0"] * len(texts)
 
 
+def test_token_files_of_null_and_repeated_ids(spark, tmp_path):
+    texts = [(7, "seven"), (None, "no id"), (7, "seven"), (7, "other"), (None, None), (-1, "first of the ids")]
+    folder, encode = str(tmp_path / "files"), reference(token_file.VOCABULARY)
+    token_file.write(fixtures.frame(spark, [(d, t, "en", "s", 0) for d, t in texts]), folder)
+    found = token_file.read(spark, folder).collect()
+    found.sort(key=lambda r: (r["part"], r["block"], r["place"]))
+    assert [r["doc_id"] for r in found] == [None, None, -1, 7, 7, 7]
+    want = sorted((d is not None, d or 0, crc([*encode(t), 2])) for d, t in texts)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, zlib.crc32(r["ids"])) for r in found) == want
+
+
 def test_code_lengths_are_limited_and_optimal():
     fibonacci = [1, 1]
     while len(fibonacci) < 30:
