@@ -64,6 +64,24 @@ def test_words_of_letters_and_signs():
             assert ids[e - k : e].tolist() == [*encode(text), 2]
 
 
+def test_words_are_remembered_without_signs_and_capitals():
+    """Signs are told from letters, but for those that mean something together, and case goes where no mark follows."""
+    import random
+
+    encode, encoder = reference(token_file.VOCABULARY), token_file.WordEncoder(token_file.VOCABULARY)
+    dice = random.Random(4)
+    bare = ["".join(dice.choices("abcdefghijklmnoprstuvwzäéñßÿ", k=9)) for _ in range(500)]
+    forms = ["{}", "{}.", "{},", '"{}"', "({})", "{}?!", "<{}>", "{}..."]
+    text = " ".join(dice.choice(forms).format(w if dice.random() < 0.5 else w.capitalize()) for w in bare * 8)
+    odd = "J\u030c, É. É, ÿ. a×. a÷, ×a x'.s x.'s 'S.'s o'.o `a^b~ a=\u0338b ll'll \u00e9\u0301. \u00df\x0b.\x0c\u00a0. \u0142. a\u2026. \u2026.a \u00c3. Ã."
+    for part in ([text, odd], [odd, text], [*odd, "", text]):
+        ids, n = encoder.batch(part, 2)
+        for t, e, k in zip(part, np.cumsum(n), n):
+            assert ids[e - k : e].tolist() == [*encode(t), 2]
+    first = sum(not w[0].isascii() for w in bare)  # their capitals are words of their own
+    assert len(encoder.known) < len(bare) + 2 * first + 100
+
+
 @pytest.mark.parametrize(
     "histogram",
     [{}, {5: 1}, {1024: 3}, {700: 500}, {700: 10, 100: 3}, {1: 5000}, {600: 1000, 500: 10}, {k: k % 5 for k in range(1, 1025)}],
