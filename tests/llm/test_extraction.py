@@ -130,6 +130,35 @@ def test_broken_markup_does_not_crash(html):
     html_extraction.induce([html, html + "x", html + "y"])
 
 
+def test_elements_are_named_once(monkeypatch):
+    """Class, id and role say the same for every element that has them, on all pages; what is remembered is bounded."""
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(re, name)
+
+        def split(self, pattern, text):
+            calls.append(text)
+            return re.split(pattern, text)
+
+    monkeypatch.setattr(html_extraction, "re", Counted())
+    page = "<body><header class=top><div>kept?</div></header>" + '<div class="Once-Named x7 b" id><p role=Ad-Slot>no</p>yes</div>' * 50 + "<p role>end</p></body>"
+    article = "<article><header class=top>head</header><p hidden>no</p></article>"
+    want = "\n".join(["yes"] * 50 + ["end"])
+    for _ in range(2):
+        root = html_extraction.parse(page)
+        body = root.nodes()[0]
+        assert "\n".join(t for _, t in html_extraction.blocks(root)) == want
+        assert {n.label for n in body.nodes()} == {"header.top", "div.b.once-named", "p"}
+        assert [t for _, t in html_extraction.blocks(html_extraction.parse(article))] == ["head"]
+    assert len(calls) <= 5
+    monkeypatch.setattr(html_extraction, "NAMES", 10)
+    for k in range(30):
+        html_extraction.parse(f"<div class=c{k}></div><p class={'x' * 300}{k}></p>")
+    assert len(html_extraction._Reader().known) <= 11
+
+
 def test_articles_of_the_test_pages(spark):
     folder = "/root/testdata/sf0.01"
     html = {r["page_id"]: r["html"] for r in table(spark, folder, "pages").collect()}
