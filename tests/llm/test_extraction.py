@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -159,6 +160,65 @@ def test_elements_are_named_once(monkeypatch):
     assert len(html_extraction._Reader().known) <= 11
 
 
+def outline(node):
+    """A tree with neighbouring texts joined."""
+    out = []
+    for c in node.children:
+        if isinstance(c, str) and out and isinstance(out[-1], str):
+            out[-1] += c
+        else:
+            out.append(c if isinstance(c, str) else outline(c))
+    return node.tag, node.label, node.skip, out
+
+
+def by_library(html):
+    reader = html_extraction._Reader()
+    reader.feed(html)
+    reader.close()
+    return outline(reader.root)
+
+
+PLAIN = (
+    "<!DOCTYPE html><?xml version='1.0'?><!-- <p>no</p> -- no --><style>p > a {}</style><script>if (a<b) '<p>&amp;'</script><SCRIPT src=/x/></SCRIPT>"
+    "a < b &amp; c &lt b<br/><p class = \"ad &amp; b\" id='x>y' hidden><a href=/x/?y==`z>x</a ><IMG alt='<b>' CLASS=x class=Y /><div/>&#x41;&notin</p><p class>3 <4"
+)
+
+
+def test_plain_markup_is_read_without_the_library(monkeypatch):
+    """Page by page through HTMLParser, op8 took more CPU seconds than its budget."""
+    pages = [page(k, body(k)[0]) for k in range(3)] + [PLAIN]
+    want = [by_library(html) for html in pages]
+    monkeypatch.setattr(html_extraction.HTMLParser, "goahead", lambda *_: pytest.fail("the library's parser was called"))
+    for _ in range(2):  # tags are remembered from the first time
+        assert [outline(html_extraction.parse(html)) for html in pages] == want
+
+
+def test_other_markup_is_read_as_the_library_does(monkeypatch):
+    rng = random.Random(12)
+    marks = re.findall("<[^>]*>|[^<]+", PLAIN) + list("<>/!?-='\"& \x0b\xa0\0") + (
+        "<!-- --> <!--> </> </script </ script> <li> </ul> <td> &amp &#x4 <a/b> <p/ > </p class=x> <a\tb= 'c'd=\"e\"> <a\tb=\"> <br/ <\u0130> <header> </article> <![if\tx]>"
+    ).split(" ")
+    monkeypatch.setattr(html_extraction, "NAMES", 20)
+    for _ in range(5000):
+        html = "".join(rng.choice(marks) for _ in range(rng.randrange(1, 12)))
+        try:
+            want = by_library(html)
+        except AssertionError:  # HTMLParser itself refuses some marked sections
+            continue
+        assert outline(html_extraction.parse(html)) == want, html
+    assert len(html_extraction._Reader().tags) <= 20
+
+
+def test_plain_markup_takes_linear_time():
+    start = time.thread_time()
+    for html in ("<" * 100_000, "x < y " * 30_000 + ">", "<p>" * 50_000, "<a b='>'>" * 20_000, "<p>x</p><!-- <p> -->" * 10_000):
+        html_extraction.parse(html)
+    for inside in ("x " * 90_000, " " * 90_000, "x" + " " * 90_000 + "=", "x" * 90_000, "x='y' " * 30_000, "x=" + "/" * 90_000 + '"'):
+        assert not html_extraction.START_TAG.match("<p " + inside)
+        assert bool(html_extraction.START_TAG.match("<p " + inside + ">")) == (inside[-1] not in '="')
+    assert time.thread_time() - start < 30
+
+
 def test_articles_of_the_test_pages(spark):
     folder = "/root/testdata/sf0.01"
     html = {r["page_id"]: r["html"] for r in table(spark, folder, "pages").collect()}
